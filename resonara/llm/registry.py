@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonara.llm import byte_bpe, chat_format, quality_rules, secret_scan
+from resonara.llm import byte_bpe, chat_format, decontamination, html_extract, license_scan, quality_rules, secret_scan, substring_dedup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -39,4 +39,21 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(docs, model))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_chat_formatting, op6_byte_bpe, op9_secret_scan)}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digests(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumn("containment", F.round("containment", 6))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_chat_formatting, op5_license_scan, op6_byte_bpe, op7_substring_dedup, op8_decontamination, op9_secret_scan, op10_html_extraction)}
