@@ -28,17 +28,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that a lost executor repeats nothing before it.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``, or the context's.
 
-    The folder is the session's ``spark.checkpoint.dir``.  A folder of this
-    machine is used only where that is unset and Spark runs in this process.
+    A folder of this machine is set only where both are missing and Spark runs in this process.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="resonara-"))
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not context.getCheckpointDir():
+        if not named:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="resonara-")
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there, so that a lost executor repeats nothing before it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,13 +1,16 @@
 """License scan: MinHash bands over overlapping windows, then exact containment.
 
 Texts and license templates are sequences of lower-cased alphanumeric words and
-so of 5-word shingles.  Templates are grouped by length.  For a length, every
-window of as many shingles, at a stride of an eighth of it, gets one band key
-for each of BANDS min-hashes (one row a band); a window whose key is a
-template's makes that template a candidate of the text.  A text that holds a
-share s of a template in one place has a window with a Jaccard similarity of at
-least about s * 7/8 / (2 - s * 7/8); with s = 0.8 that is 0.54, and a miss of
-all 20 bands has a probability below 2e-7.
+so of 5-word shingles.  Windows have 2**k shingles; a template is kept by all
+its windows of the largest such size it holds, a text by all its windows of
+each size, at a stride of an eighth of it.  A band is one min-hash.  A text
+becomes a template's candidate if a window of it and one of the template's have
+equal keys in a band.
+
+A verbatim copy has equal windows and is always found.  Where a share of 0.8 of
+a template's shingles stands in a run of its length, a window pair has a
+Jaccard similarity of 0.54 or more at the worst offset, and a miss of all
+BANDS = 12 bands by one window pair has a probability below 1e-4.
 
 A candidate is checked exactly: ``containment`` is the largest share of the
 template's distinct shingles found in any run of as many shingles of the text,
@@ -33,7 +36,7 @@ from resonara.llm.common import WordHashes, mixed, small_batches, utf8, window_h
 from resonara.llm.decontamination import words_of
 
 WIDTH = 5
-BANDS = 20
+BANDS = 12
 CONTAINMENT = 0.8
 
 # License names and the notices or grants they are known by.
@@ -80,16 +83,7 @@ TEMPLATES: dict[str, str] = {
 }
 
 _SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Least value of each run of ``width``, by doubling."""
-    span = 1
-    while 2 * span <= width:
-        x = np.minimum(x[:-span], x[span:])
-        span *= 2
-    rest = width - span
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+_ODD = mixed(np.arange(101, BANDS + 101, dtype=np.uint64)) | np.uint64(1)
 
 
 class Scanner:
@@ -100,18 +94,32 @@ class Scanner:
         self.hashes = WordHashes()
         self.names = list(templates)
         self.sets = []
-        #: length in shingles -> band number -> sorted keys, and templates of that length.
-        self.groups: dict[int, list[int]] = {}
+        #: (log of the window size, band) -> key -> templates.
+        self.keys: dict[tuple[int, int], dict[int, set[int]]] = {}
         for k, text in enumerate(templates.values()):
-            shingles = np.unique(self.shingles(text.encode()))
-            self.sets.append(shingles)
+            shingles = self.shingles(text.encode())
+            self.sets.append(np.unique(shingles))
             if len(shingles):
-                self.groups.setdefault(len(shingles), []).append(k)
-        self.keys = {n: np.array([[mixed(self.sets[k] ^ s).min() for s in _SEEDS] for k in own], np.uint64) for n, own in self.groups.items()}
+                level = len(shingles).bit_length() - 1
+                for band in range(BANDS if level else 1):
+                    for low in self._minima(shingles, band, level)[: len(shingles) - (1 << level) + 1].tolist():
+                        self.keys.setdefault((level, band), {}).setdefault(low, set()).add(k)
+        self.levels = max((x for x, _ in self.keys), default=-1) + 1
+        #: Which leading 16 bits a key may have.
+        self.may = {x: np.zeros(1 << 16, bool) for x in self.keys}
+        for x, own in self.keys.items():
+            self.may[x][[low >> 48 for low in own]] = True
 
     def shingles(self, text: bytes) -> np.ndarray:
         return window_hashes(self.hashes.of(words_of(text)), self.width)
 
+    @staticmethod
+    def _minima(shingles: np.ndarray, band: int, level: int) -> np.ndarray:
+        low = (shingles ^ _SEEDS[band]) * _ODD[band]
+        for k in range(level):
+            low = np.r_[np.minimum(low[: -(1 << k)], low[1 << k :]), low[-(1 << k) :]] if len(low) > 1 << k else low
+        return low
+
     def candidates(self, shingles: np.ndarray, document: np.ndarray) -> set[tuple[int, int]]:
         """(document, template) pairs with an equal band key in a window.
 
@@ -119,19 +127,22 @@ class Scanner:
         spans two of them can only add a candidate.
         """
         out: set[tuple[int, int]] = set()
-        ranked = [mixed(shingles ^ s) for s in _SEEDS]
-        for n, own in self.groups.items():
-            if len(shingles) == 0:
-                continue
-            size = min(n, len(shingles))
-            stride = max(1, size // 8)
-            for band in range(BANDS):
-                low = _sliding_min(ranked[band], size)
-                ends = np.r_[np.arange(0, len(low), stride), len(low) - 1]
-                for j, k in enumerate(own):
-                    for at in np.flatnonzero(low[ends] == self.keys[n][j, band]):
-                        first = ends[at]
-                        out.update((int(d), k) for d in np.unique(document[first : first + size]))
+        for band in range(BANDS):
+            if not len(shingles):
+                break
+            low = (shingles ^ _SEEDS[band]) * _ODD[band]
+            for level in range(self.levels):
+                size = 1 << level
+                if level and len(low) > size // 2:
+                    low[: -(size // 2)] = np.minimum(low[: -(size // 2)], low[size // 2 :])
+                if (level, band) not in self.keys:
+                    continue
+                stride = max(1, size // 8)
+                at = low[::stride]
+                for hit in np.flatnonzero(self.may[level, band][at >> np.uint64(48)]).tolist():
+                    for k in self.keys[level, band].get(int(at[hit]), ()):
+                        first = hit * stride
+                        out.update((int(d), k) for d in set(document[first : first + size].tolist()))
         return out
 
     def check(self, shingles: np.ndarray, template: int) -> tuple[float, int]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonara.llm import byte_bpe, chat_format, decontamination, html_extract, license_scan, quality_rules, secret_scan, substring_dedup
+from resonara.llm import byte_bpe, chat_format, decontamination, html_extract, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,4 +56,31 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_chat_formatting, op5_license_scan, op6_byte_bpe, op7_substring_dedup, op8_decontamination, op9_secret_scan, op10_html_extraction)}
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # Ratings: a point for good text and one for being free of abuse.
+    grades = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    model = quality_classifier.train(docs, grades, n_grades=3)
+    scored = quality_classifier.score(docs, model)
+    return scored.withColumns({c: F.round(c, 6) for c in ("expected_grade", "tail_probability")})
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.cluster(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_quality_classifier,
+        op3_chat_formatting,
+        op4_minhash_near_dedup,
+        op5_license_scan,
+        op6_byte_bpe,
+        op7_substring_dedup,
+        op8_decontamination,
+        op9_secret_scan,
+        op10_html_extraction,
+    )
+}

@@ -3,23 +3,20 @@
 A gear hash rolls over the bytes of a text; a chunk ends where its top bits are
 zero, at least MIN_BYTES and at most MAX_BYTES after the last end.  The hash
 sees the last WINDOW bytes alone, so chunk ends come back into step soon after
-an insertion.  Chunks are deduplicated by a 64-bit digest and their length: the
-first occurrence, by document and position, is the original, and later ones are
-duplicates of it.  Neighbouring duplicate chunks make a span; a span of at least
-LEAST_BYTES is reported and can be cut out.
-
-Digests are counted with map-side sums, so a passage that a third of all
-documents share costs a task one row; digests that occur once never come back.
-Chunks meet the digests left in a join on the digest, whose hot keys adaptive
-execution splits.  Spans are gathered by document, whose chunks all lie in one
-text.
-
-Documents are known by their id, rows of an equal id by a hash of the text, and
-equal rows count as one document.
-
-Defined results: a null or empty text has no chunk and no row; a null id orders
-before all others; a text of copies of one passage repeats itself and is
-reported with itself as source; an empty table gives no rows.
+an insertion.  Chunks are deduplicated by a 64-bit digest: the original stands
+in the document of lowest id, and the same chunk in any other document is a
+duplicate.  Neighbouring duplicate chunks make a span; a span of at least
+LEAST_CHARS characters is reported and can be cut out.
+
+Digests meet with map-side least and greatest ids, so a passage that a third of
+all documents share costs a task one row; digests of one document go no
+further.  Chunks join the digests left, and adaptive execution splits hot keys
+of that join.  Spans are gathered by document, whose chunks all lie in one text.
+
+Defined results: a null or empty text has no chunk; rows of one id are one
+document, so copies under one id and repeats inside a text aren't duplicates;
+rows without an id can't be told apart and are left out; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -35,10 +32,10 @@ from pyspark.sql import functions as F
 from resonara.llm.common import mixed, small_batches, utf8
 
 WINDOW = 16
-MIN_BYTES, MAX_BYTES = 16, 512
-#: A chunk ends where a hash is below this share of its range: 1 in 24 bytes.
-ONE_IN = 24
-LEAST_BYTES = 64
+MIN_BYTES, MAX_BYTES = 12, 512
+#: A chunk ends where a hash is below this share of its range: 1 in 16 bytes.
+ONE_IN = 16
+LEAST_CHARS = 80
 
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -48,7 +45,7 @@ def gear(data: np.ndarray) -> np.ndarray:
     h = _GEAR[data]
     span = 1
     while span < WINDOW:
-        older = h[:-span] << np.uint32(2 * span) if len(h) > span else h[:0]
+        older = h[:-span] << np.uint32(span)
         h = h.copy()
         h[span:] += older
         span *= 2
@@ -80,58 +77,71 @@ def chunk_ends(text: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc (id and a hash of the text), and its chunks in order: digest, first byte, bytes and first code point."""
+    """id and the chunks of each text in order: digest and ``place``, the first code point times 2**20 plus the number of them."""
     small_batches(docs.sparkSession)
     docs = docs.select(id_column, text)
     kind = docs.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            digests, begins, ends, points, sizes, row_hash = [], [], [], [], [], []
+            digests, places, sizes = [], [], []
             for t in utf8(batch.column(1)):
                 cuts = chunk_ends(t)
-                row_hash.append(np.uint64(xxhash.xxh3_64_intdigest(t)).astype(np.int64))
                 sizes.append(len(cuts))
                 if cuts:
-                    first = [0, *cuts[:-1]]
-                    digests += [xxhash.xxh3_64_intdigest(t[a:z]) for a, z in zip(first, cuts, strict=True)]
-                    begins += first
-                    ends += cuts
-                    before = np.r_[0, np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)]
-                    points += before[first].tolist()
+                    digests += [digest(t[a:z]) for a, z in zip([0, *cuts], cuts, strict=False)]
+                    before = np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)[np.array(cuts) - 1]
+                    first = np.r_[0, before[:-1]]
+                    places.append(first << 20 | before - first)
             offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.int32())
-            fields = {"digest": pa.array(np.array(digests, np.uint64).view(np.int64), pa.int64()), "first": pa.array(begins, pa.int32()), "bytes": pa.array(np.array(ends, np.int64) - np.array(begins, np.int64), pa.int32()), "point": pa.array(points, pa.int32())}
-            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(row_hash, pa.int64()), lists], [id_column, "row", "chunks"])
+            fields = {"digest": pa.array(np.array(digests, np.uint64).view(np.int64)), "place": pa.array(np.concatenate(places) if places else [], pa.int64())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))], [id_column, "chunks"])
 
-    return docs.mapInArrow(run, f"`{id_column}` {kind}, row long, chunks array<struct<digest:long,first:int,bytes:int,point:int>>")
+    return docs.mapInArrow(run, f"`{id_column}` {kind}, chunks array<struct<digest:long,place:long>>")
 
 
-def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """id, first_id, start, end (code points) and bytes of every span whose chunks occurred before.
+def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """id, first_id, start and n_chars (code points) of every span whose chunks stand in documents of lower id.
 
-    ``first_id`` is the document in which the span's first chunk stands for the first time.
+    ``first_id`` is the lowest id of a document that has the span's first chunk.
     """
-    one = chunks(docs, id_column, text).select(F.col(id_column).alias("id"), "row", F.explode("chunks").alias("c")).select("id", "row", "c.*")
-    place = F.struct("id", "row", "first")
-    known = one.groupBy("digest", "bytes").agg(F.min(place).alias("origin"), F.max(place).alias("last"))
-    known = known.filter(~F.col("origin").eqNullSafe(F.col("last"))).drop("last")
-    again = one.join(known, ["digest", "bytes"]).filter(~place.eqNullSafe(F.col("origin")))
-    found = again.groupBy("id", "row").agg(F.array_sort(F.collect_set(F.struct("first", "bytes", "point", F.col("origin.id").alias("first_id")))).alias("chunks"))
+    one = chunks(docs, id_column, text).select(F.col(id_column).alias("id"), F.explode("chunks").alias("c")).select("id", "c.*").filter(F.col("id").isNotNull())
+    known = one.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    known = known.filter(F.col("first_id") < F.col("last_id")).drop("last_id")
+    again = one.join(known, "digest").filter(F.col("id") > F.col("first_id"))
+    found = again.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("place", "first_id"))).alias("chunks"))
     kind = docs.schema[id_column].dataType.simpleString()
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[int, object, int, int, int]] = []
+            rows: list[tuple[int, object, int, int]] = []
             for k, own in enumerate(batch.column(1).to_pylist()):
-                begin = 0
-                for n in range(1, len(own) + 1):
-                    if n == len(own) or own[n]["first"] != own[n - 1]["first"] + own[n - 1]["bytes"]:
-                        size = own[n - 1]["first"] + own[n - 1]["bytes"] - own[begin]["first"]
-                        if size >= least_bytes:
-                            rows.append((k, own[begin]["first_id"], own[begin]["first"], own[begin]["point"], size))
-                        begin = n
+                begin = end = 0
+                source = None
+                for c in [*own, None]:
+                    first, size = divmod(c["place"], 1 << 20) if c else (-1, 0)
+                    if first != end or end == 0:
+                        if end - begin >= least_chars:
+                            rows.append((k, source, begin, end - begin))
+                        if c:
+                            begin, source = first, c["first_id"]
+                    end = first + size
             ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], ids.type), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())], [id_column, "first_id", "first_byte", "start", "bytes"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], ids.type), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], [id_column, "first_id", "start", "n_chars"])
 
-    return found.select("id", "chunks").mapInArrow(spans, f"`{id_column}` {kind}, first_id {kind}, first_byte long, start long, bytes long")
+    return found.mapInArrow(spans, f"`{id_column}` {kind}, first_id {kind}, start long, n_chars long")
+
+
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """id and text without repeated spans; a text that is nothing else becomes empty."""
+    spans = repeats(docs, id_column, text, least_chars).groupBy(id_column).agg(F.sort_array(F.collect_list(F.struct("start", "n_chars"))).alias("spans"))
+
+    def step(state, span):
+        piece = F.substr(F.col(text), state["at"] + 1, span["start"] - state["at"])
+        return F.struct((span["start"] + span["n_chars"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    cut = F.aggregate("spans", zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col(text), s["at"] + 1, F.lit(2**31 - 1).cast("long"))))
+    met = docs.select(id_column, text).join(spans, id_column, "left")
+    return met.select(id_column, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut).alias(text))
