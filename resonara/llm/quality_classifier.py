@@ -10,8 +10,9 @@ grade and the tail probability by which documents are selected.
 
 Training runs on the driver over at most SAMPLE_ROWS labelled documents, the
 first by hash of their id, which arrive as lists of buckets.  Buckets of
-fewer than LEAST_DOCUMENTS sampled documents, and those with which the mean
-grade stays within LEAST_Z standard errors of the overall one, keep weight 0.  The fitted weights have
+fewer than LEAST_DOCUMENTS sampled documents, and those whose shares above
+every grade stay within LEAST_Z standard errors of the overall ones, keep
+weight 0.  The fitted weights have
 a fixed size and go to the tasks with a broadcast.  Scoring is one pass over
 whole texts without a shuffle.
 
@@ -39,7 +40,7 @@ BUCKETS = 1 << 20
 SAMPLE_ROWS = 6000
 STEM_BYTES = 4
 LEAST_DOCUMENTS = 3
-#: Standard errors by which the mean grade with a bucket must depart from the overall one.
+#: Standard errors by which a bucket's share of documents above some grade must depart from the overall one.
 LEAST_Z = 3.5
 ROUNDS = 250
 RIDGE = 5e-4
@@ -86,11 +87,16 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int =
     even = np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1))
     if not len(rows):
         return OrdinalModel(np.zeros(BUCKETS, np.float32), even)
-    seen = np.bincount(np.concatenate([np.unique(x) for x in rows]), minlength=BUCKETS)
     y = np.asarray(grades)
-    total = np.bincount(np.concatenate([np.unique(x) for x in rows]), np.repeat(y.astype(float), [len(np.unique(x)) for x in rows]), minlength=BUCKETS)
-    spread = max(float(y.std()), 1e-6)
-    apart = np.abs(total - seen * y.mean()) / (spread * np.sqrt(np.maximum(seen, 1)))
+    held = [np.unique(x) for x in rows]
+    of_row, bucket = np.repeat(np.arange(len(rows)), [len(x) for x in held]), np.concatenate(held)
+    seen = np.bincount(bucket, minlength=BUCKETS)
+    apart = np.zeros(BUCKETS)
+    for k in range(n_grades - 1):
+        above = (y > k).astype(float)
+        spread = max(float(above.std()), 1e-6)
+        total = np.bincount(bucket, above[of_row], minlength=BUCKETS)
+        apart = np.maximum(apart, np.abs(total - seen * above.mean()) / (spread * np.sqrt(np.maximum(seen, 1))))
     used = np.flatnonzero((seen >= LEAST_DOCUMENTS) & (apart >= LEAST_Z))
     if not len(used):
         used = np.array([0])

@@ -1,0 +1,363 @@
+"""Awkward rows, empty tables and brute-force comparisons for the corpus operators."""
+
+import base64
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from corpus import LICENSE_LINE, awkward_rows, base_measures, bench_words, contamination, frame, near_components, secret_spans, sha, words
+
+from resonara.llm import byte_bpe, common, decontamination, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
+
+CLASH = ("kept", "ids", "node", "key", "n", "id", "chunks", "secret_spans", "n_words", "component", "nth_row")
+key = lambda r: (r[0] is not None, r[0] or 0, str(r))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, awkward_rows(), CLASH)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, awkward_rows(), CLASH).filter("false")
+
+
+# quality rules
+
+
+def test_base_measures_equal_brute_force(docs):
+    model = quality_rules.fit(docs)
+    got = quality_rules.judged(docs, model).collect()
+    found = sorted(((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got), key=key)
+    expected = []
+    for i, t in awkward_rows():
+        m = base_measures(t)
+        expected.append((i, *m, m[0] < 50 or 100 * m[4] > 50 * m[0]))
+    assert found == sorted(expected, key=key)
+    assert not any(r["kept"] for r in got if r["base_failed"])
+    assert quality_rules.kept_rows(docs, model).count() == sum(r["kept"] for r in got)
+    assert quality_rules.kept_rows(docs, model).schema == docs.schema
+
+
+def test_label_model_equals_row_by_row_em():
+    r = random.Random(5)
+    rows = []
+    for _ in range(3000):
+        bad = r.random() < 0.3
+        rows.append(tuple(0 if r.random() < 0.2 else 2 if r.random() < (0.6 if bad else 0.02) else 1 for _ in quality_rules.RULES))
+    patterns = np.array([quality_rules.pattern(v) for v in rows])
+    counted = quality_rules.estimate(*np.unique(patterns, return_counts=True))
+    single = quality_rules.estimate(patterns, np.ones(len(patterns)))
+    assert np.allclose(counted.on_bad, single.on_bad) and np.allclose(counted.bad_share, single.bad_share)
+    assert abs(counted.bad_share - 0.3) < 0.05
+    assert all(abs(x - 0.6) < 0.08 for x in counted.on_bad)
+    assert [tuple(x) for x in quality_rules.unpacked(patterns[:50])] == rows[:50]
+
+
+def test_quality_of_nothing(none):
+    model = quality_rules.fit(none)
+    assert model == quality_rules.PRIOR
+    assert quality_rules.judged(none, model).count() == 0
+
+
+# quality classifier
+
+
+def test_ordinal_model_learns_ordered_grades():
+    r = random.Random(1)
+    hashes = common.WordHashes()
+    texts, grades = [], []
+    for k in range(900):
+        g = k % 3
+        texts.append(" ".join([*words(60, k), *["awful"] * (g == 0), *["mediocre"] * (g == 1)]).encode())
+        grades.append(g)
+    rows = [quality_classifier.buckets(t, hashes) for t in texts]
+    train = [k for k in range(900) if r.random() < 0.7]
+    test = [k for k in range(900) if k not in set(train)]
+    model = quality_classifier.fit([rows[k] for k in train], np.array([grades[k] for k in train]), 3)
+    assert np.all(np.diff(model.thresholds) > 0)
+    tails = model.tails(model.scores([rows[k] for k in test]))
+    assert np.all(np.diff(tails, axis=1) <= 0)
+    assert np.mean(np.round(tails.sum(1)) == [grades[k] for k in test]) > 0.9
+
+
+def test_classifier_on_awkward_rows(spark, docs, none):
+    grades = spark.createDataFrame([(1, 2), (2, 2), (14, 0), (17, 1), (None, 1), (15, None), (16, 9)], "doc_id long, grade int")
+    model = quality_classifier.train(docs, grades, 3)
+    got = quality_classifier.score(docs, model).collect()
+    assert len(got) == len(awkward_rows())
+    assert all(0 <= r["tail_probability"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in got)
+    empty = quality_classifier.train(none, grades, 3)
+    assert np.allclose(empty.tails(np.zeros(1))[0], [2 / 3, 1 / 3])
+    assert quality_classifier.score(none, empty).count() == 0
+
+
+# near-dedup
+
+
+def test_components_equal_all_pairs(docs):
+    got = near_dedup.cluster(docs).collect()
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=key)
+    expected = sorted(((i, n, c, i == c) for i, n, c in near_components(awkward_rows())), key=key)
+    assert found == expected
+
+
+def test_kept_rows_hold_one_of_each_group(docs):
+    kept = near_dedup.kept_rows(docs)
+    assert kept.schema == docs.schema
+    ids = sorted([r["doc_id"] for r in kept.select("doc_id").collect()], key=lambda x: (x is not None, x))
+    expected = {(i if i is not None else -1) for i, _, c in near_components(awkward_rows()) if i == c}
+    assert [x if x is not None else -1 for x in ids] == sorted(expected)
+
+
+def test_groups_of_near_copies_equal_all_pairs(spark):
+    """A hub with many edited copies, a shared passage, chains and unlinked relatives."""
+    r = random.Random(9)
+    rows, base = [], words(150, 11, 4000)
+    rows.append((1000, " ".join(base)))
+    for k in range(120):
+        own = list(base)
+        for _ in range(r.choice((1, 1, 2, 3, 4, 5))):
+            own[r.randrange(len(own))] = f"edit{k}x{r.randrange(99)}"
+        rows.append((k, " ".join(own)))
+    passage = words(60, 12, 4000)
+    rows += [(2000 + k, " ".join(passage + words(r.choice((4, 8, 30)), 500 + k, 4000))) for k in range(60)]
+    chain = words(200, 13, 4000)
+    for k in range(12):
+        chain = chain[3:] + words(3, 900 + k, 4000)
+        rows.append((3000 + k, " ".join(chain)))
+    few = near_dedup.FEW
+    expected = sorted((i, n, c) for i, n, c in near_components(rows))
+    for near_dedup.FEW in (few, 0):  # 0 sends every open bucket through the prefix filter
+        got = near_dedup.cluster(frame(spark, rows)).collect()
+        assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == expected
+    near_dedup.FEW = few
+
+
+def test_near_dedup_of_nothing(none):
+    assert near_dedup.cluster(none).count() == 0
+    assert near_dedup.kept_rows(none).count() == 0
+
+
+def test_components_of_long_paths(spark):
+    path = [(k, k + 1) for k in range(60)] + [(100, 130), (130, 101)]
+    got = dict(near_dedup.components(spark.createDataFrame(path, "a long, b long")).collect())
+    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 130: 100}
+
+
+# license scan
+
+
+def test_license_scan_equals_checking_everything(docs, none):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    rows = [*awkward_rows()]
+    expected = set()
+    for i, t in rows:
+        s = scanner.shingles((t or "").encode())
+        for k, name in enumerate(scanner.names):
+            if len(s) and scanner.check(s, k)[0] >= 0.8:
+                expected.add((i, name))
+    got = license_scan.scan(docs).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == expected == {(18, "Apache-2.0")}
+    assert license_scan.scan(none).count() == 0
+    assert license_scan.scan(docs, {}).count() == 0
+
+
+def test_license_found_after_edits(spark):
+    rows = []
+    for k, (name, t) in enumerate(license_scan.TEMPLATES.items()):
+        own = t.split()
+        if len(own) > 30:
+            own[len(own) // 2] = "EDITED"
+        rows.append((k, " ".join(words(200, k) + own + words(100, 90 + k))))
+    got = {(r["doc_id"], r["license"]) for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert {(k, name) for k, name in enumerate(license_scan.TEMPLATES)} <= got
+
+
+# byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def test_bpe_equals_tiktoken(docs, none, ranks):
+    tiktoken = pytest.importorskip("tiktoken")
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks[0], "rb"))}
+    other = tiktoken.Encoding("own", pat_str=ranks[1], mergeable_ranks=table, special_tokens={})
+    got = sorted(map(tuple, byte_bpe.round_trip(docs, *ranks).collect()), key=key)
+    expected = []
+    for i, t in awkward_rows():
+        ids = np.array(other.encode_ordinary(t or ""), "<u4")
+        expected.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), sha(t or "")))
+    assert got == sorted(expected, key=key)
+    assert byte_bpe.round_trip(none, *ranks).count() == 0
+    codec = byte_bpe.codec(*ranks)
+    r = random.Random(4)
+    parts = ["a", "'s", " ", "  ", "\n", "\t", "é", "日本", "0", "!", "😀", "\xa0", "\x85", "\x1c", "the", "-", "\r\n", " "]
+    texts = ["".join(r.choices(parts, k=r.randrange(40))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all([t.encode() for t in texts])] == [other.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_offsets_and_split_characters(docs, ranks):
+    rows = byte_bpe.encode(docs, *ranks)
+    texts = byte_bpe.decode(rows, *ranks).collect()
+    assert sorted(((r["doc_id"], r["decoded"]) for r in texts), key=key) == sorted(((i, t or "") for i, t in awkward_rows()), key=key)
+    codec = byte_bpe.codec(*ranks)
+    for r in rows.filter("doc_id = 9").collect():
+        text = dict(awkward_rows())[9]
+        for i, a, z in zip(r["ids"], r["starts"], r["ends"], strict=True):
+            assert codec.tokens[i].decode("utf-8", "ignore") in text[a:z]
+        assert r["starts"][0] == 0 and r["ends"][-1] == len(text)
+        assert "".join(codec.decode_stream([x] for x in r["ids"])) == text
+    assert list(codec.decode_stream([codec.tokenizer.encode("😀").ids[:1]])) == ["", "�"]
+
+
+def test_bpe_pieces_of_long_texts(ranks, monkeypatch):
+    codec = byte_bpe.Codec(*ranks)
+    text = " ".join(words(3000, 21)).encode() + "  x \n y\n".encode() + b"z" * 300
+    whole = list(codec.encode_all([text]))
+    monkeypatch.setattr(byte_bpe, "PIECE_BYTES", 50)
+    monkeypatch.setattr(byte_bpe, "CACHE_ROWS", 40)
+    assert list(byte_bpe.Codec(*ranks).encode_all([text, b"", text])) == [whole[0], b"", whole[0]]
+
+
+# substring dedup
+
+
+def test_repeated_passages_are_found(spark, none):
+    clean = [(k, " ".join(words(300, 700 + k, 4000))) for k in range(20)]
+    passage = words(80, 3, 4000)
+    rows = [*clean, (50, " ".join(words(120, 41, 4000) + passage + words(90, 42, 4000))), (60, " ".join(words(33, 43, 4000) + passage + words(7, 44, 4000)))]
+    found = substring_dedup.repeats(frame(spark, rows, CLASH)).collect()
+    assert [(r["doc_id"], r["first_id"]) for r in found] == [(60, 50)]
+    text = dict(rows)[60]
+    span = text[found[0]["start"] : found[0]["start"] + found[0]["n_chars"]]
+    assert span in " ".join(passage) + " " + rows[-1][1] and span in dict(rows)[50] and len(span) >= 200
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(frame(spark, rows)).collect()}
+    assert cut[60] == text.replace(span, "") and cut[50] == dict(rows)[50]
+    assert substring_dedup.repeats(none).count() == 0
+
+
+def test_chunks_cover_texts_and_resist_shifts(docs):
+    for _, t in awkward_rows():
+        b = (t or "").encode()
+        ends = substring_dedup.chunk_ends(b)
+        assert ends == sorted(set(ends)) and (ends[-1] == len(b) if b else not ends)
+        for a, z in zip([0, *ends], ends, strict=False):
+            b[a:z].decode()
+            assert z - a <= substring_dedup.MAX_BYTES + 11
+    long = " ".join(words(4000, 77, 4000)).encode()
+    a = {x for x in np.split(np.frombuffer(long, np.uint8), substring_dedup.chunk_ends(long)) for x in [x.tobytes()]}
+    shifted = b"inserted " + long
+    b = {x.tobytes() for x in np.split(np.frombuffer(shifted, np.uint8), substring_dedup.chunk_ends(shifted))}
+    assert len(a & b) > 0.97 * len(a)
+    found = {r["doc_id"] for r in substring_dedup.repeats(docs).collect()}
+    assert {2, 3, 11, 19} <= found and not found & {1, 10, 12, 7, None}
+
+
+# decontamination
+
+ITEMS = [(1, " ".join(words(70, 2)[10:40])), (2, "one two"), (3, None), (4, ""), (5, "ONE, two!"), (None, " ".join(words(70, 2)[45:60])), (6, " ".join(words(25, 99))), (7, "same same same same same same same same same same same same")]
+
+
+@pytest.mark.parametrize("sizes", [(1_000_000, 1_000_000), (200, 1_000_000), (1_000, 20)])
+def test_decontamination_equals_brute_force(spark, docs, sizes):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontamination.scan(docs, bench, shard_words=sizes[0], block_words=sizes[1])
+    got = sorted(((r["doc_id"], r["n_words"], sum(z - a for a, z in zip(r["run_starts"], r["run_ends"], strict=True)), sorted(r["items"])) for r in found.collect()), key=key)
+    expected = []
+    for i, t in awkward_rows():
+        n, hit, ids = contamination(t if i != 12 else " ".join(bench_words(t)), ITEMS) if i != 12 else brute_long(t)
+        expected.append((i, n, hit, sorted(ids)))
+    assert got == sorted(expected, key=key)
+    clean = decontamination.clean_rows(docs, bench, shard_words=sizes[0], block_words=sizes[1])
+    assert clean.schema == docs.schema
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=key) == sorted(((i, t) for (i, t), e in zip(awkward_rows(), expected, strict=True) if not e[2]), key=key)
+
+
+def brute_long(text):
+    found = bench_words(text)
+    by_start = {}
+    for k, w in enumerate(found):
+        by_start.setdefault(w, []).append(k)
+    hit, ids = set(), set()
+    for item, t in ITEMS:
+        own = bench_words(t)
+        n = min(10, len(own))
+        for a in range(len(own) - n + 1 if n else 0):
+            for b in by_start.get(own[a], ()):
+                if found[b : b + n] == own[a : a + n]:
+                    hit.update(range(b, b + n))
+                    ids.add(item)
+    return len(found), len(hit), {x for x in ids if x is not None}
+
+
+def test_index_can_be_stored_and_searched(spark, docs, tmp_path):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    decontamination.build_index(docs, shard_words=500).write.parquet(str(tmp_path / "index"))
+    stored = decontamination.search_index(spark.read.parquet(str(tmp_path / "index")), bench)
+    assert sorted(map(str, decontamination.digests(stored).collect())) == sorted(map(str, decontamination.digests(decontamination.scan(docs, bench)).collect()))
+
+
+def test_proximity_matches_allow_words_between(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta x gamma delta epsilon zeta"), (3, "zeta q q q q q q alpha beta gamma")]
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in decontamination.digests(decontamination.scan(frame(spark, rows), bench)).collect()}
+    assert got == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
+
+
+def test_decontamination_of_nothing(spark, docs, none):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert decontamination.scan(none, bench).count() == 0
+    free = decontamination.digests(decontamination.scan(docs, bench.filter("false")))
+    assert free.filter("contaminated or n_hit > 0").count() == 0 and free.count() == len(awkward_rows())
+    assert decontamination.clean_rows(docs, bench.filter("false")).count() == len(awkward_rows())
+
+
+# secrets
+
+
+def test_secret_spans_equal_python(spark, docs, none):
+    model = secret_scan.train(secret_scan.samples(spark, docs))
+    got = sorted(map(tuple, secret_scan.digests(secret_scan.scan(docs, model)).collect()), key=key)
+    expected = []
+    for i, t in awkward_rows():
+        found = secret_spans(t)
+        expected.append((i, *(sum(x[3] == k for x in found) for k in ("assign", "access", "hex")), sha(",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in found))))
+    assert [r[:5] for r in got] == sorted(expected, key=key)
+    spans = {r[0]: r[5] for r in got}
+    text = dict(awkward_rows())[20]
+    first = text.index("3fJk")
+    assert f"markov:{first}:{first + 25}" in spans[20]
+    assert spans[12] == "" and spans[16] == "" and spans[1] == ""
+    assert secret_scan.scan(none, model).count() == 0
+    clean = secret_scan.redacted(docs, model)
+    assert clean.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert texts[20] == "ab  cd\n\n\nef  [SECRET] [SECRET]" and texts[1] == dict(awkward_rows())[1]
+    assert texts[15].count("[SECRET]") == 3 and "hunter2" not in texts[15] and "AKIA" not in texts[15]
+
+
+def test_many_secrets_in_one_text(spark):
+    text = " é ".join(f"token={k:012d}" for k in range(1500))
+    model = secret_scan.train(secret_scan.samples(spark))
+    (row,) = secret_scan.digests(secret_scan.scan(frame(spark, [(1, text)]), model)).collect()
+    assert row["spans"] == ",".join(f"assign:{a}:{z}" for a, _, z, _ in secret_spans(text))
+
+
+def test_markov_models_tell_random_from_ordinary(spark):
+    model = secret_scan.train(secret_scan.samples(spark))
+    r = random.Random(8)
+    odd = ["".join(r.choices(secret_scan.ALPHABET[:62], k=30)) for _ in range(300)]
+    plain = ["_".join(r.choices(secret_scan.WORDS.split(), k=4)) for _ in range(300)]
+    assert np.mean([model.score(x) > secret_scan.THRESHOLD for x in odd]) > 0.99
+    assert np.mean([model.score(x) > secret_scan.THRESHOLD for x in plain]) < 0.01
+
+
+def test_awkward_license_line_is_there():
+    assert any(t and LICENSE_LINE in t for _, t in awkward_rows())
