@@ -146,10 +146,10 @@ def buckets(members: DataFrame) -> DataFrame:
 
 
 def _alike(a: str, b: str, threshold: tuple[int, int]) -> Column:
-    """What sizes and sketches of two nodes allow to be a link."""
+    """What sizes and sketches of two nodes allow to be a link; ``open`` is how many of a node's shingles others may have."""
     part, whole = threshold
-    least, most = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (F.lit(whole) * least >= F.lit(part) * most) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
+    common = F.least(f"{a}.open", f"{b}.open")
+    return (F.lit(whole) * common >= F.lit(part) * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
 
 
 def _texts(docs: DataFrame, needed: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
@@ -221,7 +221,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _crossing(spread: DataFrame, few: int | None, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Pairs between components inside the buckets of ``spread`` (key, node, component, n, bits); and the keys with too many.
+    """Pairs between components inside the buckets of ``spread`` (key, node, component, n, bits, open); and the keys with too many.
 
     Members outside a bucket's largest component meet all its members.
     """
@@ -237,7 +237,7 @@ def _crossing(spread: DataFrame, few: int | None, threshold: tuple[int, int]) ->
 
 
 def _prefix_buckets(dense: DataFrame, docs: DataFrame, nodes: DataFrame, id_column: str, text: str, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """(key, node) by the rare shingles of nodes that a link can't do without."""
+    """(key, node, open) by the rare shingles of nodes that a link can't do without; ``open`` leaves out shingles of one node alone."""
     part, whole = threshold
     texts = _texts(docs, nodes.select("node", "min_id", "d1", "d2").join(dense, "node"), id_column, text, width)
 
@@ -251,7 +251,9 @@ def _prefix_buckets(dense: DataFrame, docs: DataFrame, nodes: DataFrame, id_colu
     frequent = one.groupBy("key").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
     prefix = F.col("n") - F.ceil(F.col("n") * part / whole) + 1
-    return one.join(frequent, "key").withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("df") > 1)).select("key", "node")
+    shared = F.sum(F.when(F.col("df") > 1, 1).otherwise(0)).over(Window.partitionBy("node"))
+    ranked = one.join(frequent, "key").withColumns({"rank": rank, "open": shared})
+    return ranked.filter((F.col("rank") <= prefix) & (F.col("df") > 1) & (whole * F.col("open") >= part * F.col("n"))).select("key", "node", "open")
 
 
 def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -261,7 +263,7 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text", widt
     """
     signed = checkpointed(signatures(docs, id_column, text, width))
     nodes = numbered_nodes(signed)
-    facts = nodes.select("node", "n", "bits")
+    facts = nodes.select("node", "n", "bits", F.col("n").alias("open"))
     members = checkpointed(memberships(nodes))
     found = checkpointed(members.join(buckets(members), "key"))
 
