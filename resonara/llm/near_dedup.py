@@ -89,9 +89,9 @@ def sketch(low: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """id, n (shingles), d1 and d2 (digest of the set), half keys and bits of every row; keys are null for an empty set."""
+    """id, text_hash, n (shingles), d1 and d2 (digest of the set), half keys and bits of every row; all but the first two are 0 for an empty set."""
     small_batches(docs.sparkSession)
-    docs = docs.select(id_column, text)
+    docs = docs.select(id_column, text, F.xxhash64(text).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -114,9 +114,9 @@ def signatures(docs: DataFrame, id_column: str, text: str, width: int) -> DataFr
                 keys[full[begin:end]], bits[full[begin:end]] = half_keys(low), sketch(low)
                 begin = end
             flat = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), 2 * HALF_KEYS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(digest[:, 1]).view(np.int64)), flat, pa.array(bits.view(np.int64))], ["id", "n", "d1", "d2", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(digest[:, 1]).view(np.int64)), flat, pa.array(bits.view(np.int64))], ["id", "text_hash", "n", "d1", "d2", "keys", "bits"])
 
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n long, d1 long, d2 long, keys array<long>, bits long")
+    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, text_hash long, n long, d1 long, d2 long, keys array<long>, bits long")
 
 
 def numbered_nodes(signed: DataFrame) -> DataFrame:
@@ -261,6 +261,11 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text", widt
 
     Sets link if ``threshold[1] * |intersection| >= threshold[0] * |union|``.
     """
+    return _clustered(docs, id_column, text, width, threshold).drop("text_hash").withColumnRenamed("id", id_column)
+
+
+def _clustered(docs: DataFrame, id_column: str, text: str, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """The result of ``cluster``, its id as ``id``, with ``text_hash``."""
     signed = checkpointed(signatures(docs, id_column, text, width))
     nodes = numbered_nodes(signed)
     facts = nodes.select("node", "n", "bits", F.col("n").alias("open"))
@@ -292,19 +297,23 @@ def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text", widt
 
     names = nodes.select(F.col("node").alias("component"), F.col("min_id").alias("component_id"))
     placed = nodes.select("d1", "d2", "node").join(final, "node", "left").withColumn("component", F.coalesce("component", "node")).join(names, "component").select("d1", "d2", "component_id")
-    own = signed.select("id", "n", "d1", "d2").join(placed, ["d1", "d2"], "left")
+    own = signed.select("id", "text_hash", "n", "d1", "d2").join(placed, ["d1", "d2"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return own.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return own.select("id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def kept_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row of ``docs`` for each component, all columns as they are; of rows with the kept id, the first by text."""
-    kept = checkpointed(cluster(docs, id_column, text, width, threshold).filter("kept").groupBy(F.col(id_column).alias("kept_id")).agg(F.count("*").alias("times")))
-    own = F.col(id_column).eqNullSafe(F.col("kept_id"))
+    """One row of ``docs`` for each component, all columns as they are; rows equal in id and text count once."""
+    kept = _clustered(docs, id_column, text, width, threshold).filter("kept").groupBy(F.col("id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("times"))
+    kept = checkpointed(kept)
+    own = F.col(id_column).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_hash"))
     chosen = docs.join(kept.filter("times = 1"), own, "left_semi")
     twice = kept.filter("times > 1")
     if twice.isEmpty():
         return chosen
-    order = Window.partitionBy(id_column).orderBy(text)
-    several = docs.join(twice, own, "left_semi").withColumn("nth_row", F.row_number().over(order)).filter("nth_row = 1").drop("nth_row")
+    order = Window.partitionBy(id_column, text).orderBy(F.lit(0))
+    nth = "nth"
+    while nth in docs.columns:
+        nth += "_"
+    several = docs.join(twice, own, "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
     return chosen.unionByName(several)
