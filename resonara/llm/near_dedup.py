@@ -52,7 +52,7 @@ ROWS = 3
 HALF_KEYS = 12
 SKETCH_BITS = 16
 #: Members outside a bucket's largest component up to which pairs come from the bucket.
-FEW = 16
+FEW = 4
 #: Rows of 40 bytes up to which a list of documents is sent to all tasks; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -145,10 +145,10 @@ def buckets(members: DataFrame) -> DataFrame:
     return found.filter("leader < high").groupBy("size", "leader", "x1", "x2").agg(F.min("key").alias("key")).select("key", "leader", "size")
 
 
-def _alike(a: str, b: str, threshold: tuple[int, int]) -> Column:
-    """What sizes and sketches of two nodes allow to be a link; ``open`` is how many of a node's shingles others may have."""
+def _alike(a: str, b: str, threshold: tuple[int, int], common: Column | None = None) -> Column:
+    """What sizes and sketches of two nodes allow to be a link; ``common`` is what they can share at most."""
     part, whole = threshold
-    common = F.least(f"{a}.open", f"{b}.open")
+    common = F.least(f"{a}.n", f"{b}.n") if common is None else common
     return (F.lit(whole) * common >= F.lit(part) * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
 
 
@@ -220,10 +220,10 @@ def components(links: DataFrame) -> DataFrame:
     return found.union(found.select(F.col("component"), "component").distinct())
 
 
-def _crossing(spread: DataFrame, few: int | None, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Pairs between components inside the buckets of ``spread`` (key, node, component, n, bits, open); and the keys with too many.
+def _crossing(spread: DataFrame, few: int | None, alike: Column) -> tuple[DataFrame, DataFrame]:
+    """Pairs between components inside the buckets of ``spread`` (key, node, component, n, bits), and the keys with too many.
 
-    Members outside a bucket's largest component meet all its members.
+    Members outside a bucket's largest component meet all its members; ``alike`` is a condition on a pair ``a``, ``b``.
     """
     sums = spread.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("largest"))
     sums = sums.filter(F.col("size") > F.col("largest.c")).select("key", F.col("largest.component").alias("main"), (F.col("size") - F.col("largest.c")).alias("outside"))
@@ -231,13 +231,22 @@ def _crossing(spread: DataFrame, few: int | None, threshold: tuple[int, int]) ->
     a = spread.join(near, "key").filter("component <> main").alias("a")
     b = spread.alias("b")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.main")) | (F.col("a.node") < F.col("b.node")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _alike("a", "b", threshold))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & alike)
     pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     return pairs, sums.filter(F.lit(False)) if few is None else sums.filter(F.col("outside") > few)
 
 
+#: Earlier shared shingles of a prefix that a row of a prefix bucket carries.
+EARLIER = 48
+
+
 def _prefix_buckets(dense: DataFrame, docs: DataFrame, nodes: DataFrame, id_column: str, text: str, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """(key, node, open) by the rare shingles of nodes that a link can't do without; ``open`` leaves out shingles of one node alone."""
+    """(key, node, after, nth, earlier) by the rare shingles of nodes that a link can't do without.
+
+    Shingles of one node alone are left out.  ``after`` is how many of the
+    node's shingles are less rare than the key, ``nth`` the key's place among
+    the node's keys, ``earlier`` up to EARLIER keys before it.
+    """
     part, whole = threshold
     texts = _texts(docs, nodes.select("node", "min_id", "d1", "d2").join(dense, "node"), id_column, text, width)
 
@@ -249,11 +258,23 @@ def _prefix_buckets(dense: DataFrame, docs: DataFrame, nodes: DataFrame, id_colu
 
     one = checkpointed(texts.mapInArrow(run, "node long, shingles array<long>")).select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     frequent = one.groupBy("key").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "key"))
+    by_rank = Window.partitionBy("node").orderBy("df", "key")
     prefix = F.col("n") - F.ceil(F.col("n") * part / whole) + 1
-    shared = F.sum(F.when(F.col("df") > 1, 1).otherwise(0)).over(Window.partitionBy("node"))
-    ranked = one.join(frequent, "key").withColumns({"rank": rank, "open": shared})
-    return ranked.filter((F.col("rank") <= prefix) & (F.col("df") > 1) & (whole * F.col("open") >= part * F.col("n"))).select("key", "node", "open")
+    ranked = one.join(frequent, "key").withColumn("rank", F.row_number().over(by_rank)).filter((F.col("rank") <= prefix) & (F.col("df") > 1))
+    earlier = F.collect_list("key").over(by_rank.rowsBetween(-EARLIER, -1))
+    return ranked.select("key", "node", (F.col("n") - F.col("rank")).alias("after"), F.row_number().over(by_rank).alias("nth"), earlier.alias("earlier"))
+
+
+def _first_shared(threshold: tuple[int, int]) -> Column:
+    """Whether a pair of a prefix bucket is alike where the key is the first that both have.
+
+    Before the key the two share nothing then, so they share at most it and
+    what comes after.  A pair with an earlier shared key is met there.  Keys
+    with more than EARLIER others before them leave only the sizes.
+    """
+    known = (F.col("a.nth") <= EARLIER + 1) & (F.col("b.nth") <= EARLIER + 1)
+    most = F.when(known, 1 + F.least("a.after", "b.after")).otherwise(F.least("a.n", "b.n"))
+    return _alike("a", "b", threshold, most) & ~(known & F.arrays_overlap("a.earlier", "b.earlier"))
 
 
 def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -268,7 +289,7 @@ def _clustered(docs: DataFrame, id_column: str, text: str, width: int, threshold
     """The result of ``cluster``, its id as ``id``, with ``text_hash``."""
     signed = checkpointed(signatures(docs, id_column, text, width))
     nodes = numbered_nodes(signed)
-    facts = nodes.select("node", "n", "bits", F.col("n").alias("open"))
+    facts = nodes.select("node", "n", "bits")
     members = checkpointed(memberships(nodes))
     found = checkpointed(members.join(buckets(members), "key"))
 
@@ -280,12 +301,12 @@ def _clustered(docs: DataFrame, id_column: str, text: str, width: int, threshold
 
     rest = found.filter("size > 2 and node <> leader").select("key", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = checkpointed(rest.join(facts, "node"))
-    pairs, many = _crossing(rest, FEW, threshold)
+    pairs, many = _crossing(rest, FEW, _alike("a", "b", threshold))
     dense = checkpointed(rest.join(many.select("key"), "key", "left_semi").select("node").distinct())
     if not dense.isEmpty():
         by_prefix = _prefix_buckets(dense, docs, nodes, id_column, text, width, threshold)
         spread = checkpointed(by_prefix.join(rest.select("node", "component", "n", "bits").distinct(), "node"))
-        pairs = pairs.union(_crossing(spread, None, threshold)[0])
+        pairs = pairs.union(_crossing(spread, None, _first_shared(threshold))[0])
     more = verified(pairs.distinct(), docs, nodes, id_column, text, width, threshold)
     final = of
     if not more.isEmpty():
