@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch.  Batches are counted in rows, and one text may be very long.
 BATCH_ROWS = 512
@@ -50,6 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hash_sample(rows: int, wanted: int, *columns: str) -> Column:
+    """A condition that holds for about ``wanted`` of ``rows`` rows, all if there are no more: those with the lowest hash of ``columns``."""
+    if rows <= wanted:
+        return F.lit(True)
+    return F.xxhash64(*columns) < F.lit(-(1 << 63) + (wanted << 64) // rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as bytes; a null text is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

@@ -26,6 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resonara.llm.common import hash_sample
+
 # Kind, pattern, the group whose length counts, its least length, what a match must hold (in lower case).
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("passw", "secret", "token", "api")),
@@ -40,9 +42,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 THRESHOLD = 0.35
 CHUNK = 256
 
-#: Bounds of the labelled samples: documents whose tokens are ordinary, and random strings.
+#: Sizes of the labelled samples: documents whose tokens are ordinary (about as many), and random strings.
 SAMPLE_DOCS = 1000
-SAMPLE_TOKENS = 200_000
 RANDOM_STRINGS = 6000
 
 # Ordinary words of identifiers.
@@ -71,9 +72,9 @@ def samples(spark: SparkSession, docs: DataFrame | None = None, id_column: str =
     """Labelled samples (label, token): random strings, identifiers, and ordinary tokens of a bounded number of documents.
 
     Random strings are digests written in four alphabets.  Identifiers are one
-    to three of WORDS joined in three styles.  The documents are the
-    SAMPLE_DOCS first by hash, and their tokens the SAMPLE_TOKENS first by
-    hash, without any that the fixed patterns match.
+    to three of WORDS joined in three styles.  The documents are about the
+    SAMPLE_DOCS lowest by hash of id and text, equal rows once, and their
+    tokens those that the fixed patterns don't match.
     """
     n = F.col("id")
     digest = F.sha2(n.cast("string"), 256)
@@ -90,12 +91,12 @@ def samples(spark: SparkSession, docs: DataFrame | None = None, id_column: str =
     ordinary = spark.range(3 * RANDOM_STRINGS).select(F.lit("ordinary").alias("label"), styled.alias("token"))
     labelled = random.union(ordinary)
     if docs is not None:
-        first = docs.select(id_column, text).orderBy(F.xxhash64(F.col(id_column)), text).limit(SAMPLE_DOCS)
+        first = docs.select(id_column, text).filter(hash_sample(docs.count(), SAMPLE_DOCS, id_column, text)).distinct()
         clean = F.coalesce(F.col(text), F.lit(""))
         for _, found, _, _, _ in KINDS:
             clean = F.regexp_replace(clean, found, " ")
         tokens = first.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), 0)).alias("token"))
-        labelled = labelled.union(tokens.orderBy(F.xxhash64("token")).limit(SAMPLE_TOKENS).select(F.lit("ordinary"), "token"))
+        labelled = labelled.union(tokens.select(F.lit("ordinary"), "token"))
     return labelled
 
 
