@@ -8,8 +8,8 @@ thresholds turn its score into cumulative probabilities:
 ``P(grade > k) = sigmoid(score - threshold[k])``.  From these come the expected
 grade and the tail probability by which documents are selected.
 
-Training runs on the driver over at most SAMPLE_ROWS labelled documents, the
-first by hash of their id, which arrive as lists of buckets.  Buckets of
+Training runs on the driver over about SAMPLE_ROWS labelled documents, those of
+the lowest hash of their id and never more than twice as many, which arrive as lists of buckets.  Buckets of
 fewer than LEAST_DOCUMENTS sampled documents, and those whose shares above
 every grade stay within LEAST_Z standard errors of the overall ones, keep
 weight 0.  The fitted weights have
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resonara.llm.common import WordHashes, small_batches, utf8
+from resonara.llm.common import WordHashes, hash_sample, small_batches, utf8
 from resonara.llm.decontamination import words_of
 from resonara.llm.quality_rules import measure
 
@@ -139,8 +139,9 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, id_column: str = "d
     """The model of labelled documents; ``grades`` has the id and a grade from 0 to ``n_grades - 1``."""
     small_batches(docs.sparkSession)
     legal = grades.select(F.col(id_column).alias("id"), F.col(grade).cast("int").alias("grade")).filter(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1))
-    # At most sample_rows rows, whatever the labels' size: the bound of this broadcast.
-    sample = legal.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    # At most 2 * sample_rows rows, whatever the labels' size: the bound of this broadcast.
+    one = legal.groupBy("id").agg(F.min("grade").alias("grade"))
+    sample = one.filter(hash_sample(one.count(), sample_rows, "id")).limit(2 * sample_rows)
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
