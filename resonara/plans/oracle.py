@@ -1,3 +1,250 @@
-"""DuckDB SQL of the engine's queries."""
+"""DuckDB SQL of the engine's queries, over the same tables."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+A = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'"
+
+
+def enc(n: str, radix: int = 62) -> str:
+    return f"(substr({A}, (({n}) // {radix})::INT + 1, 1) || substr({A}, (({n}) % {radix})::INT + 1, 1))"
+
+
+def dec(x: str, radix: int = 62) -> str:
+    digits = A if radix == 62 else A[:37] + "'"
+    high, low = f"instr({digits}, substr({x}, 1, 1))", f"instr({digits}, substr({x}, 2, 1))"
+    return f"(CASE WHEN length({x}) = 2 AND {high} > 0 AND {low} > 0 THEN ({high} - 1) * {radix} + {low} - 1 END)"
+
+
+FILES = f"""files AS (
+  SELECT p_partkey AS idx, (p_partkey % 3844)::INT AS num_int, {enc('p_partkey % 3844')} AS num,
+    'sounds/' || replace(p_name, ' ', '_') || '_' || p_partkey || '.wav' AS name, p_size::BIGINT AS file_size FROM part)"""
+STEMS = FILES + r""", stems AS (
+  SELECT *, regexp_replace(regexp_extract(name, '([^/\\]*)$', 1), '\.[^.]*$', '') AS stem FROM files)"""
+REPLACES = """replaces AS (
+  SELECT n::INT AS num_int, (CASE n % 5 WHEN 0 THEN 0 WHEN 1 THEN n WHEN 3 THEN n - 2 ELSE n - 1 END)::INT AS replace_to FROM range(3844) t(n))"""
+CHART = (
+    FILES
+    + f""", items AS (
+  SELECT l_orderkey, string_agg({enc('l_partkey % 3844')}, '' ORDER BY l_linenumber, l_partkey) AS data FROM lineitem WHERE l_orderkey <= 4000 GROUP BY l_orderkey),
+chart AS (
+  SELECT 0::BIGINT AS line_no, '#TITLE a song' AS line
+  UNION ALL SELECT idx + 1, (CASE WHEN idx % 50 = 0 THEN '#wav' ELSE '#WAV' END) || num || '  ' || name || ' ' FROM files WHERE idx < 5000
+  UNION ALL SELECT l_orderkey + 10000, '#' || lpad((l_orderkey % 1000)::VARCHAR, 3, '0') || ['01', '11', '04', 'D1', '5A', '29'][(l_orderkey % 6 + 1)::INT] || ':' || data
+    || (CASE WHEN l_orderkey % 7 = 0 THEN 'x' ELSE '' END) FROM items)"""
+)
+DEFINED = (
+    CHART
+    + r""", defined AS (
+  SELECT line_no AS idx, regexp_extract(line, '^#WAV([0-9A-Za-z]{2})\s+(.+)$', 1) AS num, trim(regexp_extract(line, '^#WAV([0-9A-Za-z]{2})\s+(.+)$', 2)) AS name
+  FROM chart WHERE regexp_matches(line, '^#WAV([0-9A-Za-z]{2})\s+(.+)$'))"""
+)
+
+
+def kept(files: str = FILES) -> str:
+    return (
+        files
+        + ", "
+        + REPLACES
+        + f""", reduced AS (
+  SELECT f.*, CASE WHEN f.num_int BETWEEN 10 AND 3000 AND r.replace_to > 0 THEN r.replace_to ELSE f.num_int END AS reduced FROM files f LEFT JOIN replaces r USING (num_int)),
+kept AS (
+  SELECT place, o.num_int, o.idx, o.name FROM (SELECT reduced, min(idx) AS place FROM reduced GROUP BY reduced) u
+  JOIN (SELECT num_int, min(idx) AS idx, arg_min(name, idx) AS name FROM files GROUP BY num_int) o ON u.reduced = o.num_int),
+ranked AS (SELECT *, row_number() OVER (ORDER BY upper(name), place) AS new_int, count(*) OVER () AS n FROM kept),
+numbered AS (SELECT num_int, new_int, CASE WHEN n > 1295 THEN {enc('new_int')} ELSE {enc('new_int', 36)} END AS new_num, name FROM ranked),
+mapped AS (SELECT f.num, arg_max(m.new_num, f.idx) AS new_num FROM reduced f JOIN numbered m ON f.reduced = m.num_int GROUP BY f.num)"""
+    )
+
+
+WAVES = """base AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+waves AS (SELECT * FROM base UNION ALL SELECT vec_id + 1000000, label, list_transform(x, lambda v: v * (1 + (vec_id % 5) * 0.313::DOUBLE)) FROM base),
+rms AS (SELECT *, sqrt(list_dot_product(x, x) / len(x))::FLOAT AS rms FROM waves),
+centred AS (SELECT *, list_transform(x, lambda v: v - list_sum(x) / len(x)) AS c FROM rms),
+units AS (SELECT *, CASE WHEN sqrt(list_dot_product(c, c)) < 1e-10 THEN list_transform(c, lambda v: 0.0::DOUBLE) ELSE list_transform(c, lambda v: v / sqrt(list_dot_product(c, c))) END AS u FROM centred)"""
+SOUNDS = (
+    WAVES
+    + """, sounds AS (
+  SELECT (vec_id % 1000000 * 2 + CASE WHEN vec_id >= 1000000 THEN 2 ELSE 1 END)::BIGINT AS idx, label, rms, u, label || '_' || trunc(rms * 100::FLOAT)::INT AS block_key
+  FROM units WHERE vec_id % 1000000 < 1900)"""
+)
+NAMED = STEMS + ", named AS (SELECT *, CASE WHEN idx % 13 <> 0 THEN ((idx % 37) / 64.0)::FLOAT END AS rms FROM stems)"
+KEYWORD = "CASE WHEN contains(lower(stem), 'widget') THEN 'widget' WHEN contains(lower(stem), 'gear') THEN 'gear' WHEN contains(lower(stem), 'hot') THEN 'hot' WHEN contains(lower(stem), 'a') THEN 'a' WHEN contains(lower(stem), 'o') THEN 'o' END"
+NOT_WORDS = "wav mp3 ogg flac aiff aif au raw pcm bit khz mono stereo left right mid side loop oneshot shot sample smp sfx fx edit mix master final ver version v01 v02 v03 test temp tmp backup bak copy new old untitled noname default misc other unknown file audio sound track song music bms bme bml bmg"
+
+
+def words(stem: str) -> str:
+    head = "regexp_extract(p, '^[a-zA-Z]+', 0)"
+    whole = "CASE WHEN length(p) BETWEEN 3 AND 20 AND regexp_full_match(p, '[a-zA-Z][a-zA-Z0-9]*') THEN p END"
+    parts = rf"list_filter(string_split_regex({stem}, '[_\- .()\[\]{{}}]'), lambda p: p <> '' AND NOT regexp_full_match(p, '\d+'))"
+    return f"flatten(list_transform({parts}, lambda p: list_filter([CASE WHEN length({head}) >= 3 THEN {head} END, {whole}], lambda w: w IS NOT NULL)))"
+
+
+COUNTED = (
+    STEMS
+    + f""", split AS (SELECT idx, {words('stem')} AS ws FROM stems),
+found AS (SELECT idx, unnest(ws) AS shown, generate_subscripts(ws, 1) AS pos FROM split),
+counted AS (
+  SELECT lower(shown) AS word, arg_min(shown, idx * 1000 + pos) AS shown, count(*) AS cnt, min(idx * 1000 + pos) AS first FROM found
+  WHERE length(shown) BETWEEN 3 AND 20 AND lower(shown) NOT IN ({', '.join(repr(x) for x in NOT_WORDS.split())}) GROUP BY lower(shown) HAVING count(*) >= 3),
+matched AS (
+  SELECT f.idx, c.shown, row_number() OVER (PARTITION BY f.idx ORDER BY c.cnt DESC, c.first) AS rn FROM stems f JOIN counted c ON contains(lower(f.stem), c.word)),
+instruments AS (SELECT f.idx, coalesce(m.shown, '') AS instrument FROM files f LEFT JOIN matched m ON f.idx = m.idx AND m.rn = 1)"""
+)
+POINTS = """points AS (
+  SELECT dayofyear(o_orderdate) / 1000.0::DOUBLE AS threshold, dayofyear(o_orderdate) * 11 - 300 + count(*) % 7 AS file_count FROM orders GROUP BY dayofyear(o_orderdate))"""
+
+
+def best(limit: int, points: str = "points") -> str:
+    fits, some = f"file_count BETWEEN 1 AND {limit}", "file_count > 0"
+    return f"""SELECT {limit if points == 'points' else 0} AS file_limit,
+  coalesce(max(threshold) FILTER ({fits}), arg_min(threshold, file_count * 1000 - threshold) FILTER ({some}), 0.6::DOUBLE) AS threshold,
+  coalesce(arg_max(file_count, threshold) FILTER ({fits}), arg_min(file_count, file_count * 1000 - threshold) FILTER ({some}), 0)::BIGINT AS file_count FROM {points}"""
+
+
+def bounds(start: int, end: int) -> str:
+    return f"""SELECT {start} AS asked_start, {end} AS asked_end, greatest(arg_min(num_int, idx), {max(start, 1)}) AS start_point,
+  least(greatest(max(num_int), 1), least({end if end > 0 else 'greatest(max(num_int), 1)'}, 3842)) AS end_point FROM files"""
+
+
+PEARSON = """sums AS (
+  SELECT *, len(x) AS n, list_sum(x) AS sx, list_sum(y) AS sy, list_dot_product(x, x) AS sxx, list_dot_product(y, y) AS syy FROM made),
+spread AS (SELECT *, sxx - sx * sx / n AS vx, syy - sy * sy / len(y) AS vy FROM sums)"""
+
+SQL: dict[str, str] = {
+    "id_encode_36": f"SELECT p_partkey, {enc('p_partkey % 1296', 36)} AS id36, CASE WHEN p_partkey <= 1295 THEN {enc('p_partkey', 36)} END AS in_range FROM part",
+    "id_encode_62": f"SELECT p_partkey, {enc('p_partkey % 3844')} AS id62, {enc('p_partkey % 3844')} AS other_base FROM part",
+    "id_decode_62": f"WITH {FILES} SELECT idx, num, {dec('num')} AS as62, {dec('num', 36)} AS as36 FROM files",
+    "id_invalid_flags": f"""WITH t AS (SELECT c_custkey, substr(c_name, 1, c_custkey % 4) AS typed FROM customer)
+SELECT c_custkey, typed, {dec('typed')} IS NULL AS invalid62, regexp_full_match(typed, '[0-9A-Za-z]{{0,2}}') AS legal, CASE WHEN typed = '' THEN '' ELSE lpad(typed, 2, '0') END AS padded FROM t""",
+    "range_validate": f"""WITH {FILES}, t AS (SELECT idx, substr(num, 1, idx % 7 + 1) AS start_id, {enc('idx * 37 % 3844')} AS end_id FROM files)
+SELECT idx, start_id, end_id, CASE WHEN length(start_id) <> 2 THEN 'start length' WHEN length(end_id) <> 2 THEN 'end length' WHEN {dec('start_id')} IS NULL OR {dec('end_id')} IS NULL THEN 'format'
+  WHEN {dec('start_id')} < 1 THEN 'start too low' WHEN {dec('end_id')} <= {dec('start_id')} THEN 'end not after start' ELSE '' END AS error FROM t""",
+    "field_validate": f"""WITH {FILES}, t AS (SELECT idx, idx % 130 - 10 AS v, {dec('num', 36)} AS s, idx * 41 % 1296 AS e FROM files)
+SELECT idx, CASE WHEN v BETWEEN 0 AND 100 THEN '' ELSE 'out of range' END AS threshold_error,
+  CASE WHEN s IS NULL THEN 'format' WHEN s < 1 THEN 'too low' WHEN s >= e THEN 'not below end' ELSE '' END AS start_error,
+  CASE WHEN e = 0 THEN '' WHEN s IS NULL THEN 'format' WHEN e <= s THEN 'not above start' ELSE '' END AS end_error FROM t""",
+    "threshold_parse": r"""WITH t AS (
+  SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN s_suppkey::VARCHAR WHEN 1 THEN (s_suppkey % 120) || '%' WHEN 2 THEN '0.' || s_suppkey WHEN 3 THEN '-' || s_suppkey
+    WHEN 4 THEN (s_suppkey % 130) || '.5' ELSE ['', ' ', 'NaN', 'x', '1', '1%'][(s_suppkey % 36 // 6 + 1)::INT] END AS typed FROM supplier),
+c AS (SELECT *, trim(rtrim(typed, '%')) AS clean FROM t),
+p AS (SELECT *, CASE WHEN regexp_full_match(clean, '[+-]?\d+') THEN try_cast(clean AS INT) END AS whole, CASE WHEN regexp_full_match(clean, '[+-]?(\d+\.?\d*|\.\d+)') THEN try_cast(clean AS FLOAT) END AS part FROM c),
+v AS (SELECT *, (CASE WHEN whole = 1 THEN 1.0 WHEN whole BETWEEN 0 AND 100 THEN whole / 100.0 WHEN whole IS NULL AND part BETWEEN 0 AND 1 THEN part WHEN whole IS NULL AND part > 1 AND part <= 100 THEN part / 100.0 END)::FLOAT AS value FROM p),
+e AS (SELECT *, CASE WHEN trim(typed) = '' THEN 'missing' WHEN whole IS NULL AND part IS NULL THEN 'format' WHEN value IS NULL THEN 'out of range' ELSE '' END AS error FROM v)
+SELECT s_suppkey, typed, CASE WHEN error = '' THEN round(value::DOUBLE, 6) END AS value, error FROM e""",
+    "processing_range": f"WITH {FILES} " + " UNION ALL ".join(bounds(*x) for x in ((-5, 50), (1, 5000), (100, 0), (1, 3843))),
+    "path_functions": r"""SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS file_name, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '\.[^.]*$', '') AS stem,
+  regexp_extract(url, '(\.[^./\\]+)$', 1) AS ext, regexp_replace(url, '[/\\]?[^/\\]*$', '') AS dir, regexp_matches(url, '^([/\\]|[A-Za-z]:)') AS rooted,
+  CASE WHEN regexp_matches(url, '^([/\\]|[A-Za-z]:)') THEN url ELSE 'base/' || url END AS combined, trim(url, '"') AS unquoted FROM pages""",
+    "chart_names": r"""WITH t AS (SELECT p_partkey, 'a.b/' || replace(p_name, ' ', '.') || ['.bms', '.BME', '.bml', '.pms', '.txt', ''][(p_partkey % 6 + 1)::INT] AS file FROM part),
+e AS (SELECT *, regexp_extract(file, '(\.[^./\\]+)$', 1) AS ext FROM t)
+SELECT p_partkey, lower(ext) IN ('.bms', '.bme', '.bml', '.pms') AS is_chart,
+  CASE lower(ext) WHEN '.bms' THEN 'BMSファイル' WHEN '.bme' THEN 'BMEファイル' WHEN '.bml' THEN 'BMLファイル' WHEN '.pms' THEN 'PMSファイル' ELSE 'ファイル' END AS type_name,
+  substr(file, 1, length(file) - length(ext)) || '_optimized' || ext AS output FROM e""",
+    "display_conversions": r"""WITH t AS (SELECT p_partkey, p_partkey AS k, (p_partkey % 1000) / 1024.0::DOUBLE AS r,
+  CASE p_partkey % 3 WHEN 0 THEN (p_partkey % 140 - 20)::VARCHAR WHEN 1 THEN '0.' || (p_partkey % 90 + 10) ELSE 'none' END AS shown FROM part)
+SELECT p_partkey, round_even(r * 100, 0)::INT AS percent,
+  CASE k % 3 WHEN 0 THEN printf('%.2f', least(greatest(k % 140 - 20, 0), 100) / 100.0::DOUBLE) WHEN 1 THEN shown ELSE '0.40' END AS entered,
+  round(200.0::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, r * 2 - 0.5::DOUBLE)), 6) AS width, shown || '%' AS with_unit, shown AS without_unit, regexp_full_match(shown, '[0-9.]*') AS numeric FROM t""",
+    "line_classify": rf"""WITH {CHART}, t AS (SELECT line_no, CASE WHEN line_no % 11 = 0 THEN '  ' || line ELSE line END AS line FROM chart)
+SELECT CASE WHEN regexp_matches(trim(line), '^#(WAV|BMP|BPM|STOP)[0-9A-Za-z]{{2}}') THEN 'HEADER' WHEN regexp_matches(trim(line), '^#\d{{5}}:') THEN 'MAIN' ELSE 'OTHER' END AS class,
+  regexp_matches(line, '(?i)^#WAV[0-9A-Za-z]{{2}}') AS is_definition, count(*) AS n, min(line_no) AS first FROM t GROUP BY ALL""",
+    "wav_def_scan": f"WITH {DEFINED} SELECT idx, num, name FROM defined",
+    "file_list": f"""WITH {DEFINED}, radix AS (SELECT CASE WHEN bool_or(regexp_matches(num, '[a-z]')) THEN 62 ELSE 36 END AS radix FROM defined),
+listing AS (SELECT 'songs/' || name AS full_name, file_size FROM files WHERE idx % 4 <> 0)
+SELECT d.idx, CASE WHEN l.full_name IS NOT NULL THEN (CASE WHEN radix = 62 THEN {dec('num')} ELSE {dec('num', 36)} END) END AS num_int, coalesce(l.full_name, d.name) AS name, l.file_size
+FROM defined d CROSS JOIN radix LEFT JOIN listing l ON l.full_name = 'songs/' || d.name""",
+    "numbered_paths": "WITH t AS (SELECT p_partkey AS idx, row_number() OVER (ORDER BY p_partkey) + 4 AS num_int FROM part WHERE p_partkey % 3 <> 0) SELECT * FROM t WHERE num_int <= 800",
+    "channel_filter": """WITH t AS (SELECT lpad(to_hex(n), 2, '0') AS c FROM range(256) r(n)), u AS (SELECT upper(c) AS channel FROM t)
+SELECT channel, regexp_full_match(channel, '01|[1-6DE][1-9]') AS is_sound, regexp_full_match(channel, '01|[1-6DE][1-9]') AS lower_too FROM u""",
+    "base_detection": f"WITH {FILES} SELECT num_int < 1296 AS low, CASE WHEN bool_or(regexp_matches(num, '[a-z]')) THEN 62 ELSE 36 END AS radix, max(num_int) AS largest FROM files GROUP BY 1",
+    "keep_first_dedup": f"WITH {kept()} SELECT place, num_int, idx, name FROM kept",
+    "survivor_renumber": f"WITH {kept()} SELECT num_int, new_int, new_num, name FROM numbered",
+    "final_id_map": f"WITH {kept()} SELECT num, new_num FROM mapped",
+    "token_rewrite": rf"""WITH {kept(CHART)}, marked AS (
+  SELECT *, regexp_matches(line, '^#WAV[0-9A-Za-z]{{2}}') AS is_def, regexp_matches(line, '^#\d{{5}}:') AS is_main, regexp_matches(line, '^#\d{{3}}(01|[1-6DE][1-9]):.') AS is_sound FROM chart),
+anchor AS (SELECT min(line_no) FILTER (is_def OR is_main) AS a FROM marked),
+split AS (SELECT line_no, substr(line, 1, 7) AS head, regexp_extract_all(substr(line, 8), '..?') AS ts FROM marked WHERE is_main AND is_sound),
+tokens AS (SELECT line_no, head, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM split),
+changed AS (SELECT line_no, any_value(head) || string_agg(CASE WHEN t = '00' THEN t ELSE coalesce(new_num, t) END, '' ORDER BY pos) AS line FROM tokens LEFT JOIN mapped ON t = num GROUP BY line_no),
+together AS (
+  SELECT a AS l, new_int AS s, '#WAV' || new_num || ' ' || substr(name, 8) AS line FROM numbered, anchor
+  UNION ALL SELECT m.line_no, 1000000000, coalesce(c.line, m.line) FROM marked m LEFT JOIN changed c USING (line_no) WHERE NOT m.is_def)
+SELECT row_number() OVER (ORDER BY l, s) - 1 AS line_no, line FROM together""",
+    "undefined_refs_anti": rf"""WITH {kept(CHART)}, split AS (
+  SELECT regexp_extract_all(substr(line, 8), '..') AS ts FROM chart WHERE regexp_matches(line, '^#\d{{5}}:') AND regexp_matches(line, '^#\d{{3}}(01|[1-6DE][1-9]):.')),
+used AS (SELECT DISTINCT unnest(ts) AS id FROM split)
+SELECT id FROM used WHERE id <> '00' AND id NOT IN (SELECT num FROM mapped WHERE num < 'P')""",
+    "unused_paths_anti": f"WITH {kept()} SELECT name FROM files WHERE lower(name) NOT IN (SELECT lower(name) FROM numbered)",
+    "vec_rms": f"""WITH {WAVES} SELECT vec_id, round(rms::DOUBLE, 6) AS rms, trunc(rms * 100::FLOAT)::INT AS step,
+  round(CASE WHEN rms::DOUBLE < 0.001 THEN 0 ELSE rms::DOUBLE * 0.8::DOUBLE END, 6) AS low, round(CASE WHEN rms::DOUBLE < 0.001 THEN 0.002::DOUBLE ELSE rms::DOUBLE * 1.25::DOUBLE END, 6) AS high FROM rms""",
+    "vec_normalize": f"WITH {WAVES} SELECT vec_id, round(u[1], 6) + 0 AS first, round(u[64], 6) + 0 AS last, round(list_dot_product(u, u), 6) AS norm, list_max(list_transform(u, lambda v: abs(v))) <= 1e-9 AS zero FROM units",
+    "vec_peak_normalize": f"""WITH {WAVES}, p AS (SELECT vec_id, x, list_max(list_transform(x, lambda v: abs(v * 2))) AS peak FROM waves),
+n AS (SELECT vec_id, list_transform(x, lambda v: CASE WHEN peak < 1e-10 THEN v * 2 ELSE v * 2 / peak END) AS n FROM p)
+SELECT vec_id, round(n[1], 6) + 0 AS first, round(list_max(list_transform(n, lambda v: abs(v))), 6) AS peak FROM n""",
+    "vec_rms_normalize": f"""WITH {WAVES}, n AS (SELECT vec_id, list_transform(x, lambda v: CASE WHEN rms::DOUBLE < 1e-10 THEN v ELSE v * 0.5::DOUBLE / rms::DOUBLE END) AS n FROM rms)
+SELECT vec_id, round(n[1], 5) + 0 AS first, round(sqrt(list_dot_product(n, n) / len(n))::FLOAT::DOUBLE, 5) AS rms FROM n""",
+    "leading_silence": f"""WITH {WAVES}, l AS (SELECT vec_id, list_transform(x, lambda v, i: abs(CASE WHEN i - 1 < vec_id % 50 THEN v * 0.0001::DOUBLE ELSE v END) > 0.001 OR abs(CASE WHEN i - 1 < vec_id % 33 THEN v * 0.0001::DOUBLE ELSE v END) > 0.001) AS loud FROM waves),
+s AS (SELECT vec_id, greatest(coalesce(list_position(loud, true), 0) - 1, 0) AS silence FROM l)
+SELECT vec_id, silence, 64 AS samples, 64 - silence AS effective, round(4 * 64 * 4 / 1048576.0::DOUBLE, 9) AS megabytes FROM s""",
+    "deinterleave": f"WITH {WAVES} SELECT vec_id, vec_id % 3 + 1 AS channels, 64 // (vec_id % 3 + 1) AS frames, round(x[2 * (vec_id % 3 + 1)], 6) + 0 AS second FROM waves",
+    "load_statistics": f"""WITH {WAVES}, t AS (SELECT vec_id % 9 <> 0 AS ok FROM waves)
+SELECT count(*) AS processed, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS failed, round(count(*) FILTER (ok) * 2 * 64 * 4 / 1048576.0::DOUBLE, 6) AS megabytes,
+  round(count(*) FILTER (ok) * 100.0::DOUBLE / count(*), 6) AS success_percent, count(*) FILTER (ok) * 100.0::DOUBLE / count(*) < 90 AS warn FROM t""",
+    "pearson_pairs": f"""WITH {WAVES}, p AS (SELECT a.label, a.vec_id AS id_a, b.vec_id AS id_b, greatest(-1, least(1, list_dot_product(a.u, b.u))) AS r FROM units a JOIN units b ON a.label = b.label AND a.vec_id < b.vec_id WHERE b.vec_id < 1000000)
+SELECT label, id_a, id_b, round(r, 6) AS r FROM p WHERE r >= 0.3""",
+    "pearson_raw_edgecases": f"""WITH base AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings),
+made AS (SELECT vec_id, CASE WHEN vec_id % 6 = 5 THEN e[1:3] WHEN vec_id % 6 = 1 AND vec_id % 4 = 1 THEN list_transform(e, lambda v: 0.5::DOUBLE) ELSE e END AS x,
+  CASE vec_id % 6 WHEN 0 THEN list_transform(e, lambda v: -v) WHEN 1 THEN list_transform(e, lambda v: 0.5::DOUBLE) WHEN 2 THEN e[1:10] WHEN 3 THEN list_transform(e, lambda v: v * 3 + 1) WHEN 4 THEN list_reverse(e) ELSE e[1:3] END AS y FROM base),
+{PEARSON}
+SELECT vec_id, round(CASE WHEN len(x) <> len(y) THEN 0.0 WHEN n < 4 AND x = y THEN 1.0 WHEN vx < 1e-10 AND vy < 1e-10 THEN (CASE WHEN abs(sx / n - sy / n) < 1e-6 THEN 1.0 ELSE 0.0 END) WHEN vx < 1e-10 OR vy < 1e-10 THEN 0.0
+  ELSE greatest(-1, least(1, (list_dot_product(x, list_resize(y, len(x), 0.0)) - sx * sy / n) / sqrt(vx * vy))) END, 6) + 0 AS r FROM spread""",
+    "r_squared_pairs": """WITH one AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+t AS (SELECT a.vec_id, a.x, b.x AS y, list_transform(a.x, lambda v, i: v * 0.9::DOUBLE + b.x[i] * 0.1::DOUBLE) AS m FROM one a JOIN one b ON b.vec_id = a.vec_id + 1),
+s AS (SELECT *, list_dot_product(x, x) - list_sum(x) * list_sum(x) / len(x) AS spread, list_transform(x, lambda v, i: v - m[i]) AS dm, list_transform(x, lambda v, i: v - y[i]) AS dy FROM t)
+SELECT vec_id, round(greatest(0, least(1, 1 - list_dot_product(dm, dm) / spread)), 6) AS close, round(greatest(0, least(1, 1 - list_dot_product(dy, dy) / spread)), 6) AS far FROM s""",
+    "block_keys": f"WITH {SOUNDS} SELECT block_key, count(*) AS n, min(idx) AS first FROM sounds GROUP BY block_key",
+    "keyword_block_keys": f"""WITH {NAMED}, k AS (SELECT {KEYWORD} AS keyword, file_size || '_' || trunc(rms * 100::FLOAT)::INT AS block_key FROM named WHERE num_int BETWEEN 10 AND 3000 AND rms IS NOT NULL)
+SELECT keyword, block_key, count(*) AS n, (count(*) - 1) // 100 AS last_chunk FROM k WHERE keyword IS NOT NULL GROUP BY ALL""",
+    "keyword_totals": f"""WITH {NAMED}, k AS (SELECT num_int BETWEEN 10 AND 3000 AS inside, rms IS NOT NULL AS loaded, contains(lower(stem), 'widget') OR contains(lower(stem), 'gear') OR contains(lower(stem), 'hot') OR contains(lower(stem), 'a') AS found FROM named)
+SELECT count(*) FILTER (inside) AS in_range, count(*) FILTER (NOT inside) AS out_of_range, count(*) FILTER (inside AND NOT loaded) AS no_sound, count(*) FILTER (inside AND loaded AND NOT found) AS no_keyword, count(*) FILTER (inside AND loaded AND found) AS matched FROM k""",
+    "group_chunking": f"WITH {NAMED} SELECT idx, '0_50' AS block_key, (row_number() OVER (ORDER BY idx) - 1) // 100 AS chunk_no FROM named WHERE rms IS NOT NULL",
+    "band_join_pairs": f"""WITH {SOUNDS}, r AS (SELECT idx, rms::DOUBLE AS rms, (idx - 1) // 100 AS chunk_no, row_number() OVER (PARTITION BY (idx - 1) // 100 ORDER BY rms, idx) AS rank FROM sounds)
+SELECT a.chunk_no, count(*) AS pairs, sum(a.idx * 4000 + b.idx)::BIGINT AS checksum FROM r a JOIN r b ON a.chunk_no = b.chunk_no AND a.rank < b.rank AND b.rms <= CASE WHEN a.rms < 0.001 THEN 0.002::DOUBLE ELSE a.rms * 1.25::DOUBLE END GROUP BY 1""",
+    "exact_name_pairs": """WITH p AS (SELECT p_partkey AS k, p_name, p_size, CASE WHEN p_partkey % 10 = 0 THEN p_brand ELSE '' END AS print FROM part)
+SELECT a.k AS id_a, b.k AS id_b, a.p_name = b.p_name AS by_name FROM p a JOIN p b ON a.p_size = b.p_size AND a.k < b.k WHERE a.p_name = b.p_name OR (a.print <> '' AND a.print = b.print)""",
+    "matching_pairs": f"""WITH {SOUNDS}, c AS (SELECT *, (row_number() OVER (PARTITION BY block_key ORDER BY idx) - 1) // 100 AS chunk_no FROM sounds),
+r AS (SELECT *, row_number() OVER (PARTITION BY block_key, chunk_no ORDER BY rms, idx) AS rank FROM c),
+p AS (SELECT a.idx AS num_a, b.idx AS num_b, greatest(-1, least(1, list_dot_product(a.u, b.u))) AS r FROM r a JOIN r b ON a.block_key = b.block_key AND a.chunk_no = b.chunk_no AND a.rank < b.rank
+  AND b.rms::DOUBLE <= CASE WHEN a.rms::DOUBLE < 0.001 THEN 0.002::DOUBLE ELSE a.rms::DOUBLE * 1.25::DOUBLE END)
+SELECT num_a, num_b, round(r, 6) AS r, 'correlation' AS how FROM p WHERE r >= 0.3""",
+    "filename_tokens": rf"""WITH t AS (SELECT p_partkey, regexp_replace(replace(p_name, ' ', '-') || p_partkey || '_v2.(' || p_brand || ') 99.wav', '\.[^.]*$', '') AS stem FROM part)
+SELECT p_partkey, array_to_string({words('stem')}, '|') AS words FROM t""",
+    "word_counts_having": f"WITH {COUNTED} SELECT word, shown, cnt FROM counted",
+    "prefix_facets_topk": rf"""WITH {STEMS}, p AS (SELECT idx, list_filter(string_split_regex(stem, '[_\- ]'), lambda x: x <> '')[1] AS part FROM stems),
+c AS (SELECT arg_min(part, idx) AS keyword, count(*) AS cnt, min(idx) AS first FROM p WHERE length(part) >= 3 GROUP BY lower(part) HAVING count(*) >= 2)
+SELECT keyword, cnt, TRUE AS is_selected FROM c ORDER BY cnt DESC, first LIMIT 8""",
+    "instrument_best_match": f"WITH {COUNTED} SELECT idx, instrument FROM instruments",
+    "instrument_facets": f"""WITH {COUNTED}, c AS (SELECT instrument AS keyword, count(*) AS cnt, min(idx) AS first FROM instruments WHERE length(instrument) >= 3 GROUP BY 1 HAVING count(*) >= 2)
+SELECT keyword, cnt FROM c ORDER BY cnt DESC, first LIMIT 8""",
+    "text_and_set_filter": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e') AND lower(p_brand) IN ('brand#1', 'brand#23', 'brand#4')",
+    "chip_filter": f"""WITH {STEMS}, t AS (SELECT *, CASE WHEN idx % 3 = 0 THEN string_split_regex(name, '[/_]')[2] ELSE '' END AS instrument FROM stems)
+SELECT idx FROM t WHERE CASE WHEN instrument <> '' THEN lower(instrument) IN ('widget', 'gear', 'hot') ELSE contains(lower(stem), 'widget') OR contains(lower(stem), 'gear') OR contains(lower(stem), 'hot') END""",
+    "keyword_first_match": f"WITH {STEMS}, k AS (SELECT idx, {KEYWORD} AS keyword FROM stems) SELECT * FROM k WHERE keyword IS NOT NULL",
+    "name_lookup": f"WITH {FILES} SELECT idx, CASE WHEN idx % 2 = 0 THEN 'i' || (idx % 9) ELSE '' END AS instrument FROM files",
+    "reduction_stats": f"""WITH {FILES}, {REPLACES}, t AS (SELECT f.num_int, coalesce(r.replace_to, 0) AS t FROM files f LEFT JOIN replaces r USING (num_int) WHERE f.num_int BETWEEN 10 AND 3000)
+SELECT count(*) AS total, count(*) FILTER (t = num_int) AS unique_files, count(*) FILTER (t > 0 AND t <> num_int) AS replaced, count(*) FILTER (t <= 0 AND t <> num_int) AS not_processed,
+  count(*) FILTER (t = num_int) + count(*) FILTER (t > 0 AND t <> num_int) AS processed, round(coalesce(count(*) FILTER (t > 0 AND t <> num_int) * 100.0::DOUBLE / nullif(count(*), 0), 0), 6) AS reduction_percent FROM t""",
+    "reduction_rate": "SELECT p_brand, round((count(*) - count(DISTINCT p_name)) / count(*)::DOUBLE, 6) AS rate FROM part GROUP BY p_brand",
+    "replace_root_resolution": f"""WITH RECURSIVE {REPLACES}, walk AS (
+  SELECT num_int, num_int AS here FROM replaces
+  UNION SELECT w.num_int, r.replace_to FROM walk w JOIN replaces r ON r.num_int = w.here AND r.replace_to > 0 AND r.replace_to <> w.here)
+SELECT r.num_int, r.replace_to, (SELECT min(here) FROM walk w WHERE w.num_int = r.num_int) AS root FROM replaces r""",
+    "threshold_grid": "SELECT (100 - n) / 100.0::DOUBLE AS threshold FROM range(101) t(n)",
+    "optimal_threshold_topone": f"WITH {POINTS}, nothing AS (SELECT * FROM points WHERE file_count > 100000) " + " UNION ALL ".join([*(best(x) for x in (1295, 3843, 1)), best(1295, "nothing")]),
+    "sweep_take_while": f"""WITH {POINTS}, t AS (SELECT *, coalesce(sum(CASE WHEN file_count <= 1295 THEN 1 ELSE 0 END) OVER (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hits FROM points)
+SELECT threshold, file_count FROM t WHERE hits = 0""",
+    "component_clusters": f"""WITH RECURSIVE {SOUNDS}, c AS (SELECT *, (row_number() OVER (PARTITION BY block_key ORDER BY idx) - 1) // 100 AS chunk_no FROM sounds),
+link AS (SELECT a.idx AS a, b.idx AS b FROM c a JOIN c b ON a.block_key = b.block_key AND a.chunk_no = b.chunk_no AND a.idx <> b.idx AND list_dot_product(a.u, b.u) >= 0.3),
+reach AS (SELECT idx AS a, idx AS b FROM c UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT a AS num_int, min(b) AS replace_to, min(b) AS root FROM reach GROUP BY a""",
+}
