@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from resonara.llm.common import small_batches, utf8
 
-CACHE_ROWS = 500_000
+CACHE_ROWS = 250_000
 #: Segments longer than this aren't remembered.
 CACHE_BYTES = 64
 PIECE_BYTES = 1 << 20

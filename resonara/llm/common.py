@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch.  Batches are counted in rows, and one text may be very long.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Entries after which a worker's word table starts afresh.
-VOCABULARY_ROWS = 300_000
+VOCABULARY_ROWS = 200_000
 
 _U = np.uint64
 

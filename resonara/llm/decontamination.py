@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from resonara.llm.common import WordHashes, small_batches, utf8
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 BLOCK_WORDS = 1_000_000
 #: Words that a term may stand off in a proximity match.
 SLACK = 2
