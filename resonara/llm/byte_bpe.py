@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from resonara.llm.common import small_batches, utf8
 
-CACHE_ROWS = 250_000
+CACHE_ROWS = 500_000
 #: Segments longer than this aren't remembered.
 CACHE_BYTES = 64
 PIECE_BYTES = 1 << 20
@@ -134,8 +134,8 @@ class Codec:
             k = n
 
     def _ids_of(self, distinct: set[bytes]):
-        if len(self._known) + len(distinct) > CACHE_ROWS:
-            self._known.clear()
+        if len(self._known) + len(distinct) > CACHE_ROWS:  # keep what is in use
+            self._known = {s: self._known[s] for s in distinct & self._known.keys()}
         once, known = self._learn(distinct), self._known
         return (lambda s: known[s] if s in known else once[s]) if once else known.__getitem__
 
