@@ -102,7 +102,9 @@ def megabytes(*arrays: Column) -> Column:
 
 
 def pearson_of_normalized(x: Column, y: Column) -> Column:
-    return F.when((F.size(x) != F.size(y)) | (F.size(x) == 0), 0.0).otherwise(clamp(dot(x, y)))
+    # The clamp is the last step of the sum, so that it doesn't repeat the sum.
+    r = F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, v: a + v, clamp)
+    return F.when((F.size(x) != F.size(y)) | (F.size(x) == 0), 0.0).otherwise(r)
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -148,4 +150,4 @@ def correlation(a: Column, b: Column) -> Column:
 
 def matches(r: Column, threshold: Column | float) -> Column:
     """Whether a correlation reaches a threshold; NaN doesn't."""
-    return ~F.isnan(r) & (r >= threshold)
+    return F.nanvl(r, F.lit(-2.0)) >= threshold

@@ -11,10 +11,21 @@ from resonara.operators.ranking import group_rank
 BLOCK = ["keyword", "block_key", "chunk_no"]
 
 
-def pairs(rows: DataFrame, left: str, right: str, keys: list[str]) -> DataFrame:
-    """Self-join of rows on ``keys``, null keys meeting, with every pair once: ``left`` before ``right`` in ``rank``."""
+#: Parts into which the left side of a join of whole groups is dealt; each meets a copy of the right side.
+SALTS = 8
+
+
+def pairs(rows: DataFrame, left: str, right: str, keys: list[str], salts: int = 1) -> DataFrame:
+    """Self-join of rows on ``keys``, null keys meeting, with every pair once: ``left`` before ``right`` in ``rank``.
+
+    ``salts`` splits the pairs of a group over so many tasks, at the price of as many copies of its rows.
+    """
     a, b = rows.alias(left), rows.alias(right)
     met = F.lit(True)
+    if salts > 1:
+        a = rows.withColumn("_salt", F.pmod(F.xxhash64("rank"), F.lit(salts)).cast("int")).alias(left)
+        b = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias(right)
+        met = F.col(f"{left}._salt") == F.col(f"{right}._salt")
     for k in keys:
         met = met & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
     return a.join(b, met & (F.col(f"{left}.rank") < F.col(f"{right}.rank")))
@@ -47,5 +58,5 @@ def correlated_within(vectors: DataFrame, key: str, id_column: str, vector: str,
     """
     unit = vectors.select(key, F.col(id_column).alias("rank"), waves.normalized(F.col(vector)).alias("unit"))
     r = waves.pearson_of_normalized(F.col("a.unit"), F.col("b.unit"))
-    scored = pairs(unit, "a", "b", [key]).select(F.col(f"a.{key}").alias(key), F.col("a.rank").alias("id_a"), F.col("b.rank").alias("id_b"), r.alias("r"))
+    scored = pairs(unit, "a", "b", [key], SALTS).select(F.col(f"a.{key}").alias(key), F.col("a.rank").alias("id_a"), F.col("b.rank").alias("id_b"), r.alias("r"))
     return scored.filter(waves.matches(F.col("r"), least))
