@@ -54,12 +54,13 @@ def replaced_tokens(data: Column, mapping: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(data, F.lit("..?"), 0), lambda x: F.when(x == "00", x).otherwise(F.coalesce(F.get(F.array(F.try_element_at(mapping, x)), 0), x))), "")
 
 
-def rewritten(lines: DataFrame, mapping: DataFrame, numbered: DataFrame, folder: str | None = None) -> DataFrame:
+def rewritten(lines: DataFrame, mapping: DataFrame, numbered: DataFrame, folder: str | None = None, spread: bool = False) -> DataFrame:
     """path, line_no and line of the new charts.
 
     New definitions stand at the first definition or, if a data line comes
     earlier or there is none, before the first data line, else at the end; old
     definitions go.  Other lines pass, data lines with their tokens replaced.
+    ``spread`` numbers the lines of one long chart in many tasks.
     """
     kind = charts.line_class(F.col("line"))
     marked = lines.withColumn("_kind", kind).withColumn("_old", (F.col("_kind") == "HEADER") & charts.is_definition(F.col("line")))
@@ -67,12 +68,13 @@ def rewritten(lines: DataFrame, mapping: DataFrame, numbered: DataFrame, folder:
     name = F.col("name") if folder is None else text.relative(F.col("name"), F.lit(folder))
     new = numbered.join(at, "path").select("path", F.col("_at").alias("_line"), F.col("new_int").alias("_sub"), F.concat(F.lit("#WAV"), "new_num", F.lit(" "), name).alias("line"))
     maps = mapping.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("num", "new_num"))).alias("_map"))
+    passed = marked.filter(~F.col("_old")).select("path", F.col("line_no").alias("_line"), F.lit(2**31 - 1).alias("_sub"), "line")
+    placed = group_rank(new.unionByName(passed), ["path"], ["_line", "_sub"], "_no", spread).join(maps, "path", "left")
+    # Tokens are replaced in placed lines, as a range exchange reads its input twice; new definitions aren't data lines.
     part = lambda k: F.regexp_extract("line", charts.DATA, k)
-    changes = (F.col("_kind") == "MAIN") & F.col("line").rlike(charts.DATA) & charts.is_sound_channel(part(3)) & F.col("_map").isNotNull()
+    changes = (charts.line_class(F.col("line")) == "MAIN") & F.col("line").rlike(charts.DATA) & charts.is_sound_channel(part(3)) & F.col("_map").isNotNull()
     body = F.when(changes, F.concat(part(1), part(2), part(3), part(4), replaced_tokens(part(5), F.col("_map")))).otherwise(F.col("line"))
-    passed = marked.filter(~F.col("_old")).join(maps, "path", "left").select("path", F.col("line_no").alias("_line"), F.lit(2**31 - 1).alias("_sub"), body.alias("line"))
-    placed = group_rank(new.unionByName(passed), ["path"], ["_line", "_sub"], "_no")
-    return placed.select("path", (F.col("_no") - 1).alias("line_no"), "line")
+    return placed.select("path", (F.col("_no") - 1).alias("line_no"), body.alias("line"))
 
 
 def undefined_references(lines: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def final_id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, numbered, mapping = _map(spark, sf_dir)
-    return rewrite.rewritten(tables.chart(spark, sf_dir), mapping, numbered, "sounds").select("line_no", "line")
+    return rewrite.rewritten(tables.chart(spark, sf_dir), mapping, numbered, "sounds", spread=True).select("line_no", "line")
 
 
 def undefined_refs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,15 +31,21 @@ def replaces(spark: SparkSession) -> DataFrame:
 
 
 def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as the lines of one chart: a title, a definition for the first parts, and data lines of encoded parts."""
-    item = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 4000")
+    """Orders as the lines of one chart: a title, a definition for every part, and data lines of encoded parts.
+
+    Data lines begin at 10,000 or, with more parts, after the last definition.
+    """
+    item = table(spark, sf_dir, "lineitem")
+    own = files(spark, sf_dir)
+    after = own.agg(F.greatest(F.lit(10_000).cast("long"), F.coalesce(F.max("idx") + 2, F.lit(0))).alias("after"))
     token = ids.encode((F.col("l_partkey") % (ids.LARGEST[62] + 1)).cast("int"), 62)
     data = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", token.alias("token")))), lambda x: x["token"]), "")
     channel = F.element_at(F.array(*[F.lit(c) for c in ("01", "11", "04", "D1", "5A", "29")]), (F.col("l_orderkey") % 6 + 1).cast("int"))
-    main = item.groupBy("l_orderkey").agg(data.alias("data")).select((F.col("l_orderkey") + 10_000).alias("no"), F.concat(F.lit("#"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0"), channel, F.lit(":"), "data", F.when(F.col("l_orderkey") % 7 == 0, F.lit("x")).otherwise(F.lit(""))).alias("line"))
-    own = files(spark, sf_dir).filter("idx < 5000").select((F.col("idx") + 1).alias("no"), F.concat(F.when(F.col("idx") % 50 == 0, F.lit("#wav")).otherwise(F.lit("#WAV")), "num", F.lit("  "), "name", F.lit(" ")).alias("line"))
+    orders = item.groupBy("l_orderkey").agg(data.alias("data")).crossJoin(F.broadcast(after))
+    main = orders.select((F.col("l_orderkey") + F.col("after")).alias("no"), F.concat(F.lit("#"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0"), channel, F.lit(":"), "data", F.when(F.col("l_orderkey") % 7 == 0, F.lit("x")).otherwise(F.lit(""))).alias("line"))
+    defined = own.select((F.col("idx") + 1).alias("no"), F.concat(F.when(F.col("idx") % 50 == 0, F.lit("#wav")).otherwise(F.lit("#WAV")), "num", F.lit("  "), "name", F.lit(" ")).alias("line"))
     first = spark.range(1).select(F.lit(0).cast("long").alias("no"), F.lit("#TITLE a song").alias("line"))
-    return first.union(own).union(main).select(F.lit("song.bms").alias("path"), F.col("no").alias("line_no"), "line")
+    return first.union(defined).union(main).select(F.lit("song.bms").alias("path"), F.col("no").alias("line_no"), "line")
 
 
 def samples(vector: Column) -> Column:
