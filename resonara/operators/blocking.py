@@ -53,6 +53,11 @@ def blocked(files: DataFrame, start: int | None = None, end: int | None = None,
     kept = kept.withColumn("keyword", word)
     if keywords:
         kept = kept.filter(F.col("keyword").isNotNull())
+    return numbered_runs(kept, chunk, spread)
+
+
+def numbered_runs(kept: DataFrame, chunk: int = CHUNK, spread: bool = False) -> DataFrame:
+    """Files with keyword and block_key, and the run of ``chunk`` files of their block that they fall into."""
     placed = group_rank(kept, ["keyword", "block_key"], ["idx"], "_place", spread)
     return placed.withColumn("chunk_no", F.floor((F.col("_place") - 1) / chunk)).drop("_place")
 

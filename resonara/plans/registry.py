@@ -364,11 +364,12 @@ def sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reduce_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from resonara.plans import pipeline
 
-    files = tables.sounds(spark, sf_dir).withColumns({"path": F.lit("song.bms"), "num": ids.encode(F.col("num_int"), 62)})
-    defined = files.select(F.lit("song.bms").alias("path"), F.col("idx").alias("line_no"), F.concat(F.lit("#WAV"), "num", F.lit(" "), "name").alias("line"))
-    used = files.groupBy((F.col("idx") % 400).alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "num"))), lambda x: x["num"]), "").alias("data"))
-    main = used.select(F.lit("song.bms").alias("path"), (F.col("k") + 10_000).alias("line_no"), F.concat(F.lit("#"), F.lpad(F.col("k").cast("string"), 3, "0"), F.lit("11:"), "data").alias("line"))
-    return pipeline.reduce_chart(defined.union(main), files, 0.3).lines.select("line_no", "line")
+    files = tables.charted(tables.sounds(spark, sf_dir))
+    defined = files.select("path", F.col("idx").alias("line_no"), F.concat(F.lit("#WAV"), "num", F.lit(" "), "name").alias("line"))
+    after = files.agg((F.max("idx") + 10_000).alias("after"))
+    used = files.groupBy("path", (F.col("idx") % 400).alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "num"))), lambda x: x["num"]), "").alias("data"))
+    main = used.crossJoin(F.broadcast(after)).select("path", (F.col("k") + F.col("after")).alias("line_no"), F.concat(F.lit("#"), F.lpad(F.col("k").cast("string"), 3, "0"), F.lit("11:"), "data").alias("line"))
+    return pipeline.reduce_charts(defined.union(main), files, 0.3).select("path", "line_no", "line")
 
 
 QUERIES = {

@@ -9,6 +9,8 @@ from resonara.functions import ids
 
 #: Scaled copies of a vector have this much added to its number.
 COPY = 1_000_000
+#: Files of one of the charts that sounds are dealt over; the identifier space has room for 3,843.
+CHART_FILES = 3800
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +62,21 @@ def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 1,900 vectors and as many copies as files with sounds: idx, num_int, name, file_size, fingerprint, label, sound, rms."""
+    """Vectors and their copies as one list of files with sounds: idx, num_int, name, file_size, fingerprint, label, sound, rms.
+
+    Beyond 1,900 vectors ``num_int`` passes the identifier space; ``charted`` deals such a list out over charts.
+    """
     from resonara.functions import waves as w
 
-    own = waves(spark, sf_dir).filter(F.col("vec_id") % COPY < 1900)
+    own = waves(spark, sf_dir)
     number = (F.col("vec_id") % COPY * 2 + F.when(F.col("vec_id") >= COPY, 2).otherwise(1)).cast("int")
     channels = F.array("x")
     sound = F.struct(F.lit(44100).alias("sample_rate"), F.lit(1).alias("channels"), F.lit(16).alias("bits_per_sample"), channels.alias("samples"))
     return own.select(number.cast("long").alias("idx"), number.alias("num_int"), F.concat(F.lit("v"), number.cast("string"), F.lit(".wav")).alias("name"), F.col("label").cast("long").alias("file_size"), F.lit("").alias("fingerprint"), "label", sound.alias("sound"), w.rms(channels).alias("rms"))
+
+
+def charted(files: DataFrame) -> DataFrame:
+    """Files of ``sounds`` with path and num: a chart for every 1,900 vectors and their copies, with identifiers of its own."""
+    chart_no = F.floor((F.col("num_int") - 1) / CHART_FILES)
+    local = ((F.col("num_int") - 1) % CHART_FILES + 1).cast("int")
+    return files.withColumns({"path": F.concat(F.lit("song"), F.when(chart_no > 0, chart_no.cast("string")).otherwise(""), F.lit(".bms")), "num": ids.encode(local, 62)})

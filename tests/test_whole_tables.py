@@ -4,7 +4,10 @@ import os
 
 import pytest
 
-from resonara.plans import oracle, registry, tables
+from pyspark.sql import functions as F
+
+from resonara.functions import ids
+from resonara.plans import oracle, pipeline, registry, tables
 
 duckdb = pytest.importorskip("duckdb")
 SF, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -37,3 +40,27 @@ def test_line_numbers_of_a_large_chart_differ(spark):
     lines = tables.chart(spark, LARGE)
     parts, orders = tables.table(spark, LARGE, "part").count(), tables.table(spark, LARGE, "lineitem").select("l_orderkey").distinct().count()
     assert lines.count() == lines.select("line_no").distinct().count() == 1 + parts + orders
+
+
+@pytest.mark.parametrize("name", ["matching_pairs", "component_clusters", "block_keys", "band_join_pairs"])
+def test_sound_queries_over_all_vectors(spark, name):
+    equal(spark, LARGE, name)
+
+
+def test_clusters_and_counts_cover_all_vectors(spark):
+    files = 2 * tables.table(spark, LARGE, "embeddings").count()
+    clusters = registry.QUERIES["greedy_clusters"](spark, LARGE)
+    assert clusters.count() == files == 4000
+    counts = {round(r["threshold"], 2): r["file_count"] for r in registry.QUERIES["sweep_counts"](spark, LARGE).collect()}
+    assert counts[0.3] == clusters.filter("root = num_int").count()
+
+
+def test_each_chart_is_reduced_as_alone(spark):
+    files = tables.charted(tables.sounds(spark, LARGE)).cache()
+    got = registry.QUERIES["reduce_pipeline"](spark, LARGE).collect()
+    assert {r["path"] for r in got} == {"song.bms", "song1.bms"}
+    for path in ("song.bms", "song1.bms"):
+        own = files.filter(files.path == path).withColumn("num_int", ids.decode(F.col("num"), 62))
+        lines = own.select("path", F.col("idx").alias("line_no"), F.concat(F.lit("#WAV"), "num", F.lit(" "), "name").alias("line"))
+        alone = pipeline.reduce_chart(lines, own, 0.3).lines
+        assert sorted(r["line"] for r in alone.collect()) == sorted(r["line"] for r in got if r["path"] == path and r["line"].startswith("#WAV"))
