@@ -89,3 +89,8 @@ def threshold(text: Column) -> Column:
     value = F.when(whole == 1, F.lit(1.0)).when(whole.between(0, 100), whole / 100).when(whole.isNull() & part.between(0, 1), part).when(whole.isNull() & (part > 1) & (part <= 100), part / 100).cast("float")
     wrong = F.when(text.isNull() | (F.trim(text) == ""), "missing").when(whole.isNull() & part.isNull(), "format").when(value.isNull(), "out of range")
     return F.struct(F.when(wrong.isNull(), value).alias("value"), wrong.alias("error"))
+
+
+def all_errors(*errors: Column, separator: str = "\n") -> Column:
+    """Every error found (null or empty is none), in order, joined."""
+    return F.array_join(F.filter(F.array(*errors), lambda e: e.isNotNull() & (e != "")), separator)

@@ -126,3 +126,40 @@ def entered_percent(text: Column) -> Column:
 
 def bar_width(value: Column, total: Column) -> Column:
     return total * F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+
+
+def input_path_error(path: Column, exists: Column) -> Column:
+    """What is wrong with a typed chart path ('not found', 'not supported'), quotes aside; empty if nothing, or if nothing is typed."""
+    bare = unquoted(F.coalesce(path, F.lit("")))
+    return F.when(F.trim(bare) == "", "").when(~exists, "not found").when(~is_chart(bare), "not supported").otherwise("")
+
+
+def output_path_error(path: Column, folder_exists: Column) -> Column:
+    """'no folder' for a typed path whose folder is missing; empty if nothing is wrong or typed, or if it names no folder."""
+    bare = unquoted(F.coalesce(path, F.lit("")))
+    return F.when((F.trim(bare) == "") | (directory(bare) == ""), "").when(~folder_exists, "no folder").otherwise("")
+
+
+def paths_specified(*paths: Column) -> Column:
+    """Whether every path has something typed, quotes aside."""
+    return F.forall(F.array(*[F.trim(unquoted(F.coalesce(p, F.lit("")))) for p in paths]), lambda p: p != "")
+
+
+def opacity(flag: Column) -> Column:
+    """Half for true; full for false and null."""
+    return F.when(F.coalesce(flag, F.lit(False)), 0.5).otherwise(1.0)
+
+
+def is_half(value: Column) -> Column:
+    """The flag that ``opacity`` shows."""
+    return F.abs(value - 0.5) < 0.01
+
+
+def inverse(flag: Column) -> Column:
+    """The other flag; false for null."""
+    return F.coalesce(~flag, F.lit(False))
+
+
+def is_blank(value: Column) -> Column:
+    """Whether a text is null or empty."""
+    return F.coalesce(value, F.lit("")) == ""

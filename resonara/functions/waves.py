@@ -49,8 +49,6 @@ def rms_band(value: Column) -> Column:
     return F.struct(F.when(quiet, 0.0).otherwise(value * RMS_LOW).alias("low"), F.when(quiet, QUIET_TO).otherwise(value * RMS_HIGH).alias("high"))
 
 
-
-
 def normalized(x: Column) -> Column:
     """A channel with mean 0 and norm 1; zeros if it hardly varies."""
     mean = F.try_divide(total(x), F.size(x))
@@ -59,15 +57,19 @@ def normalized(x: Column) -> Column:
     return F.transform(F.array(centred), lambda c: F.transform(F.array(F.sqrt(dot(c, c))), lambda n: F.transform(c, lambda v: F.when(n < TINY, 0.0).otherwise(v / n)))[0])[0]
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once: a single-element array binds it for the lambdas inside."""
+    return F.transform(F.array(value), use)[0]
+
+
 def peak_normalized(samples: Column) -> Column:
     """All channels by their common peak; unchanged if there is hardly any."""
-    peak = F.array_max(F.transform(F.flatten(samples), lambda v: F.abs(v.cast("double"))))
-    return F.transform(samples, lambda c: F.transform(c, lambda v: F.when(peak < TINY, v.cast("double")).otherwise(v.cast("double") / peak)))
+    peak = F.aggregate(samples, F.lit(0.0), lambda a, c: F.greatest(a, F.coalesce(F.aggregate(c, F.lit(0.0), lambda m, v: F.greatest(m, F.abs(v.cast("double")))), F.lit(0.0))))
+    return _with(peak, lambda p: F.transform(samples, lambda c: F.transform(c, lambda v: F.when(p < TINY, v.cast("double")).otherwise(v.cast("double") / p))))
 
 
 def rms_normalized(samples: Column, target: float = TARGET_RMS) -> Column:
-    level = rms(samples).cast("double")
-    return F.transform(samples, lambda c: F.transform(c, lambda v: F.when(level < TINY, v.cast("double")).otherwise(v.cast("double") * target / level)))
+    return _with(rms(samples).cast("double"), lambda level: F.transform(samples, lambda c: F.transform(c, lambda v: F.when(level < TINY, v.cast("double")).otherwise(v.cast("double") * target / level))))
 
 
 def by_mode(samples: Column, mode: str) -> Column:

@@ -2,7 +2,8 @@
 
 Files (idx, num_int, name, file_size, rms, and whatever else) meet only inside a
 block of equal size and RMS step, and there only inside runs of CHUNK files in
-list order; files in different runs are never compared.
+list order; files in different runs are never compared.  Files with a path are
+blocked inside their chart.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ CHUNK = 100
 
 
 def processing_range(files: DataFrame, start: int, end: int) -> DataFrame:
-    """One row: start_point and end_point.
+    """start_point and end_point: one row, or one for each path if files have one.
 
     The start is at least the first file's number, the end at most the largest;
     0 or less asks for all.  The last identifier of the space is never processed.
     """
     first, last = F.coalesce(F.min_by("num_int", "idx"), F.lit(1)), F.greatest(F.coalesce(F.max("num_int"), F.lit(1)), F.lit(1))
     wanted = F.lit(end) if end > 0 else last
-    return files.agg(F.greatest(first, F.lit(max(start, 1))).alias("start_point"), F.least(last, F.least(wanted, F.lit(ids.PROCESSED_TO))).alias("end_point"))
+    by = files.groupBy("path") if "path" in files.columns else files.groupBy()
+    return by.agg(F.greatest(first, F.lit(max(start, 1))).alias("start_point"), F.least(last, F.least(wanted, F.lit(ids.PROCESSED_TO))).alias("end_point"))
 
 
 def in_range(files: DataFrame, start: int, end: int) -> DataFrame:
@@ -57,8 +59,9 @@ def blocked(files: DataFrame, start: int | None = None, end: int | None = None,
 
 
 def numbered_runs(kept: DataFrame, chunk: int = CHUNK, spread: bool = False) -> DataFrame:
-    """Files with keyword and block_key, and the run of ``chunk`` files of their block that they fall into."""
-    placed = group_rank(kept, ["keyword", "block_key"], ["idx"], "_place", spread)
+    """Files with keyword and block_key, and the run of ``chunk`` files of their block (of their chart, with a path) that they fall into."""
+    keys = ["path"] if "path" in kept.columns else []
+    placed = group_rank(kept, [*keys, "keyword", "block_key"], ["idx"], "_place", spread)
     return placed.withColumn("chunk_no", F.floor((F.col("_place") - 1) / chunk)).drop("_place")
 
 

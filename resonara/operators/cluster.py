@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resonara.functions import waves
-from resonara.operators.similarity import BLOCK
+from resonara.operators.ranking import checkpointed
+from resonara.operators.similarity import block_of
 
 MODES = ("production", "simulate", "components")
 SWEEP_COLUMNS = ["idx", "num_int", "rms", "name", "fingerprint", "sound"]
@@ -119,25 +120,34 @@ def _prepared(group: pd.DataFrame):
     return rows["num_int"].tolist(), rows["rms"].tolist(), r, direct
 
 
+def _of_run(blocked: DataFrame) -> tuple[list[str], str, list[str]]:
+    """Keys of a run, and the columns (schema, names) that name its chart in a result."""
+    keys = block_of(blocked)
+    return keys, f"path {blocked.schema['path'].dataType.simpleString()}, " if "path" in keys else "", keys[: keys.index("keyword")]
+
+
 def assign(blocked: DataFrame, threshold: float, mode: str = "production") -> DataFrame:
-    """num_int, replace_to and root of every blocked file (see ``blocking.blocked``; needs sound and fingerprint)."""
+    """num_int, replace_to and root of every blocked file, with its path if it has one (see ``blocking.blocked``; needs sound and fingerprint)."""
     if mode not in MODES:
         raise ValueError(mode)
+    keys, schema, chart = _of_run(blocked)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         numbers, rms, r, direct = _prepared(group)
         slots = sweep(numbers, rms, lambda i, j: direct(i, j) or r[i, j] >= threshold, mode, direct)
-        return pd.DataFrame({"num_int": numbers, "replace_to": [slots[n] for n in numbers], "root": [find_root(slots, n) for n in numbers]})
+        own = {c: group[c].iloc[0] for c in chart}
+        return pd.DataFrame({**own, "num_int": numbers, "replace_to": [slots[n] for n in numbers], "root": [find_root(slots, n) for n in numbers]})
 
-    return blocked.groupBy(*BLOCK).applyInPandas(run, "num_int int, replace_to int, root int")
+    return blocked.groupBy(*keys).applyInPandas(run, f"{schema}num_int int, replace_to int, root int")
 
 
 def unique_counts(blocked: DataFrame, thresholds: list[float], mode: str = "simulate") -> DataFrame:
-    """threshold and file_count, the number of roots that stand for themselves.
+    """threshold and file_count, the number of roots that stand for themselves; for each path if files have one.
 
     Correlations don't depend on the threshold: each run is correlated once and
     swept for every threshold.
     """
+    keys, schema, chart = _of_run(blocked)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         numbers, rms, r, direct = _prepared(group)
@@ -145,21 +155,26 @@ def unique_counts(blocked: DataFrame, thresholds: list[float], mode: str = "simu
         for t in thresholds:
             slots = sweep(numbers, rms, lambda i, j, t=t: direct(i, j) or r[i, j] >= t, mode, direct)
             counts.append(sum(find_root(slots, n) == n for n in numbers))
-        return pd.DataFrame({"threshold": np.array(thresholds, np.float64), "n": counts})
+        own = {c: group[c].iloc[0] for c in chart}
+        return pd.DataFrame({**own, "threshold": np.array(thresholds, np.float64), "n": counts})
 
-    by_run = blocked.groupBy(*BLOCK).applyInPandas(run, "threshold double, n long")
-    return by_run.groupBy("threshold").agg(F.sum("n").alias("file_count"))
+    by_run = blocked.groupBy(*keys).applyInPandas(run, f"{schema}threshold double, n long")
+    return by_run.groupBy(*chart, "threshold").agg(F.sum("n").alias("file_count"))
 
 
 def roots(replaces: DataFrame) -> DataFrame:
-    """num_int, replace_to and root of a replacement table, by doubling hops until none changes.
+    """num_int, replace_to and root (and path, if there is one) of a replacement table, by doubling hops until none changes.
 
     0 and missing replacements end at the number itself.
     """
-    table = replaces.select("num_int", "replace_to", F.when(F.coalesce("replace_to", F.lit(0)) == 0, F.col("num_int")).otherwise(F.col("replace_to")).alias("root")).checkpoint()
+    own = ["path"] if "path" in replaces.columns else []
+    table = replaces.select(*own, "num_int", "replace_to", F.when(F.coalesce("replace_to", F.lit(0)) == 0, F.col("num_int")).otherwise(F.col("replace_to")).alias("root"))
+    table = checkpointed(table)
     while True:
-        onward = table.select(F.col("num_int").alias("_at"), F.col("root").alias("_next"))
-        moved = table.join(onward, F.col("root") == F.col("_at"), "left").select("num_int", "replace_to", F.coalesce("_next", "root").alias("root"), (F.coalesce("_next", "root") != F.col("root")).alias("_moved")).checkpoint()
+        onward = table.select(*own, F.col("root").alias("_next"), F.col("num_int").alias("_at"))
+        met = table.withColumn("_at", F.col("root")).join(onward, [*own, "_at"], "left")
+        far = F.coalesce("_next", "root")
+        moved = checkpointed(met.select(*own, "num_int", "replace_to", far.alias("root"), (far != F.col("root")).alias("_moved")))
         table = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             return table

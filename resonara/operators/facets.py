@@ -21,19 +21,27 @@ def word_counts(files: DataFrame, least: int = LEAST_INSTRUMENT) -> DataFrame:
     return counted.filter(F.col("cnt") >= least)
 
 
-def instruments(files: DataFrame, candidates: DataFrame) -> DataFrame:
+#: Candidates up to which the instrument search sends them all to every task: at most 20 characters each, so some 20 MB.
+MOST_SENT = 200_000
+
+
+def instruments(files: DataFrame, candidates: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """Files with ``instrument``: of the candidates that are a word of the stem or part of it, the most frequent, the first met on ties; else empty.
 
-    Candidates are words that occur several times; a file's stem is tested
-    against all of them, which is what containment asks for.  Words of the
-    stem are found by an equi-join on their pieces first: a candidate inside a
-    stem is one of the stem's substrings of its length.
+    A candidate inside a stem is one of the stem's substrings of legal length,
+    so containment is an equi-join on these.  The substrings outnumber the
+    files by far and don't move: the candidates, words of the whole list, are
+    counted and, up to ``most_sent``, sent to all tasks; more are joined by a shuffle.
     """
+    from resonara.operators.ranking import checkpointed
+
+    ranked = checkpointed(candidates.select("word", "shown", "cnt", "first"))
+    side = F.broadcast(ranked) if ranked.count() <= most_sent else ranked
     stems = files.select("idx", F.lower(text.stem(F.col("name"))).alias("stem"))
     lengths = F.sequence(F.lit(text.SHORTEST), F.lit(text.LONGEST))
     starts = F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1)))
     pieces = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(lengths, lambda n: F.substr(F.col("stem"), s, n)))))
-    met = stems.select("idx", F.explode(pieces).alias("word")).join(candidates, "word")
+    met = stems.select("idx", F.explode(pieces).alias("word")).join(side, "word")
     best = met.groupBy("idx").agg(F.min_by("shown", F.struct(-F.col("cnt"), F.col("first"))).alias("instrument"))
     return files.join(best, "idx", "left").withColumn("instrument", F.coalesce("instrument", F.lit("")))
 
@@ -106,18 +114,17 @@ def keyword_by_table(files: DataFrame, keywords: DataFrame) -> DataFrame:
     return met.select("idx", hit.alias("keyword")).filter(F.col("keyword").isNotNull())
 
 
+def without(files: DataFrame, removed: DataFrame, key: str = "idx") -> DataFrame:
+    """Files but those whose ``key`` is among the removed ones."""
+    return files.join(removed.select(key).distinct(), key, "left_anti")
+
+
 def licences(rows: DataFrame) -> DataFrame:
-    """Rows (name, is_app, ...) with the application's own first, then by name."""
-    return rows.orderBy(F.desc("is_app"), "name")
+    """Rows (name, is_app, ...) with their place: the application's own first, then by name.  A list of a few hundred rows, shown whole."""
+    placed = rows.withColumn("_late", ~F.coalesce("is_app", F.lit(False)))
+    return placed.withColumn("place", F.row_number().over(Window.orderBy("_late", "name"))).drop("_late")
 
 
 def failures(loaded: DataFrame, most: int = 5) -> DataFrame:
     """The first failed loads, for a warning."""
     return loaded.filter(F.col("sound").isNull()).orderBy("path").limit(most).select("path", "error")
-
-
-def ranked_words(files: DataFrame, top: int) -> DataFrame:
-    """The ``top`` words of every instrument by count; ties by word."""
-    found = files.select("instrument", F.explode(text.words(text.stem(F.col("name")))).alias("word"))
-    counted = found.groupBy("instrument", F.lower("word").alias("word")).count()
-    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("count"), "word"))).filter(F.col("rank") <= top)

@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the checkpoint folder and read from there.
+
+    The folder is the session's ``spark.checkpoint.dir`` or the context's; a
+    temporary one is made only where neither is set and Spark runs in this process.
+    """
+    session = rows.sparkSession
+    context = session.sparkContext
+    if not context.getCheckpointDir():
+        folder = session.conf.get("spark.checkpoint.dir", "") or ""
+        if not folder:
+            if not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="resonara-")
+        context.setCheckpointDir(folder)
+    return rows.checkpoint()
+
+
 def group_rank(rows: DataFrame, keys: list[str], order: list[str], into: str, spread: bool = False) -> DataFrame:
     """``rows`` with their position, from 1, in the order of their group.
 
@@ -16,7 +36,8 @@ def group_rank(rows: DataFrame, keys: list[str], order: list[str], into: str, sp
     """
     if not spread:
         return rows.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    dealt = rows.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = rows.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn("_part", F.spark_partition_id())
+    dealt = checkpointed(dealt)
     sums = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")

@@ -15,8 +15,9 @@ from resonara.sources import charts
 
 
 def reduced(files: DataFrame, replaces: DataFrame, start: int, end: int) -> DataFrame:
-    """Files with ``reduced``, the number they are replaced by, or their own; outside the range nothing is replaced."""
-    met = files.join(replaces.select("num_int", "replace_to"), "num_int", "left")
+    """Files with ``reduced``, the number that their chart's table (path, num_int, replace_to) replaces them by, or their own; outside the range nothing is replaced."""
+    own = ["path", "num_int"]
+    met = files.join(replaces.select(*own, "replace_to"), own, "left")
     stands = F.col("num_int").between(start, end) & (F.col("replace_to") > 0)
     return met.withColumn("reduced", F.when(stands, F.col("replace_to")).otherwise(F.col("num_int"))).drop("replace_to")
 
@@ -54,6 +55,18 @@ def replaced_tokens(data: Column, mapping: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(data, F.lit("..?"), 0), lambda x: F.when(x == "00", x).otherwise(F.coalesce(F.get(F.array(F.try_element_at(mapping, x)), 0), x))), "")
 
 
+def changed_line(line: Column, mapping: Column) -> Column:
+    """A data line of a sound channel, in hexadecimal of either case, with its tokens replaced; any other line, or any without a map, as it is."""
+    part = lambda k: F.regexp_extract(line, charts.DATA, k)
+    changes = line.rlike(charts.DATA) & charts.is_sound_channel(part(3)) & mapping.isNotNull()
+    return F.when(changes, F.concat(part(1), part(2), part(3), part(4), replaced_tokens(part(5), mapping))).otherwise(line)
+
+
+def maps_of(mapping: DataFrame) -> DataFrame:
+    """path and its map of identifiers, which has at most 3,844 entries."""
+    return mapping.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("num", "new_num"))).alias("map"))
+
+
 def rewritten(lines: DataFrame, mapping: DataFrame, numbered: DataFrame, folder: str | None = None, spread: bool = False) -> DataFrame:
     """path, line_no and line of the new charts.
 
@@ -67,20 +80,18 @@ def rewritten(lines: DataFrame, mapping: DataFrame, numbered: DataFrame, folder:
     at = marked.groupBy("path").agg(F.coalesce(F.min(F.when(F.col("_old") | (F.col("_kind") == "MAIN"), F.col("line_no"))), F.max("line_no") + 1).alias("_at"))
     name = F.col("name") if folder is None else text.relative(F.col("name"), F.lit(folder))
     new = numbered.join(at, "path").select("path", F.col("_at").alias("_line"), F.col("new_int").alias("_sub"), F.concat(F.lit("#WAV"), "new_num", F.lit(" "), name).alias("line"))
-    maps = mapping.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("num", "new_num"))).alias("_map"))
     passed = marked.filter(~F.col("_old")).select("path", F.col("line_no").alias("_line"), F.lit(2**31 - 1).alias("_sub"), "line")
-    placed = group_rank(new.unionByName(passed), ["path"], ["_line", "_sub"], "_no", spread).join(maps, "path", "left")
+    placed = group_rank(new.unionByName(passed), ["path"], ["_line", "_sub"], "_no", spread).join(maps_of(mapping), "path", "left")
     # Tokens are replaced in placed lines, as a range exchange reads its input twice; new definitions aren't data lines.
-    part = lambda k: F.regexp_extract("line", charts.DATA, k)
-    changes = (charts.line_class(F.col("line")) == "MAIN") & F.col("line").rlike(charts.DATA) & charts.is_sound_channel(part(3)) & F.col("_map").isNotNull()
-    body = F.when(changes, F.concat(part(1), part(2), part(3), part(4), replaced_tokens(part(5), F.col("_map")))).otherwise(F.col("line"))
+    # Lines whose channel has a letter are of class OTHER and pass as they are.
+    body = F.when(charts.line_class(F.col("line")) == "MAIN", changed_line(F.col("line"), F.col("map"))).otherwise(F.col("line"))
     return placed.select("path", (F.col("_no") - 1).alias("line_no"), body.alias("line"))
 
 
 def undefined_references(lines: DataFrame, mapping: DataFrame) -> DataFrame:
-    """path and id of identifiers that data lines use and no map has."""
+    """path and id of identifiers that data lines use and no map has; channels in lower case aren't checked."""
     main = lines.filter(charts.line_class(F.col("line")) == "MAIN")
-    used = charts.tokens(main).filter("id <> '00'").select("path", "id").distinct()
+    used = charts.tokens(main, charts.CHECKED_DATA).filter("id <> '00'").select("path", "id").distinct()
     return used.join(mapping.select("path", F.col("num").alias("id")), ["path", "id"], "left_anti")
 
 

@@ -27,9 +27,13 @@ def hundredths(spark: SparkSession) -> DataFrame:
     return spark.range(101).select(((100 - F.col("id")) / 100).alias("threshold"))
 
 
+def _chart(rows: DataFrame) -> list[str]:
+    return ["path"] if "path" in rows.columns else []
+
+
 def until_enough(points: DataFrame, limit: int = ids.LARGEST[36]) -> DataFrame:
-    """Points (threshold, file_count) from the highest threshold down to the first with at most ``limit`` files, that one too."""
-    before = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, -1)
+    """Points (threshold, file_count; of each path, if there is one) from the highest threshold down to the first with at most ``limit`` files, that one too."""
+    before = Window.partitionBy(*_chart(points)).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, -1)
     hits = F.coalesce(F.sum(F.when(F.col("file_count") <= limit, 1).otherwise(0)).over(before), F.lit(0))
     return points.withColumn("_hits", hits).filter("_hits = 0").drop("_hits")
 
@@ -51,24 +55,31 @@ def best(limit: int) -> Column:
 
 
 def optimum(points: DataFrame) -> DataFrame:
-    """One row: the points to take for base 36 and base 62.
+    """The points to take for base 36 and base 62: one row, or one for each path.
 
     Base 62 falls back to base 36 where it has no count or a lower threshold.
     """
-    both = points.agg(best(ids.LARGEST[36]).alias("base36"), best(ids.LARGEST[62]).alias("base62"))
+    both = points.groupBy(*_chart(points)).agg(best(ids.LARGEST[36]).alias("base36"), best(ids.LARGEST[62]).alias("base62"))
     worse = (F.col("base62.file_count") == 0) | (F.col("base62.threshold") < F.col("base36.threshold"))
     return both.withColumn("base62", F.when(worse, F.col("base36")).otherwise(F.col("base62")))
 
 
 def simulate(blocked: DataFrame, unloaded: DataFrame, grid: list[float], early_stop: bool = True) -> DataFrame:
-    """threshold and file_count over a grid; files without a sound (``unloaded``) count as unique.
+    """threshold and file_count over a grid, for each path if files have one; files without a sound (``unloaded``) count as unique.
 
     ``early_stop`` leaves out thresholds below the first that fits base 36.
     """
-    extra = unloaded.agg(F.count("*").alias("extra"))
-    spark = blocked.sparkSession
-    grid_rows = spark.createDataFrame([(t,) for t in dict.fromkeys(grid)], "threshold double")
-    counted = grid_rows.join(cluster.unique_counts(blocked, list(dict.fromkeys(grid))), "threshold", "left")
-    # One row joins at most a few hundred.
-    points = counted.crossJoin(F.broadcast(extra)).select("threshold", (F.coalesce("file_count", F.lit(0)) + F.col("extra")).alias("file_count"))
+    spark, own = blocked.sparkSession, _chart(blocked)
+    distinct = list(dict.fromkeys(grid))
+    grid_rows = spark.createDataFrame([(t,) for t in distinct], "threshold double")
+    counted = cluster.unique_counts(blocked, distinct)
+    extra = unloaded.groupBy(*own).agg(F.count("*").alias("_extra"))
+    total = (F.coalesce("file_count", F.lit(0)) + F.coalesce("_extra", F.lit(0))).alias("file_count")
+    # The grid has a few hundred rows; each chart, or the one there is, gets all of them.
+    if own:
+        wanted = counted.select("path").union(extra.select("path")).distinct().crossJoin(F.broadcast(grid_rows))
+        points = wanted.join(counted, ["path", "threshold"], "left").join(extra, "path", "left")
+    else:
+        points = grid_rows.join(counted, "threshold", "left").crossJoin(F.broadcast(extra))
+    points = points.select(*own, "threshold", total)
     return until_enough(points) if early_stop else points

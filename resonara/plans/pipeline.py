@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonara.functions import waves
+from resonara.functions import ids, text, waves
 from resonara.operators import blocking, cluster, facets, rewrite, stats, sweep
+from resonara.operators.ranking import checkpointed
 from resonara.sources import audio, charts, sinks
 
 
@@ -26,11 +27,14 @@ def with_sounds(files: DataFrame, sounds: DataFrame) -> DataFrame:
     return made.withColumns({"rms": waves.rms(F.col("sound.samples")), "fingerprint": F.lit("")})
 
 
-def find_optimum(files: DataFrame, least: float = 0.0, most: float = 1.0, step: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """The sweep's points and the thresholds to take; files have sounds."""
-    blocked = blocking.blocked(files.filter(F.col("sound").isNotNull()))
-    points = sweep.simulate(blocked, files.filter(F.col("sound").isNull()), sweep.thresholds(least, most, step)).checkpoint()
-    return points, sweep.optimum(points)
+def find_optimum(files: DataFrame, least: float = 0.0, most: float = 1.0, step: float = 0.01) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sweep's points, the thresholds to take, and a warning for each chart with failed loads; files have path and sound (null if it failed)."""
+    loaded, failed = files.filter(F.col("sound").isNotNull()), files.filter(F.col("sound").isNull())
+    points = checkpointed(sweep.simulate(blocking.blocked(loaded), failed, sweep.thresholds(least, most, step)))
+    count, first = F.col("failed"), text.file_name(F.col("first"))
+    said = F.when(count == 1, F.concat(F.lit("1 sound couldn't be loaded and was left out: "), first)).otherwise(F.concat(count.cast("string"), F.lit(" sounds couldn't be loaded and were left out")))
+    warnings = failed.groupBy("path").agg(F.count("*").alias("failed"), F.min_by("name", "idx").alias("first")).select("path", "failed", said.alias("warning"))
+    return points, sweep.optimum(points), warnings
 
 
 @dataclass
@@ -53,13 +57,14 @@ def reduce_chart(lines: DataFrame, files: DataFrame, threshold: float, start: in
     if not 0 <= threshold <= 1:
         return Reduction(error="threshold out of range")
     bounds = blocking.processing_range(files, start, end).first()
-    if bounds["start_point"] > bounds["end_point"]:
+    if bounds is None or bounds["start_point"] > bounds["end_point"]:
         return Reduction(error="nothing in range")
-    first, last = bounds
+    first, last = bounds["start_point"], bounds["end_point"]
     blocked = blocking.blocked(files, first, last, keywords)
-    replaces = cluster.assign(blocked, threshold, mode).groupBy("num_int").agg(F.min("replace_to").alias("replace_to")).checkpoint()
+    replaces = cluster.assign(blocked, threshold, mode).groupBy("path", "num_int").agg(F.min("replace_to").alias("replace_to"))
+    replaces = checkpointed(replaces)
     stay = rewrite.kept(files, replaces, first, last)
-    numbered = rewrite.renumbered(stay).checkpoint()
+    numbered = checkpointed(rewrite.renumbered(stay))
     mapping = rewrite.final_map(files, replaces, numbered, first, last)
     counted = stats.reduction_statistics(files, replaces, first, last).first().asDict()
     counted["rate"] = stats.reduction_rate(counted["total"], counted["unique_files"])
@@ -67,18 +72,14 @@ def reduce_chart(lines: DataFrame, files: DataFrame, threshold: float, start: in
 
 
 def reduce_charts(lines: DataFrame, files: DataFrame, threshold: float, mode: str = "production") -> DataFrame:
-    """New lines of any number of charts, whole, in one plan; each as ``reduce_chart`` gives it if no identifier is above 3,842.
+    """path, line_no and line of any number of charts, whole, in one plan; each as ``reduce_chart`` gives it.
 
-    Files are as there, but ``num_int`` tells the files of all charts apart
-    and, inside a chart, rises with their identifiers.  Files meet inside
-    their chart only.
+    Files meet inside their chart only; the last identifier of the space isn't processed.
     """
-    # In place of a keyword the path keeps charts apart.
-    sized = files.filter(F.col("rms").isNotNull()).withColumn("block_key", blocking.block_key(F.col("file_size"), F.col("rms")))
-    blocked = blocking.numbered_runs(sized.withColumn("keyword", F.col("path")))
-    replaces = cluster.assign(blocked, threshold, mode).groupBy("num_int").agg(F.min("replace_to").alias("replace_to")).checkpoint()
-    first, last = 1, 2**31 - 1
-    numbered = rewrite.renumbered(rewrite.kept(files, replaces, first, last)).checkpoint()
+    first, last = 1, ids.PROCESSED_TO
+    found = cluster.assign(blocking.blocked(files, first, last), threshold, mode)
+    replaces = checkpointed(found.groupBy("path", "num_int").agg(F.min("replace_to").alias("replace_to")))
+    numbered = checkpointed(rewrite.renumbered(rewrite.kept(files, replaces, first, last)))
     return rewrite.rewritten(lines, rewrite.final_map(files, replaces, numbered, first, last), numbered)
 
 
@@ -86,7 +87,7 @@ def run(spark: SparkSession, chart: str, folder: str, out: str, threshold: float
     """Load a chart and its sounds, reduce it (at its best base-36 threshold if none is given) and write it."""
     files, _ = load_chart(spark, chart, folder)
     sounds = audio.load(spark, folder).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
-    ready = with_sounds(files, sounds).checkpoint()
+    ready = checkpointed(with_sounds(files, sounds))
     if threshold is None:
         threshold = find_optimum(ready)[1].first()["base36"]["threshold"]
     lines = charts.read(spark, chart).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resonara.functions import ids, text
 from resonara.functions import waves as w
 from resonara.operators import blocking, cluster, facets, rewrite, similarity, stats, sweep
-from resonara.plans import tables
+from resonara.plans import pipeline, tables
 from resonara.sources import audio, charts
 
 START, END = 10, 3000
@@ -61,7 +63,7 @@ def processing_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tables.files(spark, sf_dir)
     rows = None
     for start, end in ((-5, 50), (1, 5000), (100, 0), (1, 3843)):
-        one = blocking.processing_range(files, start, end).select(F.lit(start).alias("asked_start"), F.lit(end).alias("asked_end"), "start_point", "end_point")
+        one = blocking.processing_range(files, start, end).select("path", F.lit(start).alias("asked_start"), F.lit(end).alias("asked_end"), "start_point", "end_point")
         rows = one if rows is None else rows.union(one)
     return rows
 
@@ -92,18 +94,18 @@ def display_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = tables.chart(spark, sf_dir).withColumn("line", F.when(F.col("line_no") % 11 == 0, F.concat(F.lit("  "), "line")).otherwise(F.col("line")))
-    return lines.groupBy(charts.line_class(F.col("line")).alias("class"), charts.is_definition(F.col("line")).alias("is_definition")).agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
+    return lines.groupBy("path", charts.line_class(F.col("line")).alias("class"), charts.is_definition(F.col("line")).alias("is_definition")).agg(F.count("*").alias("n"), F.min("line_no").alias("first"))
 
 
 def wav_def_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.definitions(tables.chart(spark, sf_dir)).select("idx", "num", "name")
+    return charts.definitions(tables.chart(spark, sf_dir)).select("path", "idx", "num", "name")
 
 
 def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = tables.files(spark, sf_dir).filter("idx % 4 <> 0").select(F.concat(F.lit("songs/"), "name").alias("path"), F.col("file_size").alias("length"))
-    defined = charts.definitions(tables.chart(spark, sf_dir).withColumn("path", F.lit("songs/song.bms")))
+    defined = charts.definitions(tables.chart(spark, sf_dir).withColumn("path", F.concat(F.lit("songs/"), "path")))
     found, missing = charts.file_list(defined, listing)
-    return found.select("idx", "num_int", "name", "file_size").unionByName(missing.select("idx", F.lit(None).cast("int").alias("num_int"), "name", F.lit(None).cast("long").alias("file_size")))
+    return found.select("path", "idx", "num_int", "name", "file_size").unionByName(missing.select("path", "idx", F.lit(None).cast("int").alias("num_int"), "name", F.lit(None).cast("long").alias("file_size")))
 
 
 def numbered_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,36 +123,41 @@ def base_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _map(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files, replaces = tables.files(spark, sf_dir), tables.replaces(spark)
+    files, replaces = tables.files(spark, sf_dir), tables.replaces(spark, sf_dir)
     numbered = rewrite.renumbered(rewrite.kept(files, replaces, START, END))
     return files, numbered, rewrite.final_map(files, replaces, numbered, START, END)
 
 
 def keep_first_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rewrite.kept(tables.files(spark, sf_dir), tables.replaces(spark), START, END).select("place", "num_int", "idx", "name")
+    return rewrite.kept(tables.files(spark, sf_dir), tables.replaces(spark, sf_dir), START, END).select("path", "place", "num_int", "idx", "name")
 
 
 def survivor_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _map(spark, sf_dir)[1].select("num_int", "new_int", "new_num", "name")
+    return _map(spark, sf_dir)[1].select("path", "num_int", "new_int", "new_num", "name")
 
 
 def final_id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _map(spark, sf_dir)[2].select("num", "new_num")
+    return _map(spark, sf_dir)[2].select("path", "num", "new_num")
 
 
 def token_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, numbered, mapping = _map(spark, sf_dir)
-    return rewrite.rewritten(tables.chart(spark, sf_dir), mapping, numbered, "sounds", spread=True).select("line_no", "line")
+    return rewrite.rewritten(tables.chart(spark, sf_dir), mapping, numbered, "sounds").select("path", "line_no", "line")
+
+
+def change_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = rewrite.maps_of(_map(spark, sf_dir)[2])
+    return tables.chart(spark, sf_dir).join(maps, "path", "left").select("path", "line_no", rewrite.changed_line(F.col("line"), F.col("map")).alias("line"))
 
 
 def undefined_refs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = _map(spark, sf_dir)[2].filter(F.col("num") < "P")
-    return rewrite.undefined_references(tables.chart(spark, sf_dir), mapping).select("id")
+    return rewrite.undefined_references(tables.chart(spark, sf_dir), mapping).select("path", "id")
 
 
 def unused_paths_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, numbered, _ = _map(spark, sf_dir)
-    return rewrite.unused_files(files, numbered).select("name")
+    return rewrite.unused_files(files, numbered).select("path", "name")
 
 
 # samples
@@ -218,7 +225,7 @@ def r_squared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def block_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.sounds(spark, sf_dir).withColumn("block_key", blocking.block_key(F.col("file_size"), F.col("rms"))).groupBy("block_key").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
+    return tables.sounds(spark, sf_dir).withColumn("block_key", blocking.block_key(F.col("file_size"), F.col("rms"))).groupBy("path", "block_key").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +234,7 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_block_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = blocking.blocked(_named(spark, sf_dir), START, END, KEYWORDS)
-    return made.groupBy("keyword", "block_key").agg(F.count("*").alias("n"), F.max("chunk_no").alias("last_chunk"))
+    return made.groupBy("path", "keyword", "block_key").agg(F.count("*").alias("n"), F.max("chunk_no").alias("last_chunk"))
 
 
 def keyword_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,26 +243,23 @@ def keyword_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def group_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _named(spark, sf_dir).withColumns({"rms": F.when(F.col("rms").isNotNull(), F.lit(0.5)).cast("float"), "file_size": F.lit(0).cast("long")})
-    return blocking.blocked(files).select("idx", "block_key", "chunk_no")
+    return blocking.blocked(files).select("path", "idx", "block_key", "chunk_no")
 
 
 def band_join_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tables.sounds(spark, sf_dir).filter("rms is not null").withColumns({"keyword": F.lit(None).cast("string"), "block_key": F.lit("0"), "chunk_no": F.floor((F.col("idx") - 1) / 100)})
     met = similarity.candidates(files)
-    return met.groupBy(F.col("a.chunk_no").alias("chunk_no")).agg(F.count("*").alias("pairs"), F.sum(F.col("a.num_int") * F.lit(4000).cast("long") + F.col("b.num_int")).alias("checksum"))
+    return met.groupBy(F.col("a.path").alias("path"), F.col("a.chunk_no").alias("chunk_no")).agg(F.count("*").alias("pairs"), F.sum(F.col("a.num_int") * F.lit(4000).cast("long") + F.col("b.num_int")).alias("checksum"))
 
 
 def exact_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rank"), "p_name", F.when(F.col("p_partkey") % 10 == 0, F.col("p_brand")).otherwise("").alias("print"), "p_size")
-    met = similarity.pairs(part, "a", "b", ["p_size"])
-    same = F.col("a.p_name") == F.col("b.p_name")
-    print_ = (F.col("a.print") != "") & (F.col("a.print") == F.col("b.print"))
-    return met.filter(same | print_).select(F.col("a.rank").alias("id_a"), F.col("b.rank").alias("id_b"), same.alias("by_name"))
+    return similarity.exact_pairs(part, ["p_size"], "p_name", "print")
 
 
 def matching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similarity.matching(blocking.blocked(tables.sounds(spark, sf_dir)), 0.3)
-    return found.select("num_a", "num_b", F.round("r", 6).alias("r"), "how")
+    return found.select("path", "num_a", "num_b", F.round("r", 6).alias("r"), "how")
 
 
 # words
@@ -306,7 +310,7 @@ def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reduction_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.reduction_statistics(tables.files(spark, sf_dir), tables.replaces(spark), START, END).withColumn("reduction_percent", F.round("reduction_percent", 6))
+    return stats.reduction_statistics(tables.files(spark, sf_dir), tables.replaces(spark, sf_dir), START, END, by_path=True).withColumn("reduction_percent", F.round("reduction_percent", 6))
 
 
 def reduction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +319,7 @@ def reduction_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replace_root_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.roots(tables.replaces(spark))
+    return cluster.roots(tables.replaces(spark, sf_dir))
 
 
 def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,18 +362,110 @@ def component_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tables.sounds(spark, sf_dir)
-    return sweep.simulate(_clustered(spark, sf_dir), files.filter("rms is null"), sweep.thresholds(0.0, 1.0, 0.05), early_stop=False)
+    return sweep.simulate(_clustered(spark, sf_dir), files.filter("rms is null"), sweep.thresholds(0.0, 1.0, 0.01), early_stop=False).withColumn("threshold", F.round("threshold", 2))
 
 
-def reduce_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from resonara.plans import pipeline
-
-    files = tables.charted(tables.sounds(spark, sf_dir))
+def _sound_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts that define the sounds, in list order, and use each in one of 400 data lines."""
+    files = tables.sounds(spark, sf_dir)
     defined = files.select("path", F.col("idx").alias("line_no"), F.concat(F.lit("#WAV"), "num", F.lit(" "), "name").alias("line"))
-    after = files.agg((F.max("idx") + 10_000).alias("after"))
     used = files.groupBy("path", (F.col("idx") % 400).alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "num"))), lambda x: x["num"]), "").alias("data"))
-    main = used.crossJoin(F.broadcast(after)).select("path", (F.col("k") + F.col("after")).alias("line_no"), F.concat(F.lit("#"), F.lpad(F.col("k").cast("string"), 3, "0"), F.lit("11:"), "data").alias("line"))
-    return pipeline.reduce_charts(defined.union(main), files, 0.3).select("path", "line_no", "line")
+    main = used.select("path", (F.col("k") + 10_000).alias("line_no"), F.concat(F.lit("#"), F.lpad(F.col("k").cast("string"), 3, "0"), F.lit("11:"), "data").alias("line"))
+    return defined.union(main)
+
+
+def reduce_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipeline.reduce_charts(_sound_charts(spark, sf_dir), tables.sounds(spark, sf_dir), 0.3).select("path", "line_no", "line")
+
+
+def _partly_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tables.sounds(spark, sf_dir)
+    failed = F.col("idx") % 17 == 0
+    return files.withColumns({"sound": F.when(~failed, F.col("sound")), "rms": F.when(~failed, F.col("rms"))})
+
+
+def find_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, best, warnings = pipeline.find_optimum(_partly_loaded(spark, sf_dir))
+    shown = lambda k: [F.round(F.col(f"{k}.threshold"), 2).alias(f"{k}_threshold"), F.col(f"{k}.file_count").alias(f"{k}_count")]
+    return best.join(warnings, "path", "left").select("path", *shown("base36"), *shown("base62"), F.coalesce("warning", F.lit("")).alias("warning"))
+
+
+# sources
+
+
+def _wave_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as two-channel 16-bit WAVE files (path, length, content); every ninth isn't one and every eleventh has no samples."""
+    head = lambda size: (b"RIFF" + struct.pack("<I", 36 + size) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 44100, 176400, 4, 16) + b"data" + struct.pack("<I", size)).hex()
+    byte = lambda n: F.lpad(F.hex(n.bitwiseAND(255)), 2, "0")
+    level = F.transform("embedding", lambda v: F.floor(v.cast("double") * 32767 + 0.5).cast("int"))
+    data = F.array_join(F.transform(level, lambda n: F.concat(byte(n), byte(F.shiftright(n, 8)))), "")
+    content = F.when(F.col("vec_id") % 9 == 0, F.lit("00")).when(F.col("vec_id") % 11 == 0, F.lit(head(0))).otherwise(F.concat(F.lit(head(128)), data))
+    made = tables.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), F.unhex(content).alias("content"))
+    return made.select("path", F.length("content").cast("long").alias("length"), "content")
+
+
+def wave_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound = F.col("sound")
+    made = audio.with_features(audio.decoded(_wave_files(spark, sf_dir)))
+    return made.select("path", "file_size", sound["sample_rate"].alias("rate"), sound["channels"].alias("channels"), sound["bits_per_sample"].alias("bits"), w.total_samples(sound["samples"]).alias("frames"), F.round(F.get(F.get(sound["samples"], 1), 4).cast("double"), 6).alias("fifth_right"), F.round(F.col("rms").cast("double"), 5).alias("rms"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def lazy_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    there = _wave_files(spark, sf_dir).filter(F.regexp_extract("path", r"\d+", 0).cast("long") % 4 != 0)
+    wanted = _wave_files(spark, sf_dir).select("path")
+    return audio.load_missing_too(wanted, audio.decoded(there)).select("path", F.col("sound").isNotNull().alias("loaded"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def in_memory_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "embeddings").select("vec_id", F.array("embedding", F.transform("embedding", lambda v: v * F.lit(0.5).cast("float"))).alias("given"))
+    made = audio.with_features(audio.of_arrays(rows, "given", 48000, 24))
+    return made.select("vec_id", "sound.sample_rate", "sound.channels", F.col("sound.bits_per_sample").alias("bits"), w.total_samples(F.col("sound.samples")).alias("frames"), F.round(F.col("rms").cast("double"), 5).alias("rms"), F.round("memory_mb", 9).alias("megabytes"))
+
+
+def format_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("vec_id")
+    sound = F.struct(F.when(k % 2 == 0, 44100).otherwise(48000).alias("sample_rate"), (k % 3).cast("int").alias("channels"), F.lit(16).alias("bits_per_sample"), F.array(F.slice("embedding", F.lit(1), (k % 5 + 1).cast("int"))).alias("samples"))
+    one = tables.table(spark, sf_dir, "embeddings").select("vec_id", sound.alias("a"))
+    other = one.select((F.col("vec_id") - 6).alias("vec_id"), F.col("a").alias("b"))
+    return one.join(other, "vec_id").select("vec_id", w.same_format(F.col("a"), F.col("b")).alias("same"))
+
+
+def first_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.failures(audio.decoded(_wave_files(spark, sf_dir)))
+
+
+# forms and lists
+
+
+def path_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".bms", ".BME", ".wav", "")]), (k % 4 + 1).cast("int"))
+    typed = F.when(k % 13 == 0, "  ").when(k % 5 == 0, F.concat(F.lit('"songs/'), "p_name", ext, F.lit('"'))).otherwise(F.concat(F.lit("songs/"), "p_name", ext))
+    made = tables.table(spark, sf_dir, "part").select("p_partkey", typed.alias("typed"), F.when(k % 3 == 0, "").otherwise("out/x.bms").alias("out"))
+    return made.select("p_partkey", text.input_path_error(F.col("typed"), k % 7 != 0).alias("input_error"), text.output_path_error(F.col("out"), k % 2 == 0).alias("output_error"), text.paths_specified(F.col("typed"), F.col("out")).alias("specified"))
+
+
+def all_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = tables.files(spark, sf_dir).select("idx", F.concat((F.col("idx") % 130 - 10).cast("string"), F.lit("%")).alias("threshold"), "num", ids.encode((F.col("idx") * 41 % 1296).cast("int"), 36).alias("end_id"))
+    each = [ids.field_error(f, F.col("threshold"), F.col("num"), F.col("end_id")) for f in ("threshold", "start", "end")]
+    return made.select("idx", ids.all_errors(*each, separator="; ").alias("errors"))
+
+
+def display_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    flag = F.when(k % 3 != 2, k % 3 == 0)
+    word = F.when(k % 4 == 1, "").when(k % 4 != 2, F.col("p_brand"))
+    return tables.table(spark, sf_dir, "part").select("p_partkey", text.opacity(flag).alias("opacity"), text.is_half(text.opacity(flag)).alias("half"), text.inverse(flag).alias("inverse"), word.isNotNull().alias("there"), text.is_blank(word).alias("blank"))
+
+
+def row_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tables.files(spark, sf_dir)
+    return facets.without(files, files.filter("idx % 7 = 3 or file_size > 45")).select("path", "idx")
+
+
+def licence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), (F.col("s_suppkey") % 10 == 0).alias("is_app"))
+    return facets.licences(rows).select("place", "name", "is_app")
 
 
 QUERIES = {
@@ -378,12 +474,14 @@ QUERIES = {
         id_encode_36, id_encode_62, id_decode_62, id_invalid_flags, range_validate, field_validate, threshold_parse, processing_range,
         path_functions, chart_names, display_conversions,
         line_classify, wav_def_scan, file_list, numbered_paths, channel_filter, base_detection,
-        keep_first_dedup, survivor_renumber, final_id_map, token_rewrite, undefined_refs_anti, unused_paths_anti,
+        keep_first_dedup, survivor_renumber, final_id_map, token_rewrite, change_definition, undefined_refs_anti, unused_paths_anti,
         vec_rms, vec_normalize, vec_peak_normalize, vec_rms_normalize, leading_silence, deinterleave, load_statistics,
         pearson_pairs, pearson_raw_edgecases, r_squared_pairs, block_keys, keyword_block_keys, keyword_totals, group_chunking,
         band_join_pairs, exact_name_pairs, matching_pairs,
         filename_tokens, word_counts_having, prefix_facets_topk, instrument_best_match, instrument_facets, text_and_set_filter, chip_filter, keyword_first_match, name_lookup,
         reduction_stats, reduction_rate, replace_root_resolution, threshold_grid, optimal_threshold_topone, sweep_take_while,
-        greedy_clusters, component_clusters, sweep_counts, reduce_pipeline,
+        greedy_clusters, component_clusters, sweep_counts, reduce_pipeline, find_optimum,
+        wave_decode, lazy_load, in_memory_sounds, format_compat, first_failures,
+        path_validate, all_errors, display_flags, row_removal, licence_order,
     )
 }

@@ -9,45 +9,55 @@ from resonara.functions import ids
 
 #: Scaled copies of a vector have this much added to its number.
 COPY = 1_000_000
-#: Files of one of the charts that sounds are dealt over; the identifier space has room for 3,843.
-CHART_FILES = 3800
+#: Rows are dealt over charts, two for so many consecutive keys: a chart has room for 3,843 identifiers.
+PART_SPAN, ORDER_SPAN, VECTOR_SPAN = 4000, 30_000, 1900
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def chart_path(key: Column, span: int) -> Column:
+    """The chart that a key falls to: every fourth key goes to the second of the two charts of its span."""
+    number = F.floor(key / span) * 2 + F.when(key % 4 == 0, 1).otherwise(0)
+    return F.concat(F.lit("song"), number.cast("string"), F.lit(".bms"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as the files of one chart: path, idx, num_int, num, name, file_size."""
+    """Parts as the files of charts: path, idx, num_int, num, name, file_size.  Some files of a full chart share an identifier."""
     part = table(spark, sf_dir, "part")
     number = (F.col("p_partkey") % (ids.LARGEST[62] + 1)).cast("int")
     name = F.concat(F.lit("sounds/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit(".wav"))
-    return part.select(F.lit("song.bms").alias("path"), F.col("p_partkey").alias("idx"), number.alias("num_int"), ids.encode(number, 62).alias("num"), name.alias("name"), F.col("p_size").cast("long").alias("file_size"))
+    return part.select(chart_path(F.col("p_partkey"), PART_SPAN).alias("path"), F.col("p_partkey").alias("idx"), number.alias("num_int"), ids.encode(number, 62).alias("num"), name.alias("name"), F.col("p_size").cast("long").alias("file_size"))
 
 
-def replaces(spark: SparkSession) -> DataFrame:
-    """A replacement for every identifier: none, itself, another, or one that is replaced itself."""
-    n = F.col("id").cast("int")
-    to = F.when(n % 5 == 0, 0).when(n % 5 == 1, n).when(n % 5 == 3, n - 2).otherwise(n - 1)
-    return spark.range(ids.LARGEST[62] + 1).select(n.alias("num_int"), to.cast("int").alias("replace_to"))
+def replaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replacement for every identifier of every chart of ``files``: none, itself, another, or one that is replaced itself; charts differ."""
+    n = F.col("num_int")
+    turn = (n + F.regexp_extract("path", r"\d+", 0).cast("int") % 2) % 5
+    to = F.when(turn == 0, 0).when(turn == 1, n).when(turn == 3, n - 2).otherwise(n - 1)
+    # A span of keys has two charts, so this is about two table rows for a part.
+    charts = files(spark, sf_dir).select("path").distinct()
+    every = charts.withColumn("num_int", F.explode(F.sequence(F.lit(0), F.lit(ids.LARGEST[62]))))
+    return every.select("path", "num_int", F.greatest(to, F.lit(0)).cast("int").alias("replace_to"))
 
 
 def chart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as the lines of one chart: a title, a definition for every part, and data lines of encoded parts.
+    """Charts: a title, a definition for every part and a data line of encoded parts for every order.
 
-    Data lines begin at 10,000 or, with more parts, after the last definition.
+    Line numbers rise with the key inside a chart; definitions come first.
     """
     item = table(spark, sf_dir, "lineitem")
-    own = files(spark, sf_dir)
-    after = own.agg(F.greatest(F.lit(10_000).cast("long"), F.coalesce(F.max("idx") + 2, F.lit(0))).alias("after"))
     token = ids.encode((F.col("l_partkey") % (ids.LARGEST[62] + 1)).cast("int"), 62)
     data = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", token.alias("token")))), lambda x: x["token"]), "")
-    channel = F.element_at(F.array(*[F.lit(c) for c in ("01", "11", "04", "D1", "5A", "29")]), (F.col("l_orderkey") % 6 + 1).cast("int"))
-    orders = item.groupBy("l_orderkey").agg(data.alias("data")).crossJoin(F.broadcast(after))
-    main = orders.select((F.col("l_orderkey") + F.col("after")).alias("no"), F.concat(F.lit("#"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0"), channel, F.lit(":"), "data", F.when(F.col("l_orderkey") % 7 == 0, F.lit("x")).otherwise(F.lit(""))).alias("line"))
-    defined = own.select((F.col("idx") + 1).alias("no"), F.concat(F.when(F.col("idx") % 50 == 0, F.lit("#wav")).otherwise(F.lit("#WAV")), "num", F.lit("  "), "name", F.lit(" ")).alias("line"))
-    first = spark.range(1).select(F.lit(0).cast("long").alias("no"), F.lit("#TITLE a song").alias("line"))
-    return first.union(defined).union(main).select(F.lit("song.bms").alias("path"), F.col("no").alias("line_no"), "line")
+    channel = F.element_at(F.array(*[F.lit(c) for c in ("01", "11", "04", "D1", "5A", "29", "d1", "e9")]), (F.col("l_orderkey") % 8 + 1).cast("int"))
+    body = F.concat(F.lit("#"), F.lpad((F.col("l_orderkey") % 1000).cast("string"), 3, "0"), channel, F.lit(":"), "data", F.when(F.col("l_orderkey") % 7 == 0, F.lit("x")).otherwise(F.lit("")))
+    orders = item.groupBy("l_orderkey").agg(data.alias("data"))
+    main = orders.select(chart_path(F.col("l_orderkey"), ORDER_SPAN).alias("path"), (F.col("l_orderkey") % ORDER_SPAN + 10_000).alias("line_no"), body.alias("line"))
+    own = files(spark, sf_dir)
+    defined = own.select("path", (F.col("idx") % PART_SPAN + 1).alias("line_no"), F.concat(F.when(F.col("idx") % 50 == 0, F.lit("#wav")).otherwise(F.lit("#WAV")), "num", F.lit("  "), "name", F.lit(" ")).alias("line"))
+    first = own.select("path", F.lit(0).cast("long").alias("line_no"), F.lit("#TITLE a song").alias("line")).distinct()
+    return first.union(defined).union(main)
 
 
 def samples(vector: Column) -> Column:
@@ -55,28 +65,23 @@ def samples(vector: Column) -> Column:
 
 
 def waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors and scaled copies as one-channel sounds: vec_id, label, x (double); copies have another RMS."""
+    """Vectors and scaled copies as one-channel sounds: vec_id, label, x (double).
+
+    Copies have another RMS and a faint pattern added, so that no correlation is 1 but for rounding.
+    """
     base = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    scaled = base.select((F.col("vec_id") + COPY).alias("vec_id"), "label", F.transform("x", lambda v: v * (1 + (F.col("vec_id") % 5) * 0.313)).alias("x"))
+    scaled = base.select((F.col("vec_id") + COPY).alias("vec_id"), "label", F.transform("x", lambda v, i: v * (1 + (F.col("vec_id") % 5) * 0.313) + i % 3 * 0.002).alias("x"))
     return base.union(scaled)
 
 
 def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors and their copies as one list of files with sounds: idx, num_int, name, file_size, fingerprint, label, sound, rms.
-
-    Beyond 1,900 vectors ``num_int`` passes the identifier space; ``charted`` deals such a list out over charts.
-    """
+    """Vectors and their copies as files of charts with sounds: path, idx, num_int, num, name, file_size, fingerprint, label, sound, rms."""
     from resonara.functions import waves as w
 
     own = waves(spark, sf_dir)
-    number = (F.col("vec_id") % COPY * 2 + F.when(F.col("vec_id") >= COPY, 2).otherwise(1)).cast("int")
+    vector = F.col("vec_id") % COPY
+    number = (vector % VECTOR_SPAN * 2 + F.when(F.col("vec_id") >= COPY, 2).otherwise(1)).cast("int")
     channels = F.array("x")
     sound = F.struct(F.lit(44100).alias("sample_rate"), F.lit(1).alias("channels"), F.lit(16).alias("bits_per_sample"), channels.alias("samples"))
-    return own.select(number.cast("long").alias("idx"), number.alias("num_int"), F.concat(F.lit("v"), number.cast("string"), F.lit(".wav")).alias("name"), F.col("label").cast("long").alias("file_size"), F.lit("").alias("fingerprint"), "label", sound.alias("sound"), w.rms(channels).alias("rms"))
-
-
-def charted(files: DataFrame) -> DataFrame:
-    """Files of ``sounds`` with path and num: a chart for every 1,900 vectors and their copies, with identifiers of its own."""
-    chart_no = F.floor((F.col("num_int") - 1) / CHART_FILES)
-    local = ((F.col("num_int") - 1) % CHART_FILES + 1).cast("int")
-    return files.withColumns({"path": F.concat(F.lit("song"), F.when(chart_no > 0, chart_no.cast("string")).otherwise(""), F.lit(".bms")), "num": ids.encode(local, 62)})
+    name = F.concat(F.lit("v"), F.lpad(number.cast("string"), 4, "0"), F.lit(".wav"))
+    return own.select(chart_path(vector, VECTOR_SPAN).alias("path"), number.cast("long").alias("idx"), number.alias("num_int"), ids.encode(number, 62).alias("num"), name.alias("name"), F.col("label").cast("long").alias("file_size"), F.lit("").alias("fingerprint"), "label", sound.alias("sound"), w.rms(channels).alias("rms"))

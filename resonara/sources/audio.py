@@ -11,7 +11,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +20,10 @@ from resonara.functions import waves
 SOUND = "struct<sample_rate:int,channels:int,bits_per_sample:int,samples:array<array<float>>>"
 
 
+#: Files of an Arrow batch that is read, and bytes of samples after which one is written: a task holds about so much.
+BATCH_FILES, BATCH_BYTES = 16, 64 << 20
+
+
 def decode_wave(content: bytes) -> dict:
     """sample_rate, channels, bits_per_sample and samples of a WAVE file; ValueError if it is none or has no samples."""
     if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
@@ -57,28 +61,54 @@ def decode_wave(content: bytes) -> dict:
     return {"sample_rate": rate, "channels": channels, "bits_per_sample": bits, "samples": list(flat.reshape(-1, channels).T)}
 
 
-def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sounds(rows: list[dict | None]) -> pa.Array:
+    """Decoded sounds as an Arrow column; samples go over as arrays, not as lists of numbers."""
+    there = [r for r in rows if r is not None]
+    channels = [c for r in there for c in r["samples"]]
+    flat = pa.array(np.concatenate(channels) if channels else np.empty(0, np.float32), pa.float32())
+    inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(c) for c in channels])], pa.int32()), flat)
+    outer = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r["samples"]) for r in there])], pa.int32()), inner)
+    names = ["sample_rate", "channels", "bits_per_sample"]
+    made = pa.StructArray.from_arrays([*[pa.array([r[k] for r in there], pa.int32()) for k in names], outer], [*names, "samples"])
+    at = np.cumsum([r is not None for r in rows]) - 1
+    return made.take(pa.array([int(k) if r is not None else None for k, r in zip(at, rows, strict=True)], pa.int64()))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sounds, errors = [], []
-        for content in batch["content"]:
+        sounds, errors, first, held = [], [], 0, 0
+        for k in range(batch.num_rows):
+            content = batch.column(2)[k].as_py()
             try:
-                sounds.append({k: [c.tolist() for c in v] if k == "samples" else v for k, v in decode_wave(bytes(content)).items()})
+                sounds.append(decode_wave(content or b""))
                 errors.append(None)
+                held += 4 * sum(map(len, sounds[-1]["samples"]))
             except (ValueError, struct.error) as wrong:
                 sounds.append(None)
                 errors.append(str(wrong))
-        yield pd.DataFrame({"path": batch["path"], "file_size": batch["length"], "sound": sounds, "error": errors})
+            if held > BATCH_BYTES or k == batch.num_rows - 1:
+                own = batch.slice(first, k + 1 - first)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), _sounds(sounds), pa.array(errors, pa.string())], ["path", "file_size", "sound", "error"])
+                sounds, errors, first, held = [], [], k + 1, 0
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """path, file_size, sound and error of sound files given as rows of path, length and content."""
+    spark = files.sparkSession
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_FILES:
+        spark.conf.set(setting, str(BATCH_FILES))
+    return files.select("path", "length", "content").mapInArrow(_decoded, f"path string, file_size long, sound {SOUND}, error string")
 
 
 def load(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, file_size, sound and error of sound files."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", "length", "content")
-    return raw.mapInPandas(_decoded, f"path string, file_size long, sound {SOUND}, error string")
+    return decoded(spark.read.format("binaryFile").load(paths))
 
 
-def load_missing_too(spark: SparkSession, wanted: DataFrame, folder: str) -> DataFrame:
-    """One row of ``wanted`` (path) each, with a null sound and an error where the file is missing."""
-    met = wanted.join(load(spark, folder), "path", "left")
+def load_missing_too(wanted: DataFrame, loaded: DataFrame) -> DataFrame:
+    """One row of ``wanted`` (path) each, with a null sound and an error where ``loaded`` hasn't its file."""
+    met = wanted.join(loaded, "path", "left")
     return met.withColumn("error", F.when(F.col("file_size").isNull(), "missing").otherwise(F.col("error")))
 
 

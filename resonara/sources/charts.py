@@ -16,7 +16,9 @@ from resonara.functions import ids, text
 HEADER = r"^#(WAV|BMP|BPM|STOP)[0-9A-Za-z]{2}"
 MAIN = r"^#\d{5}:"
 DEFINITION = r"^#WAV([0-9A-Za-z]{2})\s+(.+)$"
-DATA = r"^(#)(\d{3})([0-9A-Z]{2})(:)(.+)$"
+#: Data lines that are rewritten, and those whose identifiers are checked: only the former take channels in lower case.
+DATA = r"^(#)(\d{3})([0-9A-Fa-f]{2})(:)(.+)$"
+CHECKED_DATA = r"^(#)(\d{3})([0-9A-Z]{2})(:)(.+)$"
 SOUND_CHANNEL = "^(01|[1-6DE][1-9])$"
 
 
@@ -75,8 +77,8 @@ def file_list(defined: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFr
     return found, named.join(files, "full", "left_anti").select("path", "idx", "name")
 
 
-def tokens(lines: DataFrame) -> DataFrame:
+def tokens(lines: DataFrame, form: str = DATA) -> DataFrame:
     """path, line_no, pos and id of every identifier in the data of sound channels; a trailing single character is none."""
-    data = lines.filter(F.col("line").rlike(DATA) & is_sound_channel(F.regexp_extract("line", DATA, 3)))
-    pairs = F.regexp_extract_all(F.regexp_extract("line", DATA, 5), F.lit(".."), 0)
+    data = lines.filter(F.col("line").rlike(form) & is_sound_channel(F.regexp_extract("line", form, 3)))
+    pairs = F.regexp_extract_all(F.regexp_extract("line", form, 5), F.lit(".."), 0)
     return data.select("path", "line_no", F.posexplode(pairs).alias("pos", "id"))

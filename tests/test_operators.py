@@ -196,7 +196,7 @@ def test_optimum_falls_back(spark):
 def rewrite_lines(spark, lines, replaces):
     frame = spark.createDataFrame([("c.bms", k, x) for k, x in enumerate(lines)], "path string, line_no long, line string")
     defined = charts.definitions(frame).withColumns({"num_int": ids.decode(F.col("num"), 36)})
-    table = spark.createDataFrame(replaces or [(0, 0)], "num_int int, replace_to int")
+    table = spark.createDataFrame([("c.bms", *r) for r in replaces or [(0, 0)]], "path string, num_int int, replace_to int")
     numbered = rewrite.renumbered(rewrite.kept(defined, table, 1, 1295))
     mapping = rewrite.final_map(defined, table, numbered, 1, 1295)
     return [r["line"] for r in rewrite.rewritten(frame, mapping, numbered).orderBy("line_no").collect()], rewrite.undefined_references(frame, mapping)
@@ -218,6 +218,33 @@ def test_rewrite_keeps_what_it_does_not_know(spark):
     assert [r["id"] for r in undefined.collect()] == ["02"]
 
 
+def test_changed_line_takes_channels_of_either_case(spark):
+    rows = {"#00111:0102": "#00111:0A02", "#001d1:0101": "#001d1:0A0A", "#001D1:0001": "#001D1:000A", "#001e9:01x": "#001e9:0Ax", "#00104:01": "#00104:01", "#001G1:01": "#001G1:01", "#WAV01 a": "#WAV01 a"}
+    frame = spark.createDataFrame([(x,) for x in rows], "line string")
+    mapping = F.create_map(F.lit("01"), F.lit("0A"))
+    assert dict(map(tuple, frame.select("line", rewrite.changed_line(F.col("line"), mapping)).collect())) == rows
+
+
+def test_charts_have_replacements_of_their_own(spark):
+    lines = spark.createDataFrame([(p, k, x) for p in ("a.bms", "b.bms") for k, x in enumerate(["#WAV01 x.wav", "#WAV02 y.wav", "#00111:0102"])], "path string, line_no long, line string")
+    files = charts.definitions(lines).withColumns({"num_int": ids.decode(F.col("num"), 36), "file_size": F.lit(1)})
+    table = spark.createDataFrame([("a.bms", 1, 1), ("a.bms", 2, 1)], "path string, num_int int, replace_to int")
+    numbered = rewrite.renumbered(rewrite.kept(files, table, 1, 9))
+    made = rewrite.rewritten(lines, rewrite.final_map(files, table, numbered, 1, 9), numbered).orderBy("path", "line_no").collect()
+    assert [r["line"] for r in made] == ["#WAV01 x.wav", "#00111:0101", "#WAV01 x.wav", "#WAV02 y.wav", "#00111:0102"]
+    counted = {r["path"]: (r["unique_files"], r["replaced"], r["not_processed"]) for r in stats.reduction_statistics(files, table, 1, 9, by_path=True).collect()}
+    assert counted == {"a.bms": (1, 1, 0), "b.bms": (0, 0, 2)}
+
+
+def test_files_meet_inside_their_chart(spark):
+    tone = sound([0.1, 0.2, 0.3, 0.1])
+    one = files(spark, [("01", 1, "a", tone), ("02", 2, "b", tone)])
+    both = one.union(one.withColumn("path", F.lit("d.bms")).filter("num_int = 2"))
+    got = {(r["path"], r["num_int"]): r["replace_to"] for r in cluster.assign(blocking.blocked(both), 0.9).collect()}
+    assert got == {("c.bms", 1): 1, ("c.bms", 2): 1, ("d.bms", 2): 2}
+    assert [(r["path"], r["num_a"], r["num_b"]) for r in similarity.matching(blocking.blocked(both), 0.9).collect()] == [("c.bms", 1, 2)]
+
+
 def test_line_classes(spark):
     rows = {"": "OTHER", "x": "OTHER", "#WAV01 a": "HEADER", " #BPM0z 1": "HEADER", "#wav01 a": "OTHER", "#00111:01": "MAIN", "#0011:01": "OTHER", "#001D1:01": "OTHER"}
     got = spark.createDataFrame([(x,) for x in rows], "line string").select("line", charts.line_class(F.col("line")).alias("c")).collect()
@@ -246,6 +273,45 @@ def test_chart_files_in_shift_jis(spark, tmp_path):
     assert pipeline.reduce_chart(done.lines, files(spark, [("01", 1, "a", None)]), 2.0).error
 
 
+def test_find_optimum_warns(spark):
+    tone = sound([0.1, 0.2, 0.3, 0.1])
+    rows = files(spark, [("01", 1, "a", tone), ("02", 2, "b", tone), ("03", 3, "x/c", None)])
+    points, best, warnings = pipeline.find_optimum(rows, 0.5, 0.9, 0.1)
+    assert [tuple(r) for r in points.collect()] == [("c.bms", pytest.approx(0.9), 2)]
+    assert best.first()["base36"]["file_count"] == 2
+    assert warnings.first()["warning"].endswith("left out: c")
+
+
+def test_sounds_of_rows(spark, tmp_path):
+    (tmp_path / "good.wav").write_bytes(wave_bytes([0.1, 0.2, 0.3]))
+    loaded = audio.load(spark, str(tmp_path)).withColumn("path", F.element_at(F.split("path", "/"), -1))
+    got = {r["path"]: r["error"] for r in audio.load_missing_too(spark.createDataFrame([("good.wav",), ("gone.wav",)], "path string"), loaded).collect()}
+    assert got == {"good.wav": None, "gone.wav": "missing"}
+    made = audio.of_arrays(spark.createDataFrame([([[0.5, 0.5]],)], "x array<array<float>>"), "x")
+    assert audio.with_features(made).first()["rms"] == 0.5
+    with pytest.raises(Exception, match="no samples"):
+        audio.of_arrays(spark.createDataFrame([([],)], "x array<array<float>>"), "x").collect()
+
+
+def test_a_label_of_many_tiles_correlates_as_one(spark):
+    rows = spark.range(60).select("id", F.lit(None).cast("string").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.sin(j * (F.col("id") % 17 + 1).cast("double"))).alias("v"))
+    whole, tiled = (sorted((r["id_a"], r["id_b"], round(r["r"], 9)) for r in similarity.correlated_within(rows, "k", "id", "v", 0.5, n).collect()) for n in (1024, 7))
+    assert whole == tiled and len(whole) > 60 and all(a < b for a, b, _ in whole)
+
+
+def test_long_sounds_normalise_in_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        frame = spark.range(1).select(F.array(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.sin(k.cast("double")))).alias("s"))
+        began = time.time()
+        row = frame.select(F.array_max(waves.peak_normalized(F.col("s"))[0]).alias("p"), waves.rms(waves.rms_normalized(F.col("s"))).alias("r")).first()
+        took.append(time.time() - began)
+        assert abs(row["p"] - 1) < 1e-9 and abs(row["r"] - 0.5) < 1e-6
+    assert took[1] < 40
+
+
 # words
 
 
@@ -264,6 +330,29 @@ def test_words_and_instruments(spark):
     assert [r["keyword"] for r in with_words.collect()][:2] == ["Kick", "snare"]
 
 
+# entry
+
+
+@pytest.mark.parametrize("hidden", ["public_tokenizers", "resonara.llm", "corpus_pipeline"])
+def test_engine_registers_without_the_corpus_operators(hidden):
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+class Hide:
+    def find_spec(self, name, path=None, target=None):
+        if name == {hidden!r}:
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as entry
+print(len(entry.queries()), len(entry.oracle_sql()), "token_rewrite" in entry.queries(), any(k.startswith("op") and k[2].isdigit() for k in entry.queries()))
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == int(out[1]) > 60 and out[2:] == ["True", "False"]
+
+
 # streaming extension
 
 
@@ -280,3 +369,14 @@ def test_ingest_stores_representatives_once(spark, tmp_path):
         shutil.copy(f, tmp_path / "in" / f"later-{f.name}")
     ingest.ingest(stream(), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
     assert ingest.representatives(spark, str(tmp_path / "store")).count() == 10
+
+
+def test_every_ingested_vector_has_a_representative(spark):
+    # 1 matches 0, 2 matches 1 but not 0: 1 goes, so 2 has to stay.
+    angles = [0.0, 0.15, 0.3, 2.0]
+    rows = [(k, 0, [math.cos(a), math.sin(a), -math.cos(a), -math.sin(a)]) for k, a in enumerate(angles)]
+    batch = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    empty = spark.createDataFrame([], ingest.SCHEMA)
+    first = ingest.new_representatives(batch, empty, 0.98)
+    assert sorted(r["vec_id"] for r in first.collect()) == [0, 2, 3]
+    assert ingest.new_representatives(batch.filter("vec_id <> 1"), first, 0.98).count() == 0
