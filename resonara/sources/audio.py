@@ -20,8 +20,8 @@ from resonara.functions import waves
 SOUND = "struct<sample_rate:int,channels:int,bits_per_sample:int,samples:array<array<float>>>"
 
 
-#: Files of an Arrow batch that is read, and bytes of samples after which one is written: a task holds about so much.
-BATCH_FILES, BATCH_BYTES = 16, 64 << 20
+#: Bytes of samples after which an Arrow batch of sounds ends: a task holds a few times so much, or one sound.
+BATCH_BYTES = 64 << 20
 
 
 def decode_wave(content: bytes) -> dict:
@@ -93,11 +93,10 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """path, file_size, sound and error of sound files given as rows of path, length and content."""
-    spark = files.sparkSession
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(setting)) > BATCH_FILES:
-        spark.conf.set(setting, str(BATCH_FILES))
+    """path, file_size, sound and error of sound files given as rows of path, length and content.
+
+    Spark ends the batches that it sends by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB at first).
+    """
     return files.select("path", "length", "content").mapInArrow(_decoded, f"path string, file_size long, sound {SOUND}, error string")
 
 
