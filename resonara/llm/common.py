@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch.  Batches are counted in rows, and one text may be very long.
-BATCH_ROWS = 256
+#: Bytes after which an Arrow batch ends; it holds one row at least, and one text may be very long.
+BATCH_BYTES = 1 << 20
 #: Entries after which a worker's word table starts afresh.
 VOCABULARY_ROWS = 200_000
 
@@ -25,8 +25,15 @@ _U = np.uint64
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of an Arrow batch of texts for the session's next plans."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the bytes of the Arrow batches of the session's plans.
+
+    Spark reads the setting when a plan runs, so it can't be put back here.  It
+    only ever falls, and changes no plan's result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,20 +1,22 @@
-"""Benchmark decontamination over a positional inverted index.
+"""Benchmark decontamination over a stored positional inverted index.
 
 The index is partitioned by document, as search engines partition theirs: a
 shard holds whole documents of about SHARD_WORDS words, and for every term the
-sorted positions at which it stands.  A shard is one row, so the index can be
-written once and searched by many benchmarks; ``scan`` builds and searches
-shards in one pass.
+sorted positions at which it stands.  A shard is one row with a name of its
+own, so an index is written once and searched by many benchmarks; ``scan`` and
+``clean_rows`` write theirs to the shared checkpoint folder.
 
 Search takes each window of benchmark words from its rarest term in the shard:
 that term's positions, less its offset in the window, are where the window may
 start.  The list is cut down by the other terms' positions, rarest first, by
-binary search in their postings.  What is left are exact phrase matches;
-``slack`` lets each term stand a few words off and so gives proximity matches.
-
-Terms are 64-bit hashes of words.  Benchmark windows reach the tasks in blocks
-of at most BLOCK_WORDS words, one block a pass over the documents; with more
-than one block, hits meet by shard and document afterwards.  Nothing else is
+binary search in their postings.  What is left are exact phrase matches.  A
+proximity match is a document and a start at which every term of the window
+stands within ``slack`` words of its place; it depends on the document alone.
+
+Terms are 64-bit hashes of words.  Benchmark words reach the tasks in blocks
+of at most BLOCK_WORDS (an item is never split), one block a pass over the
+index; tasks make the windows.  With more than one block, what each found is
+written, and hits meet by shard and document afterwards.  Nothing else is
 shuffled, and a hot document, term or passage stays inside the shards that hold
 it.
 
@@ -26,20 +28,22 @@ are judged one by one; an empty benchmark or corpus is no error.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from resonara.llm.common import WordHashes, small_batches, utf8
+from resonara.llm.common import WordHashes, checkpointed, small_batches, utf8
 
 WINDOW = 10
 SHARD_WORDS = 500_000
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 2_000_000
 #: Words that a term may stand off in a proximity match.
 SLACK = 2
 
@@ -98,11 +102,13 @@ def windows_of(items: list[np.ndarray], width: int = WINDOW) -> list[Windows]:
 
 
 def matches(shard: Shard, windows: Windows, slack: int = 0, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of ``windows``, first position) of every occurrence in the shard.
+    """Row of ``windows`` and first position of every match in the shard.
 
-    With ``slack`` the terms may stand up to that many words off; the position
-    is where the rarest term puts the start.
+    Without slack these are exact phrases.  With it every term of the window
+    stands, in one document, at most ``slack`` words from its place; a start
+    that lies off the document is moved to its nearest word.
     """
+    width = windows.terms.shape[1]
     found = shard.find(windows.terms)
     rows = np.flatnonzero((found >= 0).all(1))
     if not len(rows):
@@ -110,7 +116,7 @@ def matches(shard: Shard, windows: Windows, slack: int = 0, block: int = 2_000_0
     numbers = found[rows]
     counts = shard.starts[numbers + 1] - shard.starts[numbers]
     order = np.argsort(counts, axis=1, kind="stable")
-    lengths = np.take_along_axis(counts, order[:, :1], 1)[:, 0]
+    lengths = np.take_along_axis(counts, order[:, :1], 1)[:, 0] * (2 * slack + 1)
     total = len(shard.positions)
     # One sorted key for all postings: number of the term, then position.
     keys = np.repeat(np.arange(len(shard.terms), dtype=np.int64), np.diff(shard.starts)) * total + shard.positions
@@ -126,55 +132,65 @@ def matches(shard: Shard, windows: Windows, slack: int = 0, block: int = 2_000_0
         who = np.repeat(r, size)
         inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         rare = order[who, 0]
-        at = shard.positions[shard.starts[numbers[who, rare]] + inside].astype(np.int64) - rare
-        stays = (at >= 0) & (at + windows.terms.shape[1] <= total)
-        who, at = who[stays], at[stays]
-        for k in range(1, windows.terms.shape[1]):
+        place = shard.positions[shard.starts[numbers[who, rare]] + inside // (2 * slack + 1)].astype(np.int64)
+        at = place - rare + inside % (2 * slack + 1) - slack
+        document = np.searchsorted(shard.documents, place, side="right") - 1
+        first, last = shard.documents[document], shard.documents[document + 1] - 1
+        if not slack:
+            stays = (at >= first) & (at + width - 1 <= last)
+            who, at, first, last = who[stays], at[stays], first[stays], last[stays]
+        for k in range(1, width):
             if not len(who):
                 break
             offset = order[who, k]
             term = numbers[who, offset]
-            low = term * total + np.maximum(at + offset - slack, 0)
-            where = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-            hit = (keys[where] >= low) & (keys[where] <= term * total + np.minimum(at + offset + slack, total - 1))
-            who, at = who[hit], at[hit]
-        document = np.searchsorted(shard.documents, at, side="right") - 1
-        whole = at + windows.terms.shape[1] <= shard.documents[document + 1]
-        out_rows.append(rows[who[whole]])
-        out_at.append(at[whole])
+            low, high = np.maximum(at + offset - slack, first), np.minimum(at + offset + slack, last)
+            where = np.minimum(np.searchsorted(keys, term * total + low), len(keys) - 1)
+            hit = (low <= high) & (keys[where] >= term * total + low) & (keys[where] <= term * total + high)
+            who, at, first, last = who[hit], at[hit], first[hit], last[hit]
+        out_rows.append(rows[who])
+        out_at.append(np.clip(at, first, last) if slack else at)
     return np.concatenate(out_rows), np.concatenate(out_at)
 
 
 @dataclass
 class Block:
-    """A bounded part of the benchmark."""
+    """A bounded part of the benchmark: ids of its items, and their hashed words one after the other."""
 
     ids: list
-    windows: list[Windows]
+    words: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(ids: list, items: list[np.ndarray]) -> Block:
+        return Block(ids, np.concatenate(items) if items else np.empty(0, np.uint64), np.cumsum([len(x) for x in items]).astype(np.int64))
+
+    def windows(self, width: int) -> list[Windows]:
+        return windows_of(np.split(self.words, self.ends[:-1]) if len(self.ends) else [], width)
 
 
-def blocks_of(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
+def blocks_of(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark by blocks of up to ``block_words`` words (an item is never split), a partition at a time."""
     hashes = WordHashes()
     ids, items, held = [], [], 0
     for row in benchmark.select(id_column, text).toLocalIterator():
         h = hashes.of(words_of((row[1] or "").encode()))
         if held and held + len(h) > block_words:
-            yield Block(ids, windows_of(items, width))
+            yield Block.of(ids, items)
             ids, items, held = [], [], 0
         ids.append(row[0])
         items.append(h)
         held += len(h)
-    yield Block(ids, windows_of(items, width))
+    yield Block.of(ids, items)
 
 
-def search(shard: Shard, block: Block, slack: int | None = None) -> tuple[list[tuple[list[int], list[int]]], list[list], list[list]]:
+def search(shard: Shard, block: Block, by_length: list[Windows], slack: int | None = None) -> tuple[list[tuple[list[int], list[int]]], list[list], list[list]]:
     """Of each document of the shard: hit runs (starts and ends), ids of items found exactly, ids found within ``slack``."""
     n = len(shard.documents) - 1
     total = len(shard.positions)
     change = np.zeros(total + 1, np.int64)
     exact, near = [set() for _ in range(n)], [set() for _ in range(n)]
-    for windows in block.windows:
+    for windows in by_length:
         for words_off, into in ((0, exact), (slack, near)):
             if words_off is None:
                 continue
@@ -224,50 +240,37 @@ def _shards(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, shard_w
         yield Shard.of(held), of
 
 
-INDEX_SCHEMA = "terms binary, starts binary, positions binary, documents binary"
+CELLS = {"terms": "<u8", "starts": "<i8", "positions": "<i4", "documents": "<i8"}
 
 
 def build_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The positional index, a row for each shard: the ids of its documents and little-endian arrays.  Write it to keep it."""
+    """The positional index, a row for each shard: its name, the ids of its documents and little-endian arrays.  Write it to keep it.
+
+    The name is that of the build, the task and the shard, so no two rows of an
+    index share one, equal documents or not.  An id may be a struct.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.select(id_column, text)
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    build = uuid.uuid4().hex
+    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("ids", T.ArrayType(docs.schema["id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in CELLS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, of in _shards(batches, 0, 1, shard_words):
+        task = TaskContext.get().partitionId()
+        for n, (shard, of) in enumerate(_shards(batches, 0, 1, shard_words)):
             ids = pa.concat_arrays([b.column(0).slice(a, z - a) for b, a, z in of])
-            cells = [pa.array([x.tobytes()], pa.binary()) for x in (shard.terms.astype("<u8"), shard.starts.astype("<i8"), shard.positions.astype("<i4"), shard.documents.astype("<i8"))]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *cells], ["ids", "terms", "starts", "positions", "documents"])
-
-    return docs.mapInArrow(run, f"ids array<{docs.schema[0].dataType.simpleString()}>, {INDEX_SCHEMA}")
-
-
-def _shard_of(row: dict) -> Shard:
-    kinds = {"terms": "<u8", "starts": "<i8", "positions": "<i4", "documents": "<i8"}
-    return Shard(**{k: np.frombuffer(row[k], v) for k, v in kinds.items()})
-
-
-def _found(ids: pa.Array, shard: Shard, number: int, block: Block, slack: int | None, id_column: str, item_type: pa.DataType) -> pa.RecordBatch:
-    runs, exact, near = search(shard, block, slack)
-    sizes = np.diff(shard.documents)
-    cells = [pa.array([f"{number}"] * len(sizes)), pa.array(range(len(sizes)), pa.int32()), pa.array(sizes, pa.int64()), pa.array([a for a, _ in runs], pa.list_(pa.int64())), pa.array([b for _, b in runs], pa.list_(pa.int64())), pa.array(exact, pa.list_(item_type)), pa.array(near, pa.list_(item_type))]
-    return pa.RecordBatch.from_arrays([ids, *cells], [id_column, "shard", "nth", "n_words", "run_starts", "run_ends", "items", "near_items"])
-
-
-def _arrow_type(benchmark: DataFrame, item_column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+            cells = [pa.array([getattr(shard, c).astype(kind).tobytes()], pa.binary()) for c, kind in CELLS.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{build}-{task}-{n}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *cells], ["shard", "ids", *CELLS])
 
-    return to_arrow_type(benchmark.schema[item_column].dataType)
+    return docs.mapInArrow(run, schema)
 
 
-def _merged(parts: list[DataFrame], id_column: str) -> DataFrame:
-    """Parts of several blocks, met by shard and document."""
-    if len(parts) == 1:
-        return parts[0].drop("shard", "nth")
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    """What several blocks found, met by shard and document; the first part has every document."""
     union = parts[0]
     for x in parts[1:]:
         union = union.unionByName(x)
     runs = F.flatten(F.collect_list(F.arrays_zip("run_starts", "run_ends")))
-    met = union.groupBy("shard", "nth").agg(F.first(id_column).alias(id_column), F.first("n_words").alias("n_words"), F.sort_array(runs).alias("runs"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near_items")])
+    met = union.groupBy("shard", "nth").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.sort_array(runs).alias("runs"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near_items")])
 
     def join(state, run):
         last = F.element_at(state, -1)
@@ -276,48 +279,56 @@ def _merged(parts: list[DataFrame], id_column: str) -> DataFrame:
         return F.when(apart, F.concat(state, F.array(run))).otherwise(F.concat(F.slice(state, 1, F.size(state) - 1), F.array(longer)))
 
     one = F.aggregate("runs", F.array().cast("array<struct<run_starts:bigint,run_ends:bigint>>"), join)
-    return met.withColumn("runs", one).select(id_column, "n_words", F.col("runs.run_starts").alias("run_starts"), F.col("runs.run_ends").alias("run_ends"), "items", "near_items")
-
+    return met.withColumn("runs", one).select("shard", "nth", "id", "n_words", F.col("runs.run_starts").alias("run_starts"), F.col("runs.run_ends").alias("run_ends"), "items", "near_items")
 
-def _result_schema(id_column: str, id_type: str, item_type: str) -> str:
-    return f"`{id_column}` {id_type}, shard string, nth int, n_words long, run_starts array<long>, run_ends array<long>, items array<{item_type}>, near_items array<{item_type}>"
 
+def _searched(index: DataFrame, block: Block, item_type: T.DataType, width: int, slack: int | None, all_documents: bool) -> DataFrame:
+    """What one block finds: a row for every document, or for those with a match."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def search_index(index: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", item_column: str = "item_id", item_text: str = "text", width: int = WINDOW, slack: int | None = SLACK, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """id, n_words, hit runs in words, ids of exact and of proximity matches, for every document of a stored index."""
-    item_type, arrow_type = benchmark.schema[item_column].dataType.simpleString(), _arrow_type(benchmark, item_column)
-    id_type = index.schema["ids"].dataType.elementType.simpleString()
+    id_type, arrow_item = index.schema["ids"].dataType.elementType, to_arrow_type(item_type)
+    longs = T.ArrayType(T.LongType())
+    kinds = {"shard": T.StringType(), "nth": T.IntegerType(), "id": id_type, "n_words": T.LongType(), "run_starts": longs, "run_ends": longs, "items": T.ArrayType(item_type), "near_items": T.ArrayType(item_type)}
+    sent = index.sparkSession.sparkContext.broadcast(block)
 
-    def searched(block: Block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    row = batch.slice(k, 1)
-                    cells = {n: row.column(n)[0].as_py() for n in ("terms", "starts", "positions", "documents")}
-                    digest = hashlib.sha256(b"".join(cells.values())).hexdigest() + repr(row.column("ids")[0].as_py()[:1])
-                    yield _found(row.column("ids").flatten(), _shard_of(cells), digest, block, slack, id_column, arrow_type)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, by_length = sent.value, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                by_length = own.windows(width) if by_length is None else by_length
+                shard = Shard(**{c: np.frombuffer(row.column(c)[0].as_buffer(), kind) for c, kind in CELLS.items()})
+                runs, exact, near = search(shard, own, by_length, slack)
+                sizes = np.diff(shard.documents)
+                cells = [row.column("shard").take(pa.array(np.zeros(len(sizes), np.int64))), pa.array(range(len(sizes)), pa.int32()), row.column("ids").flatten(), pa.array(sizes, pa.int64()), pa.array([a for a, _ in runs], pa.list_(pa.int64())), pa.array([b for _, b in runs], pa.list_(pa.int64())), pa.array(exact, pa.list_(arrow_item)), pa.array(near, pa.list_(arrow_item))]
+                made = pa.RecordBatch.from_arrays(cells, list(kinds))
+                yield made if all_documents else made.filter(pa.array([bool(r[0]) or bool(n) for r, n in zip(runs, near, strict=True)], pa.bool_()))
 
-        return index.mapInArrow(run, _result_schema(id_column, id_type, item_type))
+    return index.mapInArrow(run, T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]))
 
-    return _merged([searched(b) for b in blocks_of(benchmark, item_column, item_text, width, block_words)], id_column)
 
+def search_index(index: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", item_column: str = "item_id", item_text: str = "text", width: int = WINDOW, slack: int | None = SLACK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """id, n_words, hit runs in words, ids of exact and of proximity matches, for every document of an index.
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", width: int = WINDOW, slack: int | None = SLACK, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """What ``search_index`` gives, from documents, without storing the index between."""
-    small_batches(docs.sparkSession)
-    blocks = list(blocks_of(benchmark, item_column, item_text, width, block_words))
-    if len(blocks) > 1:
-        return search_index(build_index(docs, id_column, text, shard_words), benchmark, id_column, item_column, item_text, width, slack, block_words)
-    docs = docs.select(id_column, text)
-    block, arrow_type = blocks[0], _arrow_type(benchmark, item_column)
+    Several blocks need a stored index (read from files or a checkpoint).
+    """
+    small_batches(index.sparkSession)
+    kind = benchmark.schema[item_column].dataType
+    blocks = blocks_of(benchmark, item_column, item_text, block_words)
+    found, rest = _searched(index, next(blocks), kind, width, slack, True), next(blocks, None)
+    if rest is not None:
+        parts = [checkpointed(found)]
+        while rest is not None:
+            parts.append(checkpointed(_searched(index, rest, kind, width, slack, False)))
+            rest = next(blocks, None)
+        found = _merged(parts)
+    return found.select(F.col("id").alias(id_column), "n_words", "run_starts", "run_ends", "items", "near_items")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, (shard, of) in enumerate(_shards(batches, 0, 1, shard_words)):
-            ids = pa.concat_arrays([b.column(0).slice(a, z - a) for b, a, z in of])
-            yield _found(ids, shard, k, block, slack, id_column, arrow_type)
 
-    schema = _result_schema(id_column, docs.schema[0].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString())
-    return docs.mapInArrow(run, schema).drop("shard", "nth")
+def scan(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_column: str = "item_id", item_text: str = "text", width: int = WINDOW, slack: int | None = SLACK, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """What ``search_index`` gives, from documents; the index is stored in the shared folder."""
+    index = checkpointed(build_index(docs, id_column, text, shard_words))
+    return search_index(index, benchmark, id_column, item_column, item_text, width, slack, block_words)
 
 
 def digests(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -328,22 +339,7 @@ def digests(found: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_column: str = "item_id", item_text: str = "text", width: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns as they are; a pass for every block of the benchmark."""
-    small_batches(docs.sparkSession)
-    at = docs.columns.index(text)
-
-    def without(rows: DataFrame, block: Block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for shard, of in _shards(batches, 0, at, shard_words):
-                runs = search(shard, block)[0]
-                n = 0
-                for batch, a, z in of:
-                    clean = [not runs[n + k][0] for k in range(z - a)]
-                    n += z - a
-                    yield batch.slice(a, z - a).filter(pa.array(clean, pa.bool_()))
-
-        return rows.mapInArrow(run, docs.schema)
-
-    for block in blocks_of(benchmark, item_column, item_text, width, block_words):
-        docs = without(docs, block)
-    return docs
+    """The rows of ``docs`` without any hit, all columns as they are; their index has whole rows for ids."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    found = scan(rows, benchmark, "row", "text", item_column, item_text, width, None, shard_words, block_words)
+    return found.filter(F.size("run_starts") == 0).select("row.*")

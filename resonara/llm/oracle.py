@@ -33,4 +33,39 @@ WITH RECURSIVE w AS (
 )
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
 FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = s.doc_id""",
+    "op8_decontamination": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), items AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), windows AS (
+  SELECT row_number() OVER () AS w, item, item_id, n, ws[i:i + n - 1] AS terms, array_to_string(ws[i:i + n - 1], ' ') AS said
+  FROM (SELECT *, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)
+), places AS (
+  SELECT row, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM words, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n
+), exact AS (
+  SELECT p.row, p.i, p.n, w.item_id FROM (SELECT row, i, n, array_to_string(ws[i:i + n - 1], ' ') AS said FROM places) p JOIN windows w ON p.n = w.n AND p.said = w.said
+), hit AS (
+  SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(i, i + n)) AS at FROM exact) GROUP BY row
+), exact_items AS (
+  SELECT row, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT row, item_id FROM exact WHERE item_id IS NOT NULL) GROUP BY row
+), tokens AS (
+  SELECT row, unnest(ws) AS term, generate_subscripts(ws, 1) AS at FROM words
+), counts AS (
+  SELECT term, count(*) AS c FROM tokens GROUP BY term
+), terms AS (
+  SELECT w, item_id, n, unnest(terms) AS term, generate_subscripts(terms, 1) AS k FROM windows
+), rarest AS (
+  SELECT w, any_value(item_id) AS item_id, any_value(n) AS n, arg_min(term, coalesce(c, 0) * 100 + k) AS term, arg_min(k, coalesce(c, 0) * 100 + k) AS k FROM terms LEFT JOIN counts USING (term) GROUP BY w HAVING min(coalesce(c, 0)) > 0
+), starts AS (
+  SELECT DISTINCT r.w, r.item_id, r.n, t.row, t.at - r.k + d AS s FROM rarest r JOIN tokens t USING (term), range(-2, 3) o(d)
+), near AS (
+  SELECT s.row, s.w, any_value(s.item_id) AS item_id FROM starts s JOIN terms x ON x.w = s.w JOIN tokens t ON t.row = s.row AND t.term = x.term AND t.at BETWEEN s.s + x.k - 2 AND s.s + x.k + 2
+  GROUP BY s.row, s.w, s.s HAVING count(DISTINCT x.k) = any_value(s.n)
+), near_items AS (
+  SELECT row, count(*) AS n_near_items FROM (SELECT DISTINCT row, item_id FROM near WHERE item_id IS NOT NULL EXCEPT SELECT row, item_id FROM exact) GROUP BY row
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM words LEFT JOIN hit USING (row) LEFT JOIN exact_items USING (row) LEFT JOIN near_items USING (row)""",
 }

@@ -304,6 +304,42 @@ def test_index_can_be_stored_and_searched(spark, docs, tmp_path):
     assert sorted(map(str, decontamination.digests(stored).collect())) == sorted(map(str, decontamination.digests(decontamination.scan(docs, bench)).collect()))
 
 
+def test_equal_rows_stay_apart_with_several_blocks(spark, tmp_path):
+    text = " ".join(words(70, 2)[10:40])
+    rows = frame(spark, [(1, text)] * 4).repartition(4)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    decontamination.build_index(rows, shard_words=1).write.parquet(str(tmp_path / "index"))
+    for found in (decontamination.scan(rows, bench, block_words=10), decontamination.search_index(spark.read.parquet(str(tmp_path / "index")), bench, block_words=10)):
+        assert [(r["doc_id"], r["n_hit"]) for r in decontamination.digests(found).collect()] == [(1, 30)] * 4
+    assert decontamination.clean_rows(rows.unionByName(frame(spark, [(2, "no such words")] * 3)), bench, block_words=10).count() == 3
+
+
+def near(text, items, width=10, slack=2):
+    """Items of which some window has a start from which all its words stand within ``slack`` of their places."""
+    found, out = bench_words(text), set()
+    for key_, item in items:
+        own = bench_words(item)
+        n = min(width, len(own))
+        for a in range(len(own) - n + 1 if n else 0):
+            if any(all(w in found[max(0, s + k - slack) : max(0, s + k + slack + 1)] for k, w in enumerate(own[a : a + n])) for s in range(-slack, len(found) + slack)):
+                out.add(key_)
+    return out - {None}
+
+
+def test_proximity_equals_brute_force(spark):
+    r = random.Random(3)
+    items = [(k, " ".join(words(3 + k % 14, 50 + k, 30))) for k in range(12)]
+    rows = []
+    for k in range(60):
+        base = words(25, 200 + k, 30) + items[k % 12][1].split() + words(10, 300 + k, 30)
+        for _ in range(k % 5):
+            base.insert(r.randrange(len(base)), "q")
+        rows.append((k, " ".join(base)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: set(r["near_items"]) for r in decontamination.scan(frame(spark, rows), bench, shard_words=150).collect()}
+    assert got == {i: near(t, items) for i, t in rows}
+
+
 def test_proximity_matches_allow_words_between(spark):
     rows = [(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta x gamma delta epsilon zeta"), (3, "zeta q q q q q q alpha beta gamma")]
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id long, text string")
