@@ -4,14 +4,18 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from functools import cache
 
 LICENSE_LINE = "Licensed under the Apache License, Version 2.0."
 
 
+@cache
+def vocabulary(size):
+    return ["".join(random.Random(k).choices("abcdeghilmnorstu", k=2 + k % 7)) for k in range(size)]
+
+
 def words(n, seed, size=400):
-    r = random.Random(seed)
-    vocabulary = ["".join(random.Random(k).choices("abcdeghilmnorstu", k=2 + k % 7)) for k in range(size)]
-    return r.choices(vocabulary, k=n)
+    return random.Random(seed).choices(vocabulary(size), k=n)
 
 
 def awkward_rows():
