@@ -2,8 +2,9 @@
 
 Fixed patterns find assignments, access keys and hex strings.  Beside them, two
 character Markov models, one of random strings and one of ordinary
-identifiers, are trained from labelled samples; a token whose log-likelihood
-ratio says it is random is reported too.
+identifiers, are trained from labelled samples, with the short tokens of all
+documents among the ordinary ones; a token whose log-likelihood ratio says it
+is random is reported too.
 
 The scan is a projection: nothing is shuffled, and a row's result depends on
 its own text and the model.  Regular expressions other than the token search
@@ -26,8 +27,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resonara.llm.common import hash_sample
-
 # Kind, pattern, the group whose length counts, its least length, what a match must hold (in lower case).
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("passw", "secret", "token", "api")),
@@ -37,14 +36,16 @@ KINDS = (
 MODEL_KIND = "markov"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 LEAST_TOKEN = 20
+CORPUS_TOKEN = r"[A-Za-z0-9+/_=-]{4,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Natural-log likelihood ratio, a character, from which a token counts as random.
 THRESHOLD = 0.35
 CHUNK = 256
 
-#: Sizes of the labelled samples: documents whose tokens are ordinary (about as many), and random strings.
-SAMPLE_DOCS = 1000
+#: Labelled strings that are made: random ones, and three times as many ordinary ones.
 RANDOM_STRINGS = 6000
+#: What pair counts of a label are scaled to, so that smoothing weighs alike at every size, and the corpus's part of the ordinary ones.
+PAIR_MASS, CORPUS_PART = 1_000_000, 0.3
 
 # Ordinary words of identifiers.
 WORDS = (
@@ -68,36 +69,58 @@ WORDS = (
 )
 
 
-def samples(spark: SparkSession, docs: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Labelled samples (label, token): random strings, identifiers, and ordinary tokens of a bounded number of documents.
+def labelled_strings(spark: SparkSession, rows: int, first: int = 0) -> DataFrame:
+    """Made samples (label, kind, token): ``rows`` random strings and three times as many ordinary ones, by numbers from ``first`` on.
 
-    Random strings are digests written in four alphabets.  Identifiers are one
-    to three of WORDS joined in three styles.  The documents are about the
-    SAMPLE_DOCS lowest by hash of id and text, equal rows once, and their
-    tokens those that the fixed patterns don't match.
+    Random strings are digests in base 64, in its URL form, in letters and
+    digits, and in capitals and digits.  Ordinary ones are identifiers of WORDS
+    in four styles, UUIDs, dates, numbers, runs of one character, nucleotides,
+    paths with versions and lists of hex colours.  Other numbers give other strings: a held-out set.
+    """
+    n, digest = F.col("id"), F.sha2(F.col("id").cast("string"), 256)
+    plain = F.base64(F.unhex(digest))
+    bare = F.regexp_replace(plain, "[+/=]", "")
+    made = F.element_at(F.array(plain, F.rtrim(F.translate(plain, "+/", "-_"), F.lit("=")), bare, F.upper(bare)), (n % 4 + 1).cast("int"))
+    length = F.element_at(F.array(*[F.lit(x) for x in (44, 40, 32, 24)]), (F.floor(n / 4) % 4 + 1).cast("int"))
+    random = spark.range(first, first + rows).select(F.lit("random").alias("label"), (n % 4).cast("int").alias("kind"), F.substring(made, F.lit(1), length).alias("token"))
+
+    words, size = F.split(F.lit(WORDS), " "), len(WORDS.split())
+    some = lambda salt, below: F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(below)).cast("int")
+    hexes = F.sha2(F.concat(F.lit("ordinary "), n.cast("string")), 256)
+    several = F.slice(F.array(*[F.get(words, some(k, size)) for k in range(5)]), 1, some(5, 5) + 1)
+    cut = lambda at, length: F.substring(hexes, at, length)
+    number = F.when(some(6, 3) == 0, some(7, 1000).cast("string")).otherwise("")
+    date = lambda salt: F.concat_ws("-", 2000 + some(salt, 30), F.lpad((some(salt + 1, 12) + 1).cast("string"), 2, "0"), F.lpad((some(salt + 2, 28) + 1).cast("string"), 2, "0"))
+    kinds = [
+        F.concat(F.array_join(several, "_"), number),
+        F.concat(F.array_join(F.transform(several, F.initcap), ""), number),
+        F.concat(F.array_join(several, "-"), number),
+        F.concat(F.upper(F.array_join(several, "_")), F.lit("_"), number),
+        F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12)),
+        F.concat_ws("-", date(10), date(20), F.lpad(some(30, 10_000).cast("string"), 4, "0")),
+        F.when(some(8, 4) == 0, F.repeat(F.substring(F.lit(ALPHABET), some(34, len(ALPHABET)) + 1, F.lit(1)), some(9, 20) + 20)).otherwise(F.substring(F.translate(hexes, "abcdef", "012345"), F.lit(1), some(9, 20) + 20)),
+        F.substring(F.translate(hexes, "0123456789abcdef", "ACGTACGTACGTACGT"), F.lit(1), some(9, 40) + 20),
+        F.concat(F.array_join(several, "/"), F.lit("/v"), some(31, 20).cast("string"), F.lit("-"), some(32, 20).cast("string"), F.lit("-"), some(33, 100).cast("string")),
+        F.concat_ws("-", cut(1, 6), cut(7, 6), cut(13, 6), cut(19, 6)),
+    ]
+    kind = (n % len(kinds)).cast("int")
+    ordinary = spark.range(3 * first, 3 * (first + rows)).select(F.lit("ordinary").alias("label"), kind.alias("kind"), F.element_at(F.array(*kinds), kind + 1).alias("token"))
+    return random.union(ordinary)
+
+
+def samples(spark: SparkSession, docs: DataFrame | None = None, text: str = "text", rows: int = RANDOM_STRINGS) -> DataFrame:
+    """Samples with their numbers (label, token, n): made strings and, as label ``corpus``, the short tokens of all documents.
+
+    Tokens of LEAST_TOKEN characters or more, which the model is to judge, are
+    left out of the corpus's; the others, ordinary but for a few, are summed on
+    the map side.
     """
-    n = F.col("id")
-    digest = F.sha2(n.cast("string"), 256)
-    written = F.element_at(F.array(F.base64(F.unhex(digest)), digest, F.upper(digest), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")), (n % 4 + 1).cast("int"))
-    random = spark.range(RANDOM_STRINGS).select(F.lit("random").alias("label"), F.substring(written, 1, 40).alias("token"))
-    words = F.split(F.lit(WORDS), " ")
-    size = len(WORDS.split())
-
-    def word(salt: int) -> Column:
-        return F.get(words, F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(size)).cast("int"))
-
-    three = F.slice(F.array(word(1), word(2), word(3)), 1, (n % 3 + 1).cast("int"))
-    styled = F.element_at(F.array(F.array_join(three, "_"), F.array_join(F.transform(three, F.initcap), ""), F.array_join(three, "-")), (F.floor(n / 3) % 3 + 1).cast("int"))
-    ordinary = spark.range(3 * RANDOM_STRINGS).select(F.lit("ordinary").alias("label"), styled.alias("token"))
-    labelled = random.union(ordinary)
-    if docs is not None:
-        first = docs.select(id_column, text).filter(hash_sample(docs.count(), SAMPLE_DOCS, id_column, text)).distinct()
-        clean = F.coalesce(F.col(text), F.lit(""))
-        for _, found, _, _, _ in KINDS:
-            clean = F.regexp_replace(clean, found, " ")
-        tokens = first.select(F.explode(F.regexp_extract_all(clean, F.lit(r"[A-Za-z_-]{4,}"), 0)).alias("token"))
-        labelled = labelled.union(tokens.select(F.lit("ordinary"), "token"))
-    return labelled
+    labelled = labelled_strings(spark, rows).select("label", "token", F.lit(1).cast("long").alias("n"))
+    if docs is None:
+        return labelled
+    tokens = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CORPUS_TOKEN), 0)).alias("token"))
+    short = tokens.filter(F.length("token") < LEAST_TOKEN).groupBy("token").agg(F.count("*").alias("n"))
+    return labelled.union(short.select(F.lit("corpus"), "token", "n"))
 
 
 @dataclass(frozen=True)
@@ -114,22 +137,31 @@ class Model:
         return F.split(F.lit(",".join(f"{x:.6f}" for x in self.ratios)), ",").cast("array<double>")
 
 
-def train(labelled: DataFrame, smoothing: float = 0.5) -> Model:
-    """Both Markov models from labelled tokens; the driver gets their pair counts, at most 2 * 67 * 67 rows."""
+def train(labelled: DataFrame, smoothing: float = 0.5, corpus_part: float = CORPUS_PART) -> Model:
+    """Both Markov models from labelled tokens (label, token and, if there is one, their number n).
+
+    The driver gets pair counts, at most 3 * 67 * 67 rows.  The counts of a
+    label are scaled to PAIR_MASS; with a corpus, ordinary pairs are made and
+    corpus ones in the parts 1 - ``corpus_part`` and ``corpus_part``.
+    """
     codes = F.transform(F.split(F.col("token"), ""), F.ascii)
     pairs = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: 128 * a + b)
     legal = labelled.filter(F.col("token").rlike(r"^[A-Za-z0-9+/_=-]{2,}$"))
-    counted = legal.select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count().collect()
+    times = F.col("n") if "n" in labelled.columns else F.lit(1).cast("long")
+    counted = legal.select("label", times.alias("n"), F.explode(pairs).alias("pair")).groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     letters = [ord(x) for x in ALPHABET]
-    counts: dict[str, dict[int, int]] = {"random": {}, "ordinary": {}}
+    raw: dict[str, dict[int, int]] = {"random": {}, "ordinary": {}, "corpus": {}}
     for label, pair, n in counted:
-        if label in counts:
-            counts[label][pair] = n
+        if label in raw:
+            raw[label][pair] = n
+    shares = {label: {pair: n / sum(own.values()) for pair, n in own.items()} for label, own in raw.items()}
+    part = corpus_part if shares["corpus"] and shares["ordinary"] else 1.0 if shares["corpus"] else 0.0
+    both = {pair: (1 - part) * shares["ordinary"].get(pair, 0) + part * shares["corpus"].get(pair, 0) for pair in shares["ordinary"].keys() | shares["corpus"].keys()}
     ratios = [0.0] * (128 * 128)
     for a in letters:
         log = {}
-        for label, own in counts.items():
-            row = [own.get(128 * a + b, 0) + smoothing for b in letters]
+        for label, own in (("random", shares["random"]), ("ordinary", both)):
+            row = [PAIR_MASS * own.get(128 * a + b, 0) + smoothing for b in letters]
             total = sum(row)
             log[label] = [math.log(x / total) for x in row]
         for b, x, y in zip(letters, log["random"], log["ordinary"], strict=True):
@@ -217,13 +249,25 @@ def redacted(docs: DataFrame, model: Model, text: str = "text", mark: str = "[SE
     while into in columns:
         into += "_"
     spans = scan(docs, model, text, threshold, into)
-    empty = F.array().cast("array<string>")
+    found = F.col(into)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda c: F.slice(found, c * CHUNK + 1, F.lit(CHUNK)))
+    # Where each run's text begins and the last ends: the greatest end so far.
+    tops = F.aggregate(runs, F.array(F.lit(0)), lambda a, r: F.concat(a, F.array(F.greatest(F.element_at(a, -1), F.array_max(F.transform(r, lambda s: s["end"]))))))
+
+    def cleaned(run: Column, begin: Column, end: Column) -> Column:
+        none = F.array().cast("array<string>")
+
+        def within(own: Column) -> Column:
+            def step(state: Column, span: Column) -> Column:
+                piece = F.concat(F.substr(own, state["at"] - begin + 1, span["start"] - state["at"]), F.lit(mark))
+                return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.when(span["start"] >= state["at"], F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+
+            return F.aggregate(run, F.struct(begin.alias("at"), none.alias("out")), step, lambda s: F.array_join(s["out"], ""))
 
-    def step(state: Column, span: Column) -> Column:
-        later, longer = span["start"] >= state["at"], F.greatest(state["at"], span["end"])
-        piece = F.concat(F.substr(F.col(text), state["at"] + 1, span["start"] - state["at"]), F.lit(mark))
-        return F.struct(longer.alias("at"), F.when(later, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"))
+        # A single-element array binds the run's own text, so that spans are cut out of that.
+        return F.transform(F.array(F.substr(F.col(text), begin + 1, end - begin)), within)[0]
 
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col(text), s["at"] + 1, F.lit(2**31 - 1)))
-    clean = F.aggregate(into, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, rest)
+    bounds = F.zip_with(F.slice(tops, 1, F.size(tops) - 1), F.slice(tops, 2, F.size(tops) - 1), lambda a, b: F.struct(a.alias("begin"), b.alias("end")))
+    bodies = F.zip_with(runs, bounds, lambda r, x: cleaned(r, x["begin"], x["end"]))
+    clean = F.concat(F.array_join(bodies, ""), F.substr(F.col(text), F.element_at(tops, -1) + 1, F.lit(2**31 - 1)))
     return spans.withColumn(text, F.when(F.size(into) > 0, clean).otherwise(F.col(text))).select(*columns)

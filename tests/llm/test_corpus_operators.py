@@ -2,10 +2,13 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from corpus import LICENSE_LINE, awkward_rows, base_measures, bench_words, contamination, frame, near_components, secret_spans, sha, words
 
 from resonara.llm import byte_bpe, common, decontamination, license_scan, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
@@ -358,6 +361,56 @@ def test_decontamination_of_nothing(spark, docs, none):
 # secrets
 
 
+def plain_ratios(rows):
+    """Log-likelihood ratio by pair of characters, counted one by one; rows are (label, token, n)."""
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    share = {}
+    for label in ("random", "ordinary", "corpus"):
+        seen = {}
+        for own, token, n in rows:
+            for a, b in zip(token, token[1:], strict=False) if own == label else ():
+                seen[a + b] = seen.get(a + b, 0) + n
+        share[label] = {k: v / sum(seen.values()) for k, v in seen.items()}
+    part = 0.3 if share["corpus"] else 0
+    out = {}
+    for a in alphabet:
+        x = [1e6 * share["random"].get(a + b, 0) + 0.5 for b in alphabet]
+        y = [1e6 * ((1 - part) * share["ordinary"].get(a + b, 0) + part * share["corpus"].get(a + b, 0)) + 0.5 for b in alphabet]
+        out |= {a + b: math.log(p / sum(x)) - math.log(q / sum(y)) for b, p, q in zip(alphabet, x, y, strict=True)}
+    return out
+
+
+def test_markov_spans_equal_brute_force(spark, docs):
+    labelled = secret_scan.samples(spark, docs, rows=500)
+    ratios = plain_ratios([tuple(r) for r in labelled.collect()])
+    got = {(r[0], r[1]): {x for x in r[2].split(",") if x.startswith("markov")} for r in secret_scan.digests(secret_scan.scan(docs, secret_scan.train(labelled)).withColumn("doc_id", F.struct("doc_id", F.coalesce("text", F.lit(""))))).select("doc_id.*", "spans").collect()}
+    for i, t in awkward_rows():
+        expected = set()
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t or ""):
+            if sum(ratios[a + b] for a, b in zip(m[0], m[0][1:], strict=False)) > 0.35 * (len(m[0]) - 1):
+                expected.add(f"markov:{m.start()}:{m.end()}")
+        assert got[i, t or ""] == expected
+
+
+def test_held_out_strings_are_told_apart(spark):
+    model = secret_scan.train(secret_scan.samples(spark))
+    rows = [r for r in secret_scan.labelled_strings(spark, 2000, first=1_000_000).collect() if len(r["token"]) >= secret_scan.LEAST_TOKEN]
+    flagged = [(r["label"], model.score(r["token"]) > secret_scan.THRESHOLD) for r in rows]
+    right = flagged.count(("random", True))
+    assert right / max(1, sum(f for _, f in flagged)) > 0.995 and right / sum(x == "random" for x, _ in flagged) > 0.995
+    for token in ("123e4567-e89b-12d3-a456-426614174000", "2024-01-01-2024-12-31-0001", "0" * 24, "GATTACAGATTACAGATTACACC", "release-v1-2-3-build-20240131", "ff8800-00ff88-0088ff-ff0088"):
+        assert model.score(token) < secret_scan.THRESHOLD
+    assert model.score("3fJk9QpLx7Zt2Vb8Nm4Rw6Yc1") > secret_scan.THRESHOLD
+
+
+def test_many_secrets_are_redacted(spark):
+    pieces = [f"word{k} token=abcdefgh{k:05d} " for k in range(2000)]
+    text = "é" + "".join(pieces) + "end"
+    model = secret_scan.train(secret_scan.samples(spark, rows=200))
+    got = secret_scan.redacted(frame(spark, [(1, text)]), model).first()["text"]
+    assert got == "é" + "".join(f"word{k} [SECRET] " for k in range(2000)) + "end"
+
+
 def test_secret_spans_equal_python(spark, docs, none):
     model = secret_scan.train(secret_scan.samples(spark, docs))
     got = sorted(map(tuple, secret_scan.digests(secret_scan.scan(docs, model)).collect()), key=key)
