@@ -171,6 +171,8 @@ class LabelModel:
 #: What is assumed before any document is seen, worth PRIOR_VOTES votes of every rule.
 PRIOR = LabelModel(0.2, (0.05,) * len(RULES), (0.4,) * len(RULES))
 PRIOR_VOTES = 20.0
+#: Share of bad documents up to which the estimate may go.
+MOST_BAD = 0.95
 ROUNDS = 60
 
 
@@ -197,7 +199,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
         on_good = np.clip(rate(good, PRIOR.on_good), 1e-4, 0.45)
         on_bad = np.clip(np.maximum(rate(bad, PRIOR.on_bad), 2 * on_good), 1e-3, 0.99)
         share = (bad.sum() + PRIOR_VOTES * PRIOR.bad_share) / (counts.sum() + PRIOR_VOTES)
-        model = LabelModel(float(np.clip(share, 1e-3, 0.5)), tuple(on_good.tolist()), tuple(on_bad.tolist()))
+        model = LabelModel(float(np.clip(share, 1e-3, MOST_BAD)), tuple(on_good.tolist()), tuple(on_bad.tolist()))
     return model
 
 

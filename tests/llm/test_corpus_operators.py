@@ -59,6 +59,72 @@ def test_label_model_equals_row_by_row_em():
     assert [tuple(x) for x in quality_rules.unpacked(patterns[:50])] == rows[:50]
 
 
+def plain_votes(text):
+    """The rules' votes, from their descriptions, on characters and words of a string."""
+    found = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(found)
+    if not n:
+        return (0,) * 10
+    chars = sum(map(len, found))
+    n_words, _, symbols, dup, repeat = base_measures(text)
+    lines = [x for x in (y.strip(" \t\n\x0b\x0c\r") for y in text.split("\n")) if x]
+    upper, latin = len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))
+    function = sum(x.decode() in found for x in quality_rules._WORDS)
+    lettered = len([x for x in found if re.search(r"[A-Za-z\x80-\U0010ffff]", x)])
+    ended = sum(x.endswith(tuple(e.decode() for e in quality_rules._ENDS)) for x in lines)
+    distinct = len(set(found))
+    vote = lambda bad, good: 2 if bad else 1 if good else 0
+    return (
+        vote(symbols / n > 0.1, symbols / n <= 0.01),
+        vote(symbols >= n, symbols / n <= 0.1),
+        vote(chars / n < 3 or chars / n > 10, 3.5 <= chars / n <= 6.5),
+        vote(dup >= 2 and dup / len(lines) > 0.3, dup == 0 and len(lines) >= 3),
+        vote(repeat / n > 0.3, repeat / n < 0.05),
+        vote(latin >= 20 and upper / latin > 0.3, 10 * upper < latin),
+        vote(latin / chars >= 0.6 and n >= 20 and not function, function >= 3),
+        vote(100 * lettered < 80 * n, 100 * lettered >= 95 * n),
+        vote(len(lines) >= 3 and 10 * ended < len(lines), 10 * ended >= 7 * len(lines)),
+        vote(n >= 50 and 10 * distinct < n, n >= 50 and 4 * distinct >= n),
+    )
+
+
+def plain_em(votes, rounds=60):
+    """Share of bad rows and rates of bad votes, row by row."""
+    share, good, bad = 0.2, [0.05] * 10, [0.4] * 10
+    for _ in range(rounds):
+        weights = []
+        for v in votes:
+            a, b = 1 - share, share
+            for x, g, h in zip(v, good, bad, strict=True):
+                a *= 1 if x == 0 else g if x == 2 else 1 - g
+                b *= 1 if x == 0 else h if x == 2 else 1 - h
+            weights.append(b / (a + b))
+        rates = []
+        for own, prior in (([1 - w for w in weights], 0.05), (weights, 0.4)):
+            rates.append([(sum(w for w, v in zip(own, votes, strict=True) if v[k] == 2) + 20 * prior) / (sum(w for w, v in zip(own, votes, strict=True) if v[k]) + 20) for k in range(10)])
+        good = [min(max(x, 1e-4), 0.45) for x in rates[0]]
+        bad = [min(max(x, 2 * g, 1e-3), 0.99) for x, g in zip(rates[1], good, strict=True)]
+        share = min(max((sum(weights) + 4) / (len(votes) + 20), 1e-3), 0.95)
+    return share, good, bad
+
+
+def test_votes_and_label_model_equal_brute_force():
+    texts = [t for _, t in awkward_rows()]
+    got = [quality_rules.votes(quality_rules.measure((t or "").encode())) for t in texts]
+    names = {quality_rules.ABSTAIN: 0, quality_rules.GOOD: 1, quality_rules.BAD: 2}
+    assert [tuple(names[x] for x in v) for v in got] == [plain_votes(t) for t in texts]
+    model = quality_rules.estimate(np.array([quality_rules.pattern(v) for v in got]), np.ones(len(got)))
+    share, good, bad = plain_em([tuple(names[x] for x in v) for v in got])
+    assert np.allclose([model.bad_share, *model.on_good, *model.on_bad], [share, *good, *bad])
+
+
+def test_a_mostly_bad_corpus_is_judged_so():
+    r = random.Random(6)
+    rows = [tuple(0 if r.random() < 0.2 else 2 if r.random() < (0.7 if bad else 0.03) else 1 for _ in quality_rules.RULES) for bad in (r.random() < 0.8 for _ in range(4000))]
+    model = quality_rules.estimate(np.array([quality_rules.pattern(v) for v in rows]), np.ones(len(rows)))
+    assert abs(model.bad_share - 0.8) < 0.03
+
+
 def test_quality_of_nothing(none):
     model = quality_rules.fit(none)
     assert model == quality_rules.PRIOR
