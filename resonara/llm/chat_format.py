@@ -126,6 +126,22 @@ def events_of_rows(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.row_number().over(order).alias("seq"), F.lit("message").alias("kind"), "role", "text").withColumn("message", F.col("seq"))
 
 
+def streamed(rows: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log of a service that streams, in the order of turn, role, text.
+
+    A message begins with a draft, which is regenerated; its first third comes
+    as a delta, which an edit replaces by two thirds, and a delta brings the
+    rest.  So what the fold gives back depends on every kind of event.
+    """
+    whole = events_of_rows(rows).withColumn("text", F.coalesce("text", F.lit("")))
+    third = F.floor(F.length("text") / 3).cast("int")
+    part = lambda first, last: F.substr(F.col("text"), first + 1, last - first)
+    zero, end = F.lit(0), F.length("text")
+    made = [("message", F.col("role"), F.concat(F.lit("draft of "), F.reverse("text"))), ("regenerate", F.lit(None), F.lit(None)), ("delta", F.lit(None), part(zero, third)), ("edit", F.lit(None), part(zero, 2 * third)), ("delta", F.lit(None), part(2 * third, end))]
+    events = F.array(*[F.struct((F.col("seq") * len(made) + k).alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.cast("string").alias("text")) for k, (kind, role, text) in enumerate(made)])
+    return whole.select("conv_id", "message", F.explode(events).alias("e")).select("conv_id", "e.seq", "e.kind", "message", "e.role", "e.text")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from formatted conversations."""
     turns = F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))

@@ -25,7 +25,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat_format.digests(chat_format.format_conversations(chat_format.events_of_rows(rows.union(probe))))
+    return chat_format.digests(chat_format.format_conversations(chat_format.streamed(rows.union(probe))))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

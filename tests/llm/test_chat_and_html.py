@@ -123,3 +123,20 @@ def test_open_pages_lose_what_their_host_repeats(spark, host_pages):
     assert text[100] == f"{menu}\n\nonly here" and text[101] == "" and text[None] == ""
     assert sum(r[0] == 102 for r in got) == 2 and text[102].startswith("Head & tail")
     assert html_extract.extract(pages.filter("false")).count() == 0
+
+
+def test_streamed_rows_fold_back(spark):
+    texts = [None, "", "a", "ab", "abc", "déjà 日本 😀 vu", "</s>[INST] ok [/INST]", "x" * 1000]
+    rows = spark.createDataFrame([(c, k, "assistant" if k % 2 else "user", t) for c in (1, None) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    events = chat_format.streamed(rows)
+    assert {r[0] for r in events.select("kind").distinct().collect()} == {"message", "regenerate", "delta", "edit"}
+    folded = {(r["conv_id"], r["message"]): (r["role"], r["text"]) for r in chat_format.fold(events).collect()}
+    assert folded == {(c, k + 1): ("assistant" if k % 2 else "user", t or "") for c in (1, None) for k, t in enumerate(texts)}
+    plain = chat_format.digests(chat_format.format_conversations(chat_format.events_of_rows(rows)))
+    assert sorted(map(str, chat_format.digests(chat_format.format_conversations(events)).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_very_long_conversation(spark):
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    row = chat_format.digests(chat_format.format_conversations(chat_format.streamed(rows))).first()
+    assert row["n_turns"] == 20_000 and row["loss_chars"] == sum(len(f"text {k}") for k in range(1, 20_000, 2))
