@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resonara.llm.common import WordHashes, hash_sample, small_batches, utf8
+from resonara.llm.common import WordHashes, checkpointed, hash_sample, small_batches, utf8
 from resonara.llm.decontamination import words_of
 from resonara.llm.quality_rules import measure
 
@@ -140,7 +140,7 @@ def train(docs: DataFrame, grades: DataFrame, n_grades: int, id_column: str = "d
     small_batches(docs.sparkSession)
     legal = grades.select(F.col(id_column).alias("id"), F.col(grade).cast("int").alias("grade")).filter(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1))
     # At most 2 * sample_rows rows, whatever the labels' size: the bound of this broadcast.
-    one = legal.groupBy("id").agg(F.min("grade").alias("grade"))
+    one = checkpointed(legal.groupBy("id").agg(F.min("grade").alias("grade")))
     sample = one.filter(hash_sample(one.count(), sample_rows, "id")).limit(2 * sample_rows)
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
 
