@@ -216,6 +216,44 @@ def test_components_of_long_paths(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 130: 100}
 
 
+def plain_loss(rows, grades, weights, thresholds, ridge):
+    """Mean of -log P(grade) in the cumulative logit model, and the ridge."""
+    total = 0.0
+    for row, y in zip(rows, grades, strict=True):
+        score = sum(weights.get(int(b), 0.0) for b in row)
+        above = [1.0, *(1 / (1 + math.exp(t - score)) for t in thresholds), 0.0]
+        total -= math.log(max(above[y] - above[y + 1], 1e-12))
+    return total / len(rows) + ridge / 2 * sum(w * w for w in weights.values())
+
+
+def test_ordinal_fit_is_at_the_least_loss():
+    r = random.Random(11)
+    rows, grades = [], []
+    for _ in range(400):
+        y = r.choice([0, 1, 1, 2, 3])  # grades tie
+        row = [10 * y + r.randrange(4) if r.random() < 0.7 else 10 * r.randrange(4) + r.randrange(4) for _ in range(3)] + [99]
+        rows.append(np.sort(np.array([*row, *row[:1]], np.int32)))
+        grades.append(y)
+    ridge = 5e-3
+    model = quality_classifier.fit(rows, np.array(grades), 4, rounds=2000, ridge=ridge)
+    assert (np.diff(model.thresholds) > 0).all()
+    weights = {int(k): float(model.weights[k]) for k in np.flatnonzero(model.weights)}
+    assert len(weights) > 8
+    best = plain_loss(rows, grades, weights, model.thresholds, ridge)
+    for k in weights:
+        for d in (-0.05, 0.05):
+            assert best <= plain_loss(rows, grades, weights | {k: weights[k] + d}, model.thresholds, ridge) + 1e-5
+    for k in range(3):
+        for d in (-0.05, 0.05):
+            moved = model.thresholds.copy()
+            moved[k] += d
+            assert best <= plain_loss(rows, grades, weights, moved, ridge) + 1e-5
+    tails = model.tails(model.scores(rows[:20]))
+    for row, own in zip(rows, tails, strict=False):
+        score = sum(float(model.weights[b]) for b in row)
+        assert np.allclose(own, [1 / (1 + math.exp(t - score)) for t in model.thresholds])
+
+
 # license scan
 
 
@@ -245,6 +283,62 @@ def test_license_found_after_edits(spark):
     assert {(k, name) for k, name in enumerate(license_scan.TEMPLATES)} <= got
 
 
+def plain_licenses(text):
+    """Names by comparing every template with every run of a text, on sets of words."""
+    w = bench_words(text)
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    held = []
+    for name, t in license_scan.TEMPLATES.items():
+        own = bench_words(t)
+        own = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+        best = (0, 0, 0)
+        for a in range(len(grams)):
+            inside = [i for i in range(a, min(a + len(own), len(grams))) if grams[i] in own]
+            if inside and inside[0] == a:
+                seen = set()
+                for i in inside:  # the run ends where it has all that it will have
+                    if grams[i] not in seen:
+                        seen.add(grams[i])
+                        end = i
+                if len(seen) > best[0]:
+                    best = (len(seen), a, end)
+        n, first, last = best
+        run = f" {' '.join(w[first : last + 5])} "
+        phrases = [license_scan.TELLING.get(name, ()), (license_scan.VERSION[name],) if name in license_scan.VERSION else ()]
+        if 10 * n >= 8 * len(own) and all(any(f" {' '.join(bench_words(p))} " in run for p in some) for some in phrases if some):
+            held.append((-n, -n / len(own), name, first, last))
+    out = []
+    for _, _, name, first, last in sorted(held):
+        if all(len(set(range(first, last + 1)) & set(range(a, z + 1))) * 2 <= min(last - first, z - a) + 1 for _, a, z in out):
+            out.append((name, first, last))
+    return {x[0] for x in out}
+
+
+def test_the_right_license_is_named(spark):
+    t = license_scan.TEMPLATES
+    around = lambda x, k: " ".join(words(60, k)) + " " + x + " " + " ".join(words(40, k + 500))
+    cases = [(around(text, k), {name}) for k, (name, text) in enumerate(t.items())]
+    cases += [
+        (around(t["GPL-3.0-notice"].replace("This program", "Foo"), 70), {"GPL-3.0-notice"}),
+        (around(t["LGPL-2.1-notice"].replace("This library", "This file"), 71), {"LGPL-2.1-notice"}),
+        (around(t["GPL-3.0-notice"].replace("version 3", "version 4"), 72), set()),
+        (around(t["BSD-2-Clause-text"].replace("1. ", "").replace("2. ", ""), 73), {"BSD-2-Clause-text"}),
+        (around(t["MIT-text"], 74) + " " + around(t["Apache-2.0-notice"], 75), {"MIT-text", "Apache-2.0-notice"}),
+        (around(t["Apache-2.0"].replace("2.0", "1.1"), 76), set()),
+        (" ".join(words(500, 77)), set()),
+    ]
+    found = {k: set() for k in range(len(cases))}
+    for r in license_scan.scan(frame(spark, [(k, x) for k, (x, _) in enumerate(cases)])).collect():
+        found[r["doc_id"]].add(r["license"])
+    for k, (text, expected) in enumerate(cases):
+        assert found[k] == expected == plain_licenses(text), (k, found[k], expected, plain_licenses(text))
+
+
+def test_short_templates_are_refused(docs):
+    with pytest.raises(ValueError, match="short"):
+        license_scan.scan(docs, {"short": "only four words here"})
+
+
 # byte-level BPE
 
 
