@@ -406,6 +406,72 @@ def test_repeated_passages_are_found(spark, none):
     assert substring_dedup.repeats(none).count() == 0
 
 
+def plain_chunk_ends(b):
+    """Ends by the definition, byte by byte."""
+    table = substring_dedup._GEAR.tolist()
+    value = lambda e: sum(table[b[e - 1 - k]] << k for k in range(min(16, e))) & 0xFFFFFFFF
+    legal = lambda e: e == len(b) or (b[e] & 0xC0) != 0x80
+    ends, last, e = [], 0, 0
+    while last < len(b):
+        e = next((x for x in range(last + 12, min(last + 128, len(b) - 1) + 1) if legal(x) and value(x) < 2**32 // 16), None)
+        if e is None:
+            e = len(b) if len(b) - last <= 128 else min((x for x in range(last + 12, last + 129) if legal(x)), key=lambda x: (value(x), x))
+        ends.append(e)
+        last = e
+    return ends
+
+
+def plain_repeats(rows, least=80):
+    """(id, text, first id, start, length) of spans, by a dictionary of chunks."""
+    held = {(i, t) for i, t in rows if i is not None and t}
+    pieces = {x: [(a, z) for ends in [plain_chunk_ends(x[1].encode())] for a, z in zip([0, *ends], ends, strict=False)] for x in held}
+    first = {}
+    for (i, t), own in pieces.items():
+        for a, z in own:
+            c = t.encode()[a:z]
+            first[c] = min(i, first.get(c, i))
+    out = set()
+    for (i, t), own in pieces.items():
+        b, at = t.encode(), None
+        for a, z in [*own, (None, None)]:
+            source = None if a is None or first[b[a:z]] >= i else first[b[a:z]]
+            if source is not None and at is None:
+                at, begin = source, a
+            if source is None and at is not None:
+                end = len(b) if a is None else a
+                if len(b[begin:end].decode()) >= least:
+                    out.add((i, t, at, len(b[:begin].decode()), len(b[begin:end].decode())))
+                at = None
+    return out
+
+
+def test_repeats_equal_brute_force(spark):
+    p, x, q = (" ".join(words(60, k, 4000)) for k in (900, 901, 902))
+    rows = [r for r in awkward_rows() if r[0] != 12]
+    rows += [(40, f"{x} {p}"), (41, f"{x} {p}"), (41, f"{q} {x}"), (41, f"{q} {x}"), (42, "é" * 300 + p), (43, f"{p} {p}"), (44, "ab " * 200), (45, "other text before " + "ab " * 200), (None, f"{x} {p}")]
+    texts = {}
+    for r in frame(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).collect():
+        texts[r["h"]] = r["text"]
+    got = [(r["doc_id"], texts[r["text_hash"]], r["first_id"], r["start"], r["n_chars"]) for r in substring_dedup.repeats(frame(spark, rows, CLASH)).collect()]
+    expected = plain_repeats(rows)
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert any(i == 45 for i, *_ in got)
+    cut = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.without_repeats(frame(spark, rows, CLASH)).collect()), key=key)
+    left = []
+    for i, t in rows:
+        for _, _, _, a, n in sorted((e for e in expected if e[:2] == (i, t)), key=lambda e: -e[3]):
+            t = t[:a] + t[a + n :]
+        left.append((i, t))
+    assert cut == sorted(left, key=key)
+
+
+def test_periodic_passages_are_found(spark):
+    for word in ("same ", "a", "abcdefghijk ", "日本 "):
+        rows = [(1, " ".join(words(40, 1)) + " " + word * 60 + " ".join(words(30, 2))), (2, " ".join(words(33, 3)) + "x" + word * 60 + " ".join(words(10, 4)))]
+        found = substring_dedup.repeats(frame(spark, rows), least_chars=40).collect()
+        assert [r["doc_id"] for r in found] == ([2] if len(word) > 1 else []), word
+
+
 def test_chunks_cover_texts_and_resist_shifts(docs):
     for _, t in awkward_rows():
         b = (t or "").encode()
