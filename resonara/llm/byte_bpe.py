@@ -5,13 +5,13 @@ printable characters, the merges are read back from the ranks, and the library
 encodes batches of texts; a token that is itself a whole piece is taken without
 merging, as rank-file encoders do.
 
-Texts are cut into segments, each a run of blanks, tabs or newlines and the run
-that follows it.  The pre-tokenising patterns this module accepts never match
-across such a cut (a match holds white space at its start or is all white
-space), so segments can be encoded apart.  Their ids are remembered, up to
-CACHE_ROWS segments a worker.  Work on a text goes forward by pieces of
+With a pre-tokenising pattern of SEGMENTED, texts are cut into segments, each a
+run of blanks, tabs or newlines and the run that follows it.  These patterns
+never match across such a cut (a match holds white space at its start or is all
+white space), so segments can be encoded apart.  Their ids are remembered, up
+to CACHE_ROWS segments a worker.  Work on a text goes forward by pieces of
 PIECE_BYTES, so memory doesn't follow the length of the longest text but for
-its ids.
+its ids.  With any other pattern a text is one segment.
 
 Defined results: a null text is an empty one and gives no ids; a null or empty
 list of ids decodes to empty text; repeated rows and clashing column names are
@@ -39,6 +39,9 @@ CACHE_ROWS = 500_000
 CACHE_BYTES = 64
 PIECE_BYTES = 1 << 20
 
+# Fixed value: the pattern whose matches never cross a segment's end.
+SEGMENTED = frozenset([r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"])
+
 _SEGMENT = re.compile(rb"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 _AFTER_PRINT = re.compile(rb"(?<=[!-~])(?=[ \n\t])")
 #: White space besides blank, tab and newline, in UTF-8.  After it a cut isn't safe.
@@ -90,9 +93,13 @@ class Codec:
         for i, t in self.tokens.items():
             self.lengths[i] = len(t)
         self._known: dict[bytes, bytes] = {}
+        self._segmented = pattern in SEGMENTED
 
     def _pieces(self, text: bytes) -> Iterator[list[bytes]]:
         """Lists of segments, each list of about PIECE_BYTES."""
+        if not self._segmented:
+            yield [text] if text else []
+            return
         strict = bool(_OTHER_SPACE.search(text))
         at = 0
         while at < len(text):

@@ -366,6 +366,18 @@ def test_bpe_equals_tiktoken(docs, none, ranks):
     assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_all([t.encode() for t in texts])] == [other.encode_ordinary(t) for t in texts]
 
 
+def test_bpe_with_a_pattern_that_crosses_white_space(ranks):
+    tiktoken = pytest.importorskip("tiktoken")
+    pattern = r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks[0], "rb"))}
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    r = random.Random(9)
+    parts = ["a", "the", " ", "  ", "\n", "\r\n", "!", "...", "12345", "é", "日本", "\t"]
+    texts = ["", *("".join(r.choices(parts, k=r.randrange(40))) for _ in range(1500))]
+    got = byte_bpe.Codec(ranks[0], pattern).encode_all([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [other.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_offsets_and_split_characters(docs, ranks):
     rows = byte_bpe.encode(docs, *ranks)
     texts = byte_bpe.decode(rows, *ranks).collect()
