@@ -58,6 +58,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column has it in any case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hash_sample(rows: int, wanted: int, *columns: str) -> Column:
     """A condition that holds for about ``wanted`` of ``rows`` rows, all if there are no more: those with the lowest hash of ``columns``."""
     if rows <= wanted:

@@ -23,7 +23,7 @@ Steps, each over all documents:
 
 Pairs are dropped before verification only if their sizes rule a link out or
 their one-bit sketches differ in more than SKETCH_BITS of 64 places (a link
-does with probability below 1e-6).  What is left is verified on full sets made
+does with probability below 1e-6; ``sketch_bits=None`` drops none so).  What is left is verified on full sets made
 from the texts.  Keys, links and components stay distributed: hot keys have
 map-side sums, joins on them are split by adaptive execution, and no step emits
 all pairs of a group.  Lineage is cut with checkpoints in the shared folder.
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resonara.llm.common import WordHashes, checkpointed, mixed, shingle_set, small_batches, utf8
+from resonara.llm.common import WordHashes, checkpointed, free_name, mixed, shingle_set, small_batches, utf8
 
 WIDTH = 5
 THRESHOLD = (85, 100)
@@ -145,11 +145,12 @@ def buckets(members: DataFrame) -> DataFrame:
     return found.filter("leader < high").groupBy("size", "leader", "x1", "x2").agg(F.min("key").alias("key")).select("key", "leader", "size")
 
 
-def _alike(a: str, b: str, threshold: tuple[int, int], common: Column | None = None) -> Column:
+def _alike(a: str, b: str, threshold: tuple[int, int], sketch_bits: int | None, common: Column | None = None) -> Column:
     """What sizes and sketches of two nodes allow to be a link; ``common`` is what they can share at most."""
     part, whole = threshold
     common = F.least(f"{a}.n", f"{b}.n") if common is None else common
-    return (F.lit(whole) * common >= F.lit(part) * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)) & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= SKETCH_BITS)
+    sizes = F.lit(whole) * common >= F.lit(part) * (F.col(f"{a}.n") + F.col(f"{b}.n") - common)
+    return sizes if sketch_bits is None else sizes & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= sketch_bits)
 
 
 def _texts(docs: DataFrame, needed: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
@@ -265,7 +266,7 @@ def _prefix_buckets(dense: DataFrame, docs: DataFrame, nodes: DataFrame, id_colu
     return ranked.select("key", "node", (F.col("n") - F.col("rank")).alias("after"), F.row_number().over(by_rank).alias("nth"), earlier.alias("earlier"))
 
 
-def _first_shared(threshold: tuple[int, int]) -> Column:
+def _first_shared(threshold: tuple[int, int], sketch_bits: int | None) -> Column:
     """Whether a pair of a prefix bucket is alike where the key is the first that both have.
 
     Before the key the two share nothing then, so they share at most it and
@@ -274,18 +275,19 @@ def _first_shared(threshold: tuple[int, int]) -> Column:
     """
     known = (F.col("a.nth") <= EARLIER + 1) & (F.col("b.nth") <= EARLIER + 1)
     most = F.when(known, 1 + F.least("a.after", "b.after")).otherwise(F.least("a.n", "b.n"))
-    return _alike("a", "b", threshold, most) & ~(known & F.arrays_overlap("a.earlier", "b.earlier"))
+    return _alike("a", "b", threshold, sketch_bits, most) & ~(known & F.arrays_overlap("a.earlier", "b.earlier"))
 
 
-def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def cluster(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int | None = SKETCH_BITS) -> DataFrame:
     """id, n_shingles, component_id (the lowest id that links reach) and kept (whether that is the row's own) of every row.
 
     Sets link if ``threshold[1] * |intersection| >= threshold[0] * |union|``.
+    Without ``sketch_bits`` no pair is dropped by its sketches.
     """
-    return _clustered(docs, id_column, text, width, threshold).drop("text_hash").withColumnRenamed("id", id_column)
+    return _clustered(docs, id_column, text, width, threshold, sketch_bits).drop("text_hash").withColumnRenamed("id", id_column)
 
 
-def _clustered(docs: DataFrame, id_column: str, text: str, width: int, threshold: tuple[int, int]) -> DataFrame:
+def _clustered(docs: DataFrame, id_column: str, text: str, width: int, threshold: tuple[int, int], sketch_bits: int | None) -> DataFrame:
     """The result of ``cluster``, its id as ``id``, with ``text_hash``."""
     signed = checkpointed(signatures(docs, id_column, text, width))
     nodes = numbered_nodes(signed)
@@ -295,18 +297,18 @@ def _clustered(docs: DataFrame, id_column: str, text: str, width: int, threshold
 
     stars = found.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     x, y = facts.withColumnRenamed("node", "a").alias("x"), facts.withColumnRenamed("node", "b").alias("y")
-    stars = stars.join(x, "a").join(y, "b").filter(_alike("x", "y", threshold)).select("a", "b")
+    stars = stars.join(x, "a").join(y, "b").filter(_alike("x", "y", threshold, sketch_bits)).select("a", "b")
     of = components(verified(stars, docs, nodes, id_column, text, width, threshold))
     of = checkpointed(of)
 
     rest = found.filter("size > 2 and node <> leader").select("key", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = checkpointed(rest.join(facts, "node"))
-    pairs, many = _crossing(rest, FEW, _alike("a", "b", threshold))
+    pairs, many = _crossing(rest, FEW, _alike("a", "b", threshold, sketch_bits))
     dense = checkpointed(rest.join(many.select("key"), "key", "left_semi").select("node").distinct())
     if not dense.isEmpty():
         by_prefix = _prefix_buckets(dense, docs, nodes, id_column, text, width, threshold)
         spread = checkpointed(by_prefix.join(rest.select("node", "component", "n", "bits").distinct(), "node"))
-        pairs = pairs.union(_crossing(spread, None, _first_shared(threshold))[0])
+        pairs = pairs.union(_crossing(spread, None, _first_shared(threshold, sketch_bits))[0])
     more = verified(pairs.distinct(), docs, nodes, id_column, text, width, threshold)
     final = of
     if not more.isEmpty():
@@ -323,18 +325,16 @@ def _clustered(docs: DataFrame, id_column: str, text: str, width: int, threshold
     return own.select("id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def kept_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def kept_rows(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int | None = SKETCH_BITS) -> DataFrame:
     """One row of ``docs`` for each component, all columns as they are; rows equal in id and text count once."""
-    kept = _clustered(docs, id_column, text, width, threshold).filter("kept").groupBy(F.col("id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).agg(F.count("*").alias("times"))
+    kept_id, kept_hash, nth = (free_name(x, docs.columns) for x in ("kept_id", "kept_hash", "nth"))
+    kept = _clustered(docs, id_column, text, width, threshold, sketch_bits).filter("kept").groupBy(F.col("id").alias(kept_id), F.col("text_hash").alias(kept_hash)).agg(F.count("*").alias("times"))
     kept = checkpointed(kept)
-    own = F.col(id_column).eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_hash"))
-    chosen = docs.join(kept.filter("times = 1"), own, "left_semi")
-    twice = kept.filter("times > 1")
+    own = F.col(id_column).eqNullSafe(F.col(kept_id)) & (F.xxhash64(text) == F.col(kept_hash))
+    chosen = docs.join(kept.filter("times = 1").drop("times"), own, "left_semi")
+    twice = kept.filter("times > 1").drop("times")
     if twice.isEmpty():
         return chosen
     order = Window.partitionBy(id_column, text).orderBy(F.lit(0))
-    nth = "nth"
-    while nth in docs.columns:
-        nth += "_"
     several = docs.join(twice, own, "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
     return chosen.unionByName(several)

@@ -27,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resonara.llm.common import free_name
+
 # Kind, pattern, the group whose length counts, its least length, what a match must hold (in lower case).
 KINDS = (
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("passw", "secret", "token", "api")),
@@ -245,9 +247,7 @@ def digests(scanned: DataFrame, id_column: str = "doc_id") -> DataFrame:
 def redacted(docs: DataFrame, model: Model, text: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with each run of overlapping spans replaced by ``mark``; other columns and texts without spans stay as they are."""
     columns = docs.columns
-    into = "secret_spans"
-    while into in columns:
-        into += "_"
+    into = free_name("secret_spans", columns)
     spans = scan(docs, model, text, threshold, into)
     found = F.col(into)
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda c: F.slice(found, c * CHUNK + 1, F.lit(CHUNK)))

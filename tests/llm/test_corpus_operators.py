@@ -173,6 +173,11 @@ def test_components_equal_all_pairs(docs):
     assert found == expected
 
 
+def test_components_without_sketches(docs):
+    plain = sorted(map(str, near_dedup.cluster(docs, sketch_bits=None).collect()))
+    assert plain == sorted(map(str, near_dedup.cluster(docs).collect()))
+
+
 def test_kept_rows_hold_one_of_each_group(docs):
     kept = near_dedup.kept_rows(docs)
     assert kept.schema == docs.schema

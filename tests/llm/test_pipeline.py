@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from corpus import awkward_rows, contamination, near_components, secret_spans, words
 
 from resonara.llm import byte_bpe, quality_rules, registry, secret_scan
@@ -74,6 +75,25 @@ def test_stages_keep_the_columns_of_documents(spark, tables):
     assert corpus_pipeline.STAGES[-1][1](spark, empty, where).count() == 0
 
 
+def test_stages_take_clashing_columns(spark, tables):
+    where, rows = tables
+    names = ["kept", "ids", "node", "key", "n", "id", "shard", "nth", "row", "secret_spans", "n_words", "component", "kept_id", "runs", "quality"]
+    docs = spark.read.parquet(f"{where}/documents.parquet").withColumns({c: F.lit("extra") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, where)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+    assert docs.filter(" and ".join(f"`{c}` = 'extra'" for c in names)).count() == docs.count() > 20
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, where).count() == docs.count()
+
+
+def test_only_the_last_stage_stays(spark, tables):
+    import glob
+
+    where, _ = tables
+    folder = corpus_pipeline.run(spark, where).inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+    assert [x.rsplit("/", 1)[1] for x in glob.glob(f"{folder}/*")] == ["4_byte_bpe"]
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_run_and_cover_their_tables(spark, tables, name):
     pytest.importorskip("public_tokenizers")
