@@ -3,7 +3,9 @@
 Each stage gets all documents that its predecessor kept and returns the columns
 of ``documents``, but for the last, which returns tokens.  ``run`` writes what a
 stage returns as Parquet below the shared checkpoint folder and reads it again,
-so a lost executor never reaches back beyond the stage it runs.
+so a lost executor never reaches back beyond the stage it runs.  Only the last
+stage's files stay.  Checkpoints inside stages go when their tables do, if the
+cluster sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
 """
 
 from __future__ import annotations
@@ -58,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if k:  # nothing reads the stage before any more
+            common.removed(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
