@@ -171,7 +171,7 @@ spread AS (SELECT *, sxx - sx * sx / n AS vx, syy - sy * sy / len(y) AS vy FROM
 
 #: The production grid as the sweep holds it, in single precision.
 GRID = "SELECT ((100 - n) / 100.0::DOUBLE)::FLOAT::DOUBLE AS t FROM range(101) g(n)"
-LOADED = "loaded AS (SELECT vec_id, embedding, 'v' || vec_id || '.wav' AS path, CASE WHEN vec_id % 9 = 0 THEN 'not a RIFF/WAVE file' WHEN vec_id % 11 = 0 THEN 'no samples' ELSE '' END AS error FROM embeddings)"
+LOADED = "loaded AS (SELECT vec_id, embedding, 'v' || vec_id || '.wav' AS path, CASE WHEN vec_id % 9 = 0 THEN 'not a RIFF/WAVE or AIFF file' WHEN vec_id % 11 = 0 THEN 'no samples' ELSE '' END AS error FROM embeddings)"
 
 SQL: dict[str, str] = {
     "id_encode_36": f"SELECT p_partkey, {enc('p_partkey % 1296', 36)} AS id36, CASE WHEN p_partkey <= 1295 THEN {enc('p_partkey', 36)} END AS in_range FROM part",

@@ -1,8 +1,10 @@
-"""Sounds from RIFF/WAVE files and from arrays.
+"""Sounds from RIFF/WAVE and AIFF files, and from arrays.
 
-Decoding is the one step that Spark has no expression for: an Arrow UDF reads
-PCM of 8, 16, 24 or 32 bits and 32- or 64-bit floats.  Loading never aborts: a file that
-can't be decoded has a null sound and an error.
+Decoding is the one step that Spark has no expression for: an Arrow function
+reads WAVE (PCM of 8, 16, 24 or 32 bits, floats of 32 or 64 bits, A-law and
+mu-law) and AIFF or AIFF-C (PCM of both byte orders, floats, A-law and mu-law).
+Loading never aborts: a file that can't be decoded has a null sound and an
+error.
 """
 
 from __future__ import annotations
@@ -24,40 +26,86 @@ SOUND = "struct<sample_rate:int,channels:int,bits_per_sample:int,samples:array<a
 BATCH_BYTES = 64 << 20
 
 
-def decode_wave(content: bytes) -> dict:
-    """sample_rate, channels, bits_per_sample and samples of a WAVE file; ValueError if it is none or has no samples."""
-    if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        raise ValueError("not a RIFF/WAVE file")
-    at, kind, data = 12, None, None
+def _law(code: np.ndarray, mu: bool) -> np.ndarray:
+    """Samples of companded bytes: a sign, three bits of exponent and four of mantissa."""
+    bits = (~code if mu else code ^ 0x55).astype(np.int32) & 0xFF
+    exponent, mantissa = bits >> 4 & 7, bits & 15
+    if mu:
+        level = ((mantissa << 3) + 0x84 << exponent) - 0x84
+        negative = bits & 0x80 != 0
+    else:
+        level = np.where(exponent == 0, (mantissa << 4) + 8, (mantissa << 4) + 0x108 << np.maximum(exponent - 1, 0))
+        negative = bits & 0x80 == 0
+    return (np.where(negative, -level, level) / 32768).astype(np.float32)
+
+
+def samples_of(data: bytes, kind: str, bits: int, order: str = "<") -> np.ndarray:
+    """Samples from -1 to 1 of ``kind`` 'pcm', 'unsigned', 'float', 'alaw' or 'ulaw'; whole samples only."""
+    if kind in ("alaw", "ulaw"):
+        return _law(np.frombuffer(data, np.uint8), kind == "ulaw")
+    if kind == "float" and bits in (32, 64):
+        return np.frombuffer(data, f"{order}f{bits // 8}").astype(np.float32)
+    if kind == "unsigned" and bits == 8:
+        return (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
+    if kind == "pcm" and bits == 24:
+        parts = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)[:, :: 1 if order == "<" else -1]
+        whole = parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
+        return ((whole ^ 0x800000) - 0x800000).astype(np.float32) / (1 << 23)
+    if kind == "pcm" and bits in (8, 16, 32):
+        return (np.frombuffer(data, f"{order}i{bits // 8}") / float(1 << (bits - 1))).astype(np.float32)
+    raise ValueError(f"{kind} with {bits} bits isn't supported")
+
+
+def _chunks(content: bytes, order: str) -> dict[bytes, bytes]:
+    """Chunks of a RIFF or IFF file by name; a short last one counts as far as it goes, and of equal names the last."""
+    at, found = 12, {}
     while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
-        body = content[at + 8 : at + 8 + size]  # a short last chunk counts as far as it goes
-        if name == b"fmt " and len(body) >= 16:
-            kind = struct.unpack_from("<HHIIHH", body)
-            if kind[0] == 0xFFFE and len(body) >= 26:
-                kind = (struct.unpack_from("<H", body, 24)[0], *kind[1:])
-        elif name == b"data":
-            data = body
+        size = struct.unpack_from(f"{order}I", content, at + 4)[0]
+        found[content[at : at + 4]] = content[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    if kind is None or data is None:
-        raise ValueError("no format or no data")
-    code, channels, rate, _, _, bits = kind
-    width = bits // 8
+    return found
+
+
+def _extended(ten: bytes) -> int:
+    """A rate from its 80-bit float."""
+    exponent, mantissa = struct.unpack(">HQ", ten)
+    return int(mantissa * 2.0 ** ((exponent & 0x7FFF) - 16383 - 63))
+
+
+# Format codes of WAVE and compression types of AIFF-C.
+WAVE_KINDS = {1: "pcm", 3: "float", 6: "alaw", 7: "ulaw"}
+AIFF_KINDS = {b"NONE": ("pcm", ">"), b"twos": ("pcm", ">"), b"sowt": ("pcm", "<"), b"fl32": ("float", ">"), b"FL32": ("float", ">"), b"fl64": ("float", ">"), b"FL64": ("float", ">"), b"alaw": ("alaw", ">"), b"ALAW": ("alaw", ">"), b"ulaw": ("ulaw", ">"), b"ULAW": ("ulaw", ">")}
+
+
+def decode_sound(content: bytes) -> dict:
+    """sample_rate, channels, bits_per_sample and samples of a WAVE or AIFF file; ValueError if it is none or has no samples."""
+    if content[:4] == b"RIFF" and content[8:12] == b"WAVE":
+        parts = _chunks(content, "<")
+        kind, data = parts.get(b"fmt ", b""), parts.get(b"data")
+        if len(kind) < 16 or data is None:
+            raise ValueError("no format or no data")
+        code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", kind)
+        if code == 0xFFFE and len(kind) >= 26:
+            code = struct.unpack_from("<H", kind, 24)[0]
+        name, order = WAVE_KINDS.get(code, f"format {code}"), "<"
+        name = "unsigned" if name == "pcm" and bits == 8 else name
+    elif content[:4] == b"FORM" and content[8:12] in (b"AIFF", b"AIFC"):
+        parts = _chunks(content, ">")
+        kind, data = parts.get(b"COMM", b""), parts.get(b"SSND")
+        if len(kind) < 18 or data is None:
+            raise ValueError("no format or no data")
+        channels, _, bits = struct.unpack_from(">HIH", kind)
+        rate, packed = _extended(kind[8:18]), kind[18:22] if content[8:12] == b"AIFC" else b"NONE"
+        name, order = AIFF_KINDS.get(packed, (f"compression {packed!r}", ">"))
+        bits = {b"fl32": 32, b"FL32": 32, b"fl64": 64, b"FL64": 64}.get(packed, 8 * -(-bits // 8))
+        data = data[8 + struct.unpack_from(">I", data)[0] :] if len(data) >= 8 else b""
+    else:
+        raise ValueError("not a RIFF/WAVE or AIFF file")
+    width = 1 if name in ("alaw", "ulaw") else bits // 8
     data = data[: len(data) // (width * channels) * width * channels] if width and channels else b""
     if not data:
         raise ValueError("no samples")
-    if code == 3 and bits in (32, 64):
-        flat = np.frombuffer(data, f"<f{width}").astype(np.float32)
-    elif code == 1 and bits == 8:
-        flat = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-    elif code == 1 and bits == 24:
-        parts = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        whole = parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16
-        flat = ((whole ^ 0x800000) - 0x800000).astype(np.float32) / (1 << 23)
-    elif code == 1 and bits in (16, 32):
-        flat = (np.frombuffer(data, f"<i{width}") / float(1 << (bits - 1))).astype(np.float32)
-    else:
-        raise ValueError(f"format {code} with {bits} bits isn't supported")
+    flat = samples_of(data, name, bits, order)
     return {"sample_rate": rate, "channels": channels, "bits_per_sample": bits, "samples": list(flat.reshape(-1, channels).T)}
 
 
@@ -80,7 +128,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             content = batch.column(2)[k].as_py()
             try:
-                sounds.append(decode_wave(content or b""))
+                sounds.append(decode_sound(content or b""))
                 errors.append(None)
                 held += 4 * sum(map(len, sounds[-1]["samples"]))
             except (ValueError, struct.error) as wrong:
@@ -135,11 +183,11 @@ def load_statistics(loaded: DataFrame) -> DataFrame:
 def numbered(listing: DataFrame, start: int, end: int) -> DataFrame:
     """Existing files (idx, path, exists) with new identifiers from ``start`` on, as far as ``end``; 0 ends with the last file.
 
-    Files are numbered over their order, so this is one sorted sequence of at
-    most 3,843 rows.
+    Files are numbered over their order, so this is one sorted sequence; with an
+    ``end``, only the rows up to it are gathered.
     """
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.orderBy("idx")) + start - 1
-    made = listing.filter("exists").withColumn("num_int", rank)
-    return made.filter(F.col("num_int") <= end) if end else made
+    there = listing.filter("exists")
+    there = there.orderBy("idx").limit(max(end - start + 1, 0)) if end else there
+    return there.withColumn("num_int", F.row_number().over(Window.orderBy("idx")) + start - 1)

@@ -104,11 +104,40 @@ def wave_bytes(samples, bits=16, channels=1, code=1):
 @pytest.mark.parametrize("bits, code", [(8, 1), (16, 1), (24, 1), (32, 1), (32, 3)])
 def test_wave_decoding(bits, code):
     x = [0.0, 0.5, -0.5, 0.25]
-    got = audio.decode_wave(wave_bytes(x, bits, 2, code))
+    got = audio.decode_sound(wave_bytes(x, bits, 2, code))
     assert got["channels"] == 2 and len(got["samples"]) == 2
     assert max(abs(a - b) for a, b in zip(got["samples"][0].tolist() + got["samples"][1].tolist(), [0.0, -0.5, 0.5, 0.25], strict=True)) < 0.02
 
 
+def aiff_bytes(data, bits, channels, frames, compression=None):
+    rate = struct.pack(">HQ", 16383 + 15, 44100 << 48)
+    comm = struct.pack(">HIH", channels, frames, bits) + rate + (compression + b"\0\0" if compression else b"")
+    chunk = lambda name, body: name + struct.pack(">I", len(body)) + body + b"\0" * (len(body) % 2)
+    body = (b"AIFC" if compression else b"AIFF") + chunk(b"COMM", comm) + chunk(b"SSND", struct.pack(">II", 0, 0) + data)
+    return b"FORM" + struct.pack(">I", len(body)) + body
+
+
+@pytest.mark.parametrize("bits, form, compression", [(8, ">b", None), (16, ">h", None), (16, "<h", b"sowt"), (24, None, None), (32, ">i", b"NONE"), (32, ">f", b"fl32")])
+def test_aiff_decoding(bits, form, compression):
+    x = [0.0, 0.5, -0.5, 0.25]
+    if form and form.endswith("f"):
+        data = b"".join(struct.pack(form, v) for v in x)
+    else:
+        level = [int(v * ((1 << (bits - 1)) - 1)) for v in x]
+        data = b"".join(struct.pack(form, v) if form else struct.pack(">i", v)[1:] for v in level)
+    got = audio.decode_sound(aiff_bytes(data, bits, 2, 2, compression))
+    assert (got["sample_rate"], got["channels"], got["bits_per_sample"]) == (44100, 2, bits)
+    assert max(abs(a - b) for a, b in zip(got["samples"][0].tolist() + got["samples"][1].tolist(), [0.0, -0.5, 0.5, 0.25], strict=True)) < 0.02
+
+
+def test_companded_sounds():
+    wave = lambda code, data: b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, code, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(data)) + data
+    mu = audio.decode_sound(wave(7, bytes([0xFF, 0x80, 0x00, 0xE7])))["samples"][0] * 32768
+    assert mu.tolist() == [0, 32124, -32124, 260]
+    a = audio.decode_sound(wave(6, bytes([0xD5, 0xAA, 0x2A, 0x55])))["samples"][0] * 32768
+    assert a.tolist() == [8, 32256, -32256, -8]
+
+
 def test_loading_never_aborts(spark, tmp_path):
     (tmp_path / "good.wav").write_bytes(wave_bytes([0.1, 0.2, 0.3]))
     (tmp_path / "text.wav").write_text("not audio")
