@@ -43,7 +43,7 @@ def block_key(file_size: Column, rms: Column) -> Column:
     return F.concat_ws("_", file_size, waves.rms_step(rms))
 
 
-def blocked(files: DataFrame, start: int | None = None, end: int | None = None, keywords: list[str] | None = None, chunk: int = CHUNK, spread: bool = False) -> DataFrame:
+def blocked(files: DataFrame, start: int | None = None, end: int | None = None, keywords: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Files that are compared, with keyword (null without keywords), block_key and chunk_no.
 
     Files out of range, without a sound (null rms) or, with keywords, without a
@@ -55,13 +55,13 @@ def blocked(files: DataFrame, start: int | None = None, end: int | None = None,
     kept = kept.withColumn("keyword", word)
     if keywords:
         kept = kept.filter(F.col("keyword").isNotNull())
-    return numbered_runs(kept, chunk, spread)
+    return numbered_runs(kept, chunk)
 
 
-def numbered_runs(kept: DataFrame, chunk: int = CHUNK, spread: bool = False) -> DataFrame:
+def numbered_runs(kept: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Files with keyword and block_key, and the run of ``chunk`` files of their block (of their chart, with a path) that they fall into."""
     keys = ["path"] if "path" in kept.columns else []
-    placed = group_rank(kept, [*keys, "keyword", "block_key"], ["idx"], "_place", spread)
+    placed = group_rank(kept, [*keys, "keyword", "block_key"], ["idx"], "_place")
     return placed.withColumn("chunk_no", F.floor((F.col("_place") - 1) / chunk)).drop("_place")
 
 

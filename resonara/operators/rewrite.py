@@ -50,41 +50,48 @@ def final_map(files: DataFrame, replaces: DataFrame, numbered: DataFrame, start:
     return met.groupBy("path", "num").agg(F.max_by("new_num", "idx").alias("new_num"))
 
 
-def replaced_tokens(data: Column, mapping: Column) -> Column:
-    """Two-character tokens of ``data`` by a map; 00, unknown tokens and a last single character stay."""
-    return F.array_join(F.transform(F.regexp_extract_all(data, F.lit("..?"), 0), lambda x: F.when(x == "00", x).otherwise(F.coalesce(F.get(F.array(F.try_element_at(mapping, x)), 0), x))), "")
+def replaced_tokens(data: Column, table: Column) -> Column:
+    """Two-character tokens of ``data`` by a table (see ``tables_of``); 00, unknown tokens and a last single character stay."""
+    return F.array_join(F.transform(F.regexp_extract_all(data, F.lit("..?"), 0), lambda x: F.when(x == "00", x).otherwise(F.coalesce(F.get(table, ids.decode(x, 62)), x))), "")
 
 
-def changed_line(line: Column, mapping: Column) -> Column:
-    """A data line of a sound channel, in hexadecimal of either case, with its tokens replaced; any other line, or any without a map, as it is."""
+def changed_line(line: Column, table: Column) -> Column:
+    """A data line of a sound channel, in hexadecimal of either case, with its tokens replaced; any other line, or any without a table, as it is."""
     part = lambda k: F.regexp_extract(line, charts.DATA, k)
-    changes = line.rlike(charts.DATA) & charts.is_sound_channel(part(3)) & mapping.isNotNull()
-    return F.when(changes, F.concat(part(1), part(2), part(3), part(4), replaced_tokens(part(5), mapping))).otherwise(line)
+    changes = line.rlike(charts.DATA) & charts.is_sound_channel(part(3)) & table.isNotNull()
+    return F.when(changes, F.concat(part(1), part(2), part(3), part(4), replaced_tokens(part(5), table))).otherwise(line)
 
 
-def maps_of(mapping: DataFrame) -> DataFrame:
-    """path and its map of identifiers, which has at most 3,844 entries."""
-    return mapping.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("num", "new_num"))).alias("map"))
+def tables_of(mapping: DataFrame) -> DataFrame:
+    """path and table: at the base-62 number of an identifier what replaces it, or null.
+
+    An array finds a token at once, where Spark's maps are searched entry by entry.
+    """
+    entries = mapping.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("num", "new_num"))).alias("_map"))
+    numbers = F.sequence(F.lit(0), F.lit(ids.LARGEST[62]))
+    return entries.select("path", F.transform(numbers, lambda k: F.try_element_at("_map", ids.encode(k, 62))).alias("table"))
 
 
-def rewritten(lines: DataFrame, mapping: DataFrame, numbered: DataFrame, folder: str | None = None, spread: bool = False) -> DataFrame:
+def rewritten(lines: DataFrame, mapping: DataFrame, numbered: DataFrame, folder: str | None = None) -> DataFrame:
     """path, line_no and line of the new charts.
 
     New definitions stand at the first definition or, if a data line comes
     earlier or there is none, before the first data line, else at the end; old
     definitions go.  Other lines pass, data lines with their tokens replaced.
-    ``spread`` numbers the lines of one long chart in many tasks.
+    Old and new lines of a chart meet in one exchange, in which all of this is
+    decided; definitions of a chart without lines are left out.
     """
     kind = charts.line_class(F.col("line"))
-    marked = lines.withColumn("_kind", kind).withColumn("_old", (F.col("_kind") == "HEADER") & charts.is_definition(F.col("line")))
-    at = marked.groupBy("path").agg(F.coalesce(F.min(F.when(F.col("_old") | (F.col("_kind") == "MAIN"), F.col("line_no"))), F.max("line_no") + 1).alias("_at"))
+    old = (kind == "HEADER") & charts.is_definition(F.col("line"))
+    marked = lines.select("path", F.col("line_no").alias("_line"), F.lit(2**31 - 1).alias("_sub"), "line", old.alias("_old"), (old | (kind == "MAIN")).alias("_anchor"))
     name = F.col("name") if folder is None else text.relative(F.col("name"), F.lit(folder))
-    new = numbered.join(at, "path").select("path", F.col("_at").alias("_line"), F.col("new_int").alias("_sub"), F.concat(F.lit("#WAV"), "new_num", F.lit(" "), name).alias("line"))
-    passed = marked.filter(~F.col("_old")).select("path", F.col("line_no").alias("_line"), F.lit(2**31 - 1).alias("_sub"), "line")
-    placed = group_rank(new.unionByName(passed), ["path"], ["_line", "_sub"], "_no", spread).join(maps_of(mapping), "path", "left")
-    # Tokens are replaced in placed lines, as a range exchange reads its input twice; new definitions aren't data lines.
-    # Lines whose channel has a letter are of class OTHER and pass as they are.
-    body = F.when(charts.line_class(F.col("line")) == "MAIN", changed_line(F.col("line"), F.col("map"))).otherwise(F.col("line"))
+    new = numbered.select("path", F.lit(None).cast("long").alias("_line"), F.col("new_int").alias("_sub"), F.concat(F.lit("#WAV"), "new_num", F.lit(" "), name).alias("line"), F.lit(False).alias("_old"), F.lit(False).alias("_anchor"))
+    chart = Window.partitionBy("path")
+    at = F.coalesce(F.min(F.when(F.col("_anchor"), F.col("_line"))).over(chart), F.max("_line").over(chart) + 1)
+    together = marked.unionByName(new).withColumn("_at", at).filter(~F.col("_old") & F.col("_at").isNotNull()).withColumn("_place", F.coalesce("_line", "_at"))
+    placed = group_rank(together, ["path"], ["_place", "_sub"], "_no").join(tables_of(mapping), "path", "left")
+    # New definitions aren't data lines; lines whose channel has a letter are of class OTHER and pass as they are.
+    body = F.when(charts.line_class(F.col("line")) == "MAIN", changed_line(F.col("line"), F.col("table"))).otherwise(F.col("line"))
     return placed.select("path", (F.col("_no") - 1).alias("line_no"), body.alias("line"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from resonara.functions import ids, text
 from resonara.functions import waves as w
 from resonara.operators import blocking, cluster, facets, rewrite, similarity, stats, sweep
+from resonara.operators.ranking import checkpointed
 from resonara.plans import pipeline, tables
 from resonara.sources import audio, charts
 
@@ -141,13 +142,16 @@ def final_id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, numbered, mapping = _map(spark, sf_dir)
+    files, replaces = tables.files(spark, sf_dir), tables.replaces(spark, sf_dir)
+    # Both the definitions and the map are made of these.
+    numbered = checkpointed(rewrite.renumbered(rewrite.kept(files, replaces, START, END)))
+    mapping = rewrite.final_map(files, replaces, numbered, START, END)
     return rewrite.rewritten(tables.chart(spark, sf_dir), mapping, numbered, "sounds").select("path", "line_no", "line")
 
 
 def change_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = rewrite.maps_of(_map(spark, sf_dir)[2])
-    return tables.chart(spark, sf_dir).join(maps, "path", "left").select("path", "line_no", rewrite.changed_line(F.col("line"), F.col("map")).alias("line"))
+    table = rewrite.tables_of(_map(spark, sf_dir)[2])
+    return tables.chart(spark, sf_dir).join(table, "path", "left").select("path", "line_no", rewrite.changed_line(F.col("line"), F.col("table")).alias("line"))
 
 
 def undefined_refs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:

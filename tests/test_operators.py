@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resonara.functions import ids, text, waves
-from resonara.operators import blocking, cluster, facets, ranking, rewrite, similarity, stats, sweep
+from resonara.operators import blocking, cluster, facets, rewrite, similarity, stats, sweep
 from resonara.plans import pipeline
 from resonara.sources import audio, charts, sinks
 from resonara.streaming import ingest
@@ -182,12 +182,6 @@ def test_keywords(spark):
     assert blocking.keyword_totals(rows, 2, 3, ["kick"]).first().asDict() == {"in_range": 2, "out_of_range": 2, "no_sound": 0, "no_keyword": 1, "matched": 1}
 
 
-def test_spread_rank_equals_window(spark):
-    rows = spark.range(5000).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), F.xxhash64("id").alias("o"), "id")
-    a, b = (ranking.group_rank(rows, ["k"], ["o", "id"], "r", s) for s in (False, True))
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
 def test_roots_and_statistics(spark):
     table = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (9, 0)], "num_int int, replace_to int")
     assert {r["num_int"]: r["root"] for r in cluster.roots(table).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 9}
@@ -250,8 +244,8 @@ def test_rewrite_keeps_what_it_does_not_know(spark):
 def test_changed_line_takes_channels_of_either_case(spark):
     rows = {"#00111:0102": "#00111:0A02", "#001d1:0101": "#001d1:0A0A", "#001D1:0001": "#001D1:000A", "#001e9:01x": "#001e9:0Ax", "#00104:01": "#00104:01", "#001G1:01": "#001G1:01", "#WAV01 a": "#WAV01 a"}
     frame = spark.createDataFrame([(x,) for x in rows], "line string")
-    mapping = F.create_map(F.lit("01"), F.lit("0A"))
-    assert dict(map(tuple, frame.select("line", rewrite.changed_line(F.col("line"), mapping)).collect())) == rows
+    table = rewrite.tables_of(spark.createDataFrame([("c", "01", "0A")], "path string, num string, new_num string"))
+    assert dict(map(tuple, frame.crossJoin(table).select("line", rewrite.changed_line(F.col("line"), F.col("table"))).collect())) == rows
 
 
 def test_charts_have_replacements_of_their_own(spark):
