@@ -1,6 +1,72 @@
 """DuckDB SQL of the corpus queries that SQL can express."""
 
+from __future__ import annotations
+
+from resonara.llm import quality_rules
+
+
+def quality_sql() -> str:
+    """The quality rules: measures and votes of each text, and the estimation as a recursion over one row of rates."""
+    rules = range(len(quality_rules.RULES))
+    functions = ", ".join(f"'{x}'" for x in quality_rules.FUNCTION_WORDS.split())
+    conditions = (
+        ("100 * symbols > 10 * n", "100 * symbols <= n"),
+        ("symbols >= n", "10 * symbols <= n"),
+        ("chars < 3 * n OR chars > 10 * n", "35 * n <= 10 * chars AND 10 * chars <= 65 * n"),
+        ("dup >= 2 AND 100 * dup > 30 * lines", "dup = 0 AND lines >= 3"),
+        ("100 * repeated > 30 * n", "100 * repeated < 5 * n"),
+        ("100 * upper > 30 * latin AND latin >= 20", "100 * upper < 10 * latin"),
+        ("10 * latin >= 6 * chars AND n >= 20 AND function = 0", "function >= 3"),
+        ("100 * lettered < 80 * n", "100 * lettered >= 95 * n"),
+        ("lines >= 3 AND 100 * ended < 10 * lines", "100 * ended >= 70 * lines"),
+        ("n >= 50 AND 100 * different < 10 * n", "n >= 50 AND 100 * different >= 25 * n"),
+    )
+    votes = ", ".join(f"CASE WHEN n = 0 THEN 0 WHEN {bad} THEN 2 WHEN {good} THEN 1 ELSE 0 END AS v{k}" for k, (bad, good) in enumerate(conditions))
+    evidence = " + ".join(f"CASE v{k} WHEN 2 THEN ln(g{k} / b{k}) WHEN 1 THEN ln((1 - g{k}) / (1 - b{k})) ELSE 0 END" for k in rules)
+    posterior = f"1 / (1 + exp(-(ln(1 - share) - ln(share) + {evidence})))"
+    names = ", ".join(f"v{k}" for k in rules)
+
+    def rate(weight: str, prior: float, k: int) -> str:
+        return f"(coalesce(sum(c * {weight}) FILTER (v{k} = 2), 0) + 20 * {prior}::DOUBLE) / (coalesce(sum(c * {weight}) FILTER (v{k} <> 0), 0) + 20)"
+
+    good = ", ".join(f"least(greatest({rate('p', 0.05, k)}, 1e-4::DOUBLE), 0.45::DOUBLE) AS g{k}" for k in rules)
+    bad = ", ".join(f"{rate('(1 - p)', 0.4, k)} AS r{k}" for k in rules)
+    bounded = ", ".join(f"least(greatest(r{k}, 2 * g{k}, 1e-3::DOUBLE), 0.99::DOUBLE) AS b{k}" for k in rules)
+    return rf"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), split AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS dense,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM texts
+), windows AS (
+  SELECT row, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS w FROM split WHERE len(ws) > 2
+), again AS (
+  SELECT row, i FROM windows QUALIFY count(*) OVER (PARTITION BY row, w) > 1
+), covered AS (
+  SELECT row, count(DISTINCT place) AS repeated FROM (SELECT row, unnest([i, i + 1, i + 2]) AS place FROM again) GROUP BY row
+), measured AS (
+  SELECT row, doc_id, len(ws) AS n, length(dense) AS chars, length(regexp_replace(dense, '[^#*$%&|<>]', '', 'g')) AS symbols, len(ls) - len(list_distinct(ls)) AS dup, coalesce(repeated, 0) AS repeated, len(ls) AS lines,
+    length(regexp_replace(dense, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(dense, '[^A-Za-z]', '', 'g')) AS latin, len(list_intersect(list_distinct(ws), [{functions}])) AS function,
+    len(list_filter(ws, lambda w: regexp_matches(w, '[A-Za-z\x{{80}}-\x{{10FFFF}}]'))) AS lettered, len(list_filter(ls, lambda l: regexp_matches(l, '[.!?"'':)…”»。！？][\x20\x09-\x0D]*$'))) AS ended, len(list_distinct(ws)) AS different
+  FROM split LEFT JOIN covered USING (row)
+), voted AS (
+  SELECT *, {votes} FROM measured
+), patterns AS (
+  SELECT {names}, count(*) AS c FROM voted GROUP BY ALL
+), model AS (
+  SELECT 0 AS round, 0.2::DOUBLE AS share, {', '.join(f'0.05::DOUBLE AS g{k}' for k in rules)}, {', '.join(f'0.4::DOUBLE AS b{k}' for k in rules)}
+  UNION ALL
+  SELECT round, least(greatest(s, 1e-3::DOUBLE), 0.95::DOUBLE), {', '.join(f'g{k}' for k in rules)}, {bounded} FROM (
+    SELECT round + 1 AS round, (sum(c * (1 - p)) + 20 * 0.2::DOUBLE) / (sum(c) + 20) AS s, {good}, {bad}
+    FROM (SELECT m.round, c, {names}, {posterior} AS p FROM model m, patterns WHERE m.round < {quality_rules.ROUNDS}) GROUP BY round)
+)
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, repeated::BIGINT AS n_repeat_words,
+  n < 50 OR 100 * repeated > 50 * n AS base_failed, NOT (n < 50 OR 100 * repeated > 50 * n) AND p >= 0.5 AS kept, round(p, 6) AS quality
+FROM (SELECT v.*, {posterior} AS p FROM voted v, model WHERE round = {quality_rules.ROUNDS})"""
+
+
 SQL: dict[str, str] = {
+    "op1_quality_rules": quality_sql(),
     "op3_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
