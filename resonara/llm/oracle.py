@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from resonara.llm import quality_rules
+from resonara.llm import quality_rules, secret_scan
+
+#: Characters of the runs that the Markov models judge.
+RUN = "A-Za-z0-9+/_=-"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def quality_sql() -> str:
@@ -65,8 +72,81 @@ SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGIN
 FROM (SELECT v.*, {posterior} AS p FROM voted v, model WHERE round = {quality_rules.ROUNDS})"""
 
 
+def secret_sql() -> str:
+    """The secret scan: spans of each kind by running sums of lengths, and both Markov models counted from the same samples."""
+    scan = secret_scan
+    rows, letters, words = scan.RANDOM_STRINGS, "".join(scan.ALPHABET), scan.WORDS.split()
+
+    def some(salt: int, below: int) -> str:
+        return f"('0x' || substr(sha256('{salt} ' || n), 1, 8))::BIGINT % {below}"
+
+    date = lambda salt: f"(2000 + {some(salt, 30)}) || '-' || lpad(({some(salt + 1, 12)} + 1)::VARCHAR, 2, '0') || '-' || lpad(({some(salt + 2, 28)} + 1)::VARCHAR, 2, '0')"
+    cut = lambda *parts: " || '-' || ".join(f"substr(h, {a}, {z})" for a, z in parts)
+    kinds = (
+        "array_to_string(ws, '_') || number",
+        "array_to_string(list_transform(ws, lambda w: upper(w[1]) || substr(w, 2)), '') || number",
+        "array_to_string(ws, '-') || number",
+        "upper(array_to_string(ws, '_')) || '_' || number",
+        cut((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)),
+        f"{date(10)} || '-' || {date(20)} || '-' || lpad(({some(30, 10_000)})::VARCHAR, 4, '0')",
+        f"CASE WHEN {some(8, 4)} = 0 THEN repeat(substr('{letters}', ({some(34, len(letters))} + 1)::INT, 1), {some(9, 20)} + 20) ELSE substr(translate(h, 'abcdef', '012345'), 1, ({some(9, 20)} + 20)::INT) END",
+        f"substr(translate(h, '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, ({some(9, 40)} + 20)::INT)",
+        f"array_to_string(ws, '/') || '/v' || {some(31, 20)} || '-' || {some(32, 20)} || '-' || {some(33, 100)}",
+        cut((1, 6), (7, 6), (13, 6), (19, 6)),
+    )
+    five = ", ".join(f"words[({some(k, len(words))} + 1)::INT]" for k in range(5))
+    found = " UNION ALL ".join(
+        f"SELECT row, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(text, {quoted(pattern)}) AS ms, regexp_extract_all(text, {quoted(pattern)}, {group}) AS gs, string_split_regex(text, {quoted(pattern)}) AS gaps, {least} AS least FROM texts"
+        for rank, (kind, pattern, group, least, _) in enumerate((*scan.KINDS, (scan.MODEL_KIND, f"[{RUN}]+", 0, scan.LEAST_TOKEN, ())))
+    )
+    return rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), listed AS (
+  SELECT string_split('{scan.WORDS}', ' ') AS words
+), made AS (
+  SELECT 'random' AS label, substr(CASE n % 4 WHEN 0 THEN p WHEN 1 THEN rtrim(translate(p, '+/', '-_'), '=') WHEN 2 THEN bare ELSE upper(bare) END, 1, [44, 40, 32, 24][(n // 4 % 4 + 1)::INT]) AS token, 1::BIGINT AS times
+  FROM (SELECT *, regexp_replace(p, '[+/=]', '', 'g') AS bare FROM (SELECT n, to_base64(unhex(sha256(n::VARCHAR))) AS p FROM range({rows}) t(n)))
+  UNION ALL
+  SELECT 'ordinary', CASE n % {len(kinds)} {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(kinds))} END, 1
+  FROM (SELECT n, sha256('ordinary ' || n) AS h, [{five}][1:{some(5, 5)} + 1] AS ws, CASE WHEN {some(6, 3)} = 0 THEN ({some(7, 1000)})::VARCHAR ELSE '' END AS number FROM range({3 * rows}) t(n), listed)
+  UNION ALL
+  SELECT 'corpus', token, count(*) FROM (SELECT unnest(regexp_extract_all(text, '{scan.CORPUS_TOKEN}')) AS token FROM texts) WHERE length(token) < {scan.LEAST_TOKEN} GROUP BY token
+), pairs AS (
+  SELECT label, substr(token, i, 2) AS pair, sum(times) AS c FROM (SELECT label, token, times, unnest(range(1, length(token))) AS i FROM made) GROUP BY ALL
+), shares AS (
+  SELECT label, pair, c / sum(c) OVER (PARTITION BY label) AS share FROM pairs
+), parts AS (
+  SELECT CASE WHEN EXISTS (SELECT 1 FROM shares WHERE label = 'corpus') THEN {scan.CORPUS_PART}::DOUBLE ELSE 0 END AS part
+), letters AS (
+  SELECT unnest(string_split('{letters}', '')) AS letter
+), cells AS (
+  SELECT a.letter AS a, a.letter || b.letter AS pair, {scan.PAIR_MASS} * coalesce(max(share) FILTER (label = 'random'), 0) + 0.5::DOUBLE AS x,
+    {scan.PAIR_MASS} * ((1 - any_value(part)) * coalesce(max(share) FILTER (label = 'ordinary'), 0) + any_value(part) * coalesce(max(share) FILTER (label = 'corpus'), 0)) + 0.5::DOUBLE AS y
+  FROM letters a CROSS JOIN letters b CROSS JOIN parts LEFT JOIN shares s ON s.pair = a.letter || b.letter GROUP BY ALL
+), ratios AS (
+  SELECT pair, round(ln(x / sum(x) OVER (PARTITION BY a)) - ln(y / sum(y) OVER (PARTITION BY a)), 6) AS ratio FROM cells
+), found AS ({found}
+), each AS (
+  SELECT row, rank, kind, least, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS k FROM found WHERE len(ms) > 0
+), placed AS (
+  SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY row, rank ORDER BY k) AS z FROM each
+), long_enough AS (
+  SELECT row, rank, kind, m, (z - length(m))::BIGINT AS a, z::BIGINT AS z FROM placed WHERE length(g) >= least
+), scores AS (
+  SELECT m, sum(ratio) AS score FROM (SELECT m, unnest(range(1, length(m))) AS i FROM (SELECT DISTINCT m FROM long_enough WHERE kind = '{scan.MODEL_KIND}')) JOIN ratios ON pair = substr(m, i, 2) GROUP BY m
+), spans AS (
+  SELECT l.* FROM long_enough l LEFT JOIN scores s ON s.m = l.m WHERE l.kind <> '{scan.MODEL_KIND}' OR s.score > {scan.THRESHOLD}::DOUBLE * (length(l.m) - 1)
+), gathered AS (
+  SELECT row, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2,
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (rank < {len(scan.KINDS)}) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans FROM spans GROUP BY row
+)
+SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN gathered USING (row)"""
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
+    "op9_secret_scan": secret_sql(),
     "op3_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -87,7 +87,7 @@ def labelled_strings(spark: SparkSession, rows: int, first: int = 0) -> DataFram
     random = spark.range(first, first + rows).select(F.lit("random").alias("label"), (n % 4).cast("int").alias("kind"), F.substring(made, F.lit(1), length).alias("token"))
 
     words, size = F.split(F.lit(WORDS), " "), len(WORDS.split())
-    some = lambda salt, below: F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(below)).cast("int")
+    some = lambda salt, below: (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{salt} "), n.cast("string")), 256), 1, 8), 16, 10).cast("long") % below).cast("int")
     hexes = F.sha2(F.concat(F.lit("ordinary "), n.cast("string")), 256)
     several = F.slice(F.array(*[F.get(words, some(k, size)) for k in range(5)]), 1, some(5, 5) + 1)
     cut = lambda at, length: F.substring(hexes, at, length)
