@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from resonara.llm import quality_rules, secret_scan
+from resonara.llm import license_scan, quality_rules, secret_scan
+from resonara.llm.decontamination import words_of
 
 #: Characters of the runs that the Markov models judge.
 RUN = "A-Za-z0-9+/_=-"
@@ -144,8 +145,45 @@ WITH texts AS (
 SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN gathered USING (row)"""
 
 
+WORDS_OF = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def license_sql() -> str:
+    """The license scan by comparing every run of every text with every template."""
+    scan = license_scan
+    listed = lambda texts: "[" + ", ".join(quoted(f" {' '.join(x.decode() for x in words_of(t.encode()))} ") for t in texts) + "]::VARCHAR[]"
+    templates = ", ".join(f"({quoted(name)}, {quoted(text)}, {listed(scan.TELLING.get(name, ()))}, {listed([scan.VERSION[name]] if name in scan.VERSION else [])})" for name, text in sorted(scan.TEMPLATES.items()))
+    return rf"""
+WITH RECURSIVE templates AS (
+  SELECT name, {WORDS_OF} AS ws, telling, also FROM (VALUES {templates}) t(name, text, telling, also)
+), own AS (
+  SELECT DISTINCT name, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT name, ws, unnest(range(1, len(ws) - 3)) AS i FROM templates)
+), sizes AS (
+  SELECT name, count(*) AS size FROM own GROUP BY name
+), texts AS (
+  SELECT row_number() OVER () AS row, doc_id, {WORDS_OF} AS ws FROM documents
+), met AS (
+  SELECT row, i, name, g, size FROM (SELECT row, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT row, ws, unnest(range(1, len(ws) - 3)) AS i FROM texts)) JOIN own USING (g) JOIN sizes USING (name)
+), runs AS (
+  SELECT e.row, e.name, e.size, e.i AS last, min(b.i) AS first, count(DISTINCT b.g) AS n FROM met e JOIN met b ON b.row = e.row AND b.name = e.name AND b.i > e.i - e.size AND b.i <= e.i GROUP BY ALL
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY row, name ORDER BY n DESC, last) = 1
+), matching AS (
+  SELECT b.*, doc_id, row_number() OVER (PARTITION BY b.row ORDER BY n DESC, n / size::DOUBLE DESC, b.name) AS k
+  FROM (SELECT b.*, doc_id, telling, also, ' ' || array_to_string(texts.ws[first:last + 4], ' ') || ' ' AS said FROM best b JOIN texts USING (row) JOIN templates t ON t.name = b.name WHERE n / size::DOUBLE >= {scan.CONTAINMENT}::DOUBLE) b
+  WHERE (len(telling) = 0 OR len(list_filter(telling, lambda p: contains(said, p))) > 0) AND (len(also) = 0 OR len(list_filter(also, lambda p: contains(said, p))) > 0)
+), picked AS (
+  SELECT DISTINCT row, 0::BIGINT AS k, [{{'a': 0::BIGINT, 'z': -1::BIGINT}}] AS taken, false AS stays FROM matching
+  UNION ALL
+  SELECT row, k, CASE WHEN fits THEN list_append(taken, {{'a': first, 'z': last}}) ELSE taken END, fits
+  FROM (SELECT m.row, m.k, first, last, taken, len(list_filter(taken, lambda t: 2 * (least(last, t.z) - greatest(first, t.a) + 1) > least(last - first, t.z - t.a) + 1)) = 0 AS fits FROM picked p JOIN matching m ON m.row = p.row AND m.k = p.k + 1)
+)
+SELECT doc_id, name AS license, round(n / size::DOUBLE, 6) AS containment, (first - 1)::BIGINT AS first_word FROM matching JOIN picked USING (row, k) WHERE stays"""
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
+    "op5_license_scan": license_sql(),
     "op9_secret_scan": secret_sql(),
     "op3_chat_formatting": r"""
 WITH turns AS (
