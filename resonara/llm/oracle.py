@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from resonara.llm import license_scan, quality_rules, secret_scan
+from resonara.llm import license_scan, quality_rules, secret_scan, substring_dedup
 from resonara.llm.decontamination import words_of
 
 #: Characters of the runs that the Markov models judge.
@@ -181,9 +181,63 @@ WITH RECURSIVE templates AS (
 SELECT doc_id, name AS license, round(n / size::DOUBLE, 6) AS containment, (first - 1)::BIGINT AS first_word FROM matching JOIN picked USING (row, k) WHERE stays"""
 
 
+#: Jumps of 1, 2, 4, ... chunks by which the SQL of substring dedup follows chunk ends: a text may have so many chunks.
+DOUBLINGS = 16
+
+
+def substring_sql() -> str:
+    """Substring dedup: where a chunk that begins at each byte ends, the ends that are reached from a text's start, and spans of shared chunks."""
+    scan = substring_dedup
+    table = ", ".join(str(x) for x in scan._GEAR.tolist())
+    rolled = " + ".join(f"coalesce(lag(g, {k}) OVER w, 0) * {1 << k}" if k else "g" for k in range(scan.WINDOW))
+    # The end of the chunk from p: the first cut in reach, else the text's end if in reach, else the least hash in reach.
+    jumps = "\n".join(
+        f"), jump{k + 1} AS MATERIALIZED (SELECT a.row, a.p, b.e FROM jump{k} a JOIN jump{k} b ON b.row = a.row AND b.p = a.e\n"
+        f"), reached{k + 1} AS MATERIALIZED (SELECT row, p FROM reached{k} UNION SELECT r.row, j.e FROM reached{k} r JOIN jump{k} j ON j.row = r.row AND j.p = r.p"
+        for k in range(DOUBLINGS)
+    )
+    reach = f"ROWS BETWEEN {scan.MIN_BYTES} FOLLOWING AND {scan.MAX_BYTES} FOLLOWING"
+    return rf"""
+WITH texts AS (
+  SELECT DISTINCT doc_id, text, hex(encode(text)) AS h FROM documents WHERE doc_id IS NOT NULL AND text <> ''
+), numbered AS (
+  SELECT row_number() OVER () AS row, doc_id, h, length(h) // 2 AS size FROM texts
+), bytes AS (
+  SELECT row, i, size, ('0x' || substr(h, 2 * i - 1, 2))::BIGINT AS byte FROM (SELECT row, h, size, unnest(range(1, size + 1)) AS i FROM numbered)
+), geared AS (
+  SELECT row, i, size, byte, [{table}][byte + 1] AS g FROM bytes
+), hashed AS (
+  SELECT row, i, size, ({rolled}) % {1 << 32} AS hash, lead(byte) OVER w & 192 <> 128 AS legal FROM geared WINDOW w AS (PARTITION BY row ORDER BY i)
+), marked AS (
+  SELECT row, i, size, i < size AND legal AS legal, i < size AND legal AND hash < {(1 << 32) // scan.ONE_IN} AS cut, hash FROM hashed
+  UNION ALL SELECT row, 0, size, false, false, 0 FROM numbered
+), jump0 AS MATERIALIZED (
+  SELECT row, i AS p, coalesce(next_cut, CASE WHEN size - i <= {scan.MAX_BYTES} THEN size ELSE least_at END) AS e
+  FROM (SELECT row, i, size, min(i) FILTER (cut) OVER w AS next_cut, arg_min(i, hash * 1000000000 + i) FILTER (legal) OVER w AS least_at FROM marked WINDOW w AS (PARTITION BY row ORDER BY i {reach}))
+  WHERE i < size
+), reached0 AS MATERIALIZED (
+  SELECT row, 0::BIGINT AS p FROM numbered
+{jumps}
+), chunks AS (
+  SELECT j.row, n.doc_id, j.p, j.e, substr(n.h, 2 * j.p + 1, 2 * (j.e - j.p)) AS c FROM reached{DOUBLINGS} r JOIN jump0 j ON j.row = r.row AND j.p = r.p JOIN numbered n ON n.row = j.row
+), known AS (
+  SELECT c, min(doc_id) AS first_id FROM chunks GROUP BY c HAVING min(doc_id) < max(doc_id)
+), again AS (
+  SELECT row, doc_id, p, e, first_id, CASE WHEN p = lag(e) OVER (PARTITION BY row ORDER BY p) THEN 0 ELSE 1 END AS opens FROM chunks JOIN known USING (c) WHERE doc_id > first_id
+), islands AS (
+  SELECT *, sum(opens) OVER (PARTITION BY row ORDER BY p) AS island FROM again
+), spans AS (
+  SELECT row, doc_id, arg_min(first_id, p) AS first_id, min(p) AS a, max(e) AS z FROM islands GROUP BY row, doc_id, island
+), placed AS (
+  SELECT s.doc_id, s.first_id, s.row, a, z, length(decode(unhex(substr(h, 1, 2 * a)))) AS start, length(decode(unhex(substr(h, 2 * a + 1, 2 * (z - a))))) AS n_chars FROM spans s JOIN numbered n ON n.row = s.row
+)
+SELECT doc_id, first_id, start::BIGINT AS start, n_chars::BIGINT AS n_chars FROM placed WHERE n_chars >= {scan.LEAST_CHARS}"""
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": quality_sql(),
     "op5_license_scan": license_sql(),
+    "op7_substring_dedup": substring_sql(),
     "op9_secret_scan": secret_sql(),
     "op3_chat_formatting": r"""
 WITH turns AS (

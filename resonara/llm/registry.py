@@ -53,7 +53,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeats(table(spark, sf_dir, "documents")).select("doc_id", "first_id", "start", "n_chars")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
