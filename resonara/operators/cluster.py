@@ -126,15 +126,19 @@ def _of_run(blocked: DataFrame) -> tuple[list[str], str, list[str]]:
     return keys, f"path {blocked.schema['path'].dataType.simpleString()}, " if "path" in keys else "", keys[: keys.index("keyword")]
 
 
-def assign(blocked: DataFrame, threshold: float, mode: str = "production") -> DataFrame:
-    """num_int, replace_to and root of every blocked file, with its path if it has one (see ``blocking.blocked``; needs sound and fingerprint)."""
+def assign(blocked: DataFrame, threshold: float | str, mode: str = "production") -> DataFrame:
+    """num_int, replace_to and root of every blocked file, with its path if it has one (see ``blocking.blocked``; needs sound and fingerprint).
+
+    A threshold given as a name is a column with the threshold of each file's chart.
+    """
     if mode not in MODES:
         raise ValueError(mode)
     keys, schema, chart = _of_run(blocked)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         numbers, rms, r, direct = _prepared(group)
-        slots = sweep(numbers, rms, lambda i, j: direct(i, j) or r[i, j] >= threshold, mode, direct)
+        least = group[threshold].iloc[0] if isinstance(threshold, str) else threshold
+        slots = sweep(numbers, rms, lambda i, j: direct(i, j) or r[i, j] >= least, mode, direct)
         own = {c: group[c].iloc[0] for c in chart}
         return pd.DataFrame({**own, "num_int": numbers, "replace_to": [slots[n] for n in numbers], "root": [find_root(slots, n) for n in numbers]})
 

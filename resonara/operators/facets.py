@@ -1,4 +1,7 @@
-"""Words of file names: counts, facets, instruments and filters."""
+"""Words of file names: counts, facets, instruments and filters.
+
+Files have idx and name; with a path, each chart's files are a list of their own.
+"""
 
 from __future__ import annotations
 
@@ -10,46 +13,40 @@ from resonara.functions import text
 LEAST_INSTRUMENT, LEAST_FACET, MOST_FACETS = 3, 2, 8
 
 
-def word_counts(files: DataFrame, least: int = LEAST_INSTRUMENT) -> DataFrame:
-    """word (lower case), shown (as first met), cnt and first (where) of words that may name instruments, at least ``least`` times.
+def _chart(rows: DataFrame) -> list[str]:
+    return ["path"] if "path" in rows.columns else []
 
-    Files have idx and name.
-    """
-    found = files.select("idx", F.posexplode(text.words(text.stem(F.col("name")))).alias("pos", "shown")).filter(text.names_instrument(F.col("shown")))
+
+def word_counts(files: DataFrame, least: int = LEAST_INSTRUMENT) -> DataFrame:
+    """word (lower case), shown (as first met), cnt and first (where) of words that may name instruments, at least ``least`` times."""
+    own = _chart(files)
+    found = files.select(*own, "idx", F.posexplode(text.words(text.stem(F.col("name")))).alias("pos", "shown")).filter(text.names_instrument(F.col("shown")))
     place = F.struct("idx", "pos")
-    counted = found.groupBy(F.lower("shown").alias("word")).agg(F.min_by("shown", place).alias("shown"), F.count("*").alias("cnt"), F.min(place).alias("first"))
+    counted = found.groupBy(*own, F.lower("shown").alias("word")).agg(F.min_by("shown", place).alias("shown"), F.count("*").alias("cnt"), F.min(place).alias("first"))
     return counted.filter(F.col("cnt") >= least)
 
 
-#: Candidates up to which the instrument search sends them all to every task: at most 20 characters each, so some 20 MB.
-MOST_SENT = 200_000
-
-
-def instruments(files: DataFrame, candidates: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+def instruments(files: DataFrame, candidates: DataFrame) -> DataFrame:
     """Files with ``instrument``: of the candidates that are a word of the stem or part of it, the most frequent, the first met on ties; else empty.
 
-    A candidate inside a stem is one of the stem's substrings of legal length,
-    so containment is an equi-join on these.  The substrings outnumber the
-    files by far and don't move: the candidates, words of the whole list, are
-    counted and, up to ``most_sent``, sent to all tasks; more are joined by a shuffle.
+    Candidates are words that a list has several times, so a chart's are few:
+    they meet its files as one array, in order of preference, and the first
+    that a stem contains is taken.
     """
-    from resonara.operators.ranking import checkpointed
-
-    ranked = checkpointed(candidates.select("word", "shown", "cnt", "first"))
-    side = F.broadcast(ranked) if ranked.count() <= most_sent else ranked
-    stems = files.select("idx", F.lower(text.stem(F.col("name"))).alias("stem"))
-    lengths = F.sequence(F.lit(text.SHORTEST), F.lit(text.LONGEST))
-    starts = F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1)))
-    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.transform(lengths, lambda n: F.substr(F.col("stem"), s, n)))))
-    met = stems.select("idx", F.explode(pieces).alias("word")).join(side, "word")
-    best = met.groupBy("idx").agg(F.min_by("shown", F.struct(-F.col("cnt"), F.col("first"))).alias("instrument"))
-    return files.join(best, "idx", "left").withColumn("instrument", F.coalesce("instrument", F.lit("")))
+    own = _chart(files)
+    listed = candidates.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("less"), "first", "word", "shown"))).alias("_listed"))
+    # Without a path all files are one list, which has one array.
+    met = files.join(listed, own, "left") if own else files.crossJoin(F.broadcast(listed))
+    stem = F.lower(text.stem(F.col("name")))
+    best = F.get(F.filter("_listed", lambda c: stem.contains(c["word"])), 0)["shown"]
+    return met.withColumn("instrument", F.coalesce(best, F.lit(""))).drop("_listed").select(*files.columns, "instrument")
 
 
 def assigned(files: DataFrame, found: DataFrame) -> DataFrame:
-    """Files with the instrument that ``found`` (name, instrument) gives their name, whatever the case; else empty."""
-    by_name = found.groupBy(F.lower("name").alias("_low")).agg(F.max("instrument").alias("instrument"))
-    return files.withColumn("_low", F.lower("name")).join(by_name, "_low", "left").drop("_low").withColumn("instrument", F.coalesce("instrument", F.lit("")))
+    """Files with the instrument that ``found`` (name, instrument, and path if both have one) gives their name, whatever the case; else empty."""
+    own = [c for c in _chart(files) if c in found.columns]
+    by_name = found.groupBy(*own, F.lower("name").alias("_low")).agg(F.max("instrument").alias("instrument"))
+    return files.withColumn("_low", F.lower("name")).join(by_name, [*own, "_low"], "left").drop("_low").withColumn("instrument", F.coalesce("instrument", F.lit("")))
 
 
 def detect(files: DataFrame, least: int = LEAST_INSTRUMENT) -> DataFrame:
@@ -58,14 +55,21 @@ def detect(files: DataFrame, least: int = LEAST_INSTRUMENT) -> DataFrame:
 
 
 def _top(counted: DataFrame, least: int, most: int) -> DataFrame:
-    return counted.filter(F.col("cnt") >= least).orderBy(F.desc("cnt"), "first").limit(most).select("keyword", "cnt")
+    """The ``most`` frequent keywords, of each chart if there are charts."""
+    own = _chart(counted)
+    kept = counted.filter(F.col("cnt") >= least)
+    if own:
+        rank = F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("cnt"), "first"))
+        return kept.withColumn("_rank", rank).filter(F.col("_rank") <= most).select(*own, "keyword", "cnt")
+    return kept.orderBy(F.desc("cnt"), "first").limit(most).select("keyword", "cnt")
 
 
 def prefix_facets(files: DataFrame, least: int = LEAST_FACET, most: int = MOST_FACETS, shortest: int = 3) -> DataFrame:
     """keyword, cnt and is_selected of the most frequent first parts of stems, whatever the case; all start selected."""
+    own = _chart(files)
     part = F.get(F.filter(F.split(text.stem(F.col("name")), "[_\\- ]"), lambda p: p != ""), 0)
-    parts = files.select("idx", part.alias("part")).filter(F.length("part") >= shortest)
-    counted = parts.groupBy(F.lower("part").alias("low")).agg(F.min_by("part", "idx").alias("keyword"), F.count("*").alias("cnt"), F.min("idx").alias("first"))
+    parts = files.select(*own, "idx", part.alias("part")).filter(F.length("part") >= shortest)
+    counted = parts.groupBy(*own, F.lower("part").alias("low")).agg(F.min_by("part", "idx").alias("keyword"), F.count("*").alias("cnt"), F.min("idx").alias("first"))
     return _top(counted, least, most).withColumn("is_selected", F.lit(True))
 
 
@@ -75,14 +79,19 @@ def instrument_facets(files: DataFrame, least: int = LEAST_FACET, most: int = MO
     Where fewer than half of ``most`` instruments are known, words of files
     without one enter with a count of 1 each, so they show only if ``least`` is 1.
     """
-    known = files.filter(F.length("instrument") >= shortest).groupBy(F.col("instrument").alias("keyword")).agg(F.count("*").alias("cnt"), F.struct(F.lit(0).alias("late"), F.min("idx").alias("idx"), F.lit(0).alias("pos")).alias("first"))
+    own = _chart(files)
+    known = files.filter(F.length("instrument") >= shortest).groupBy(*own, F.col("instrument").alias("keyword")).agg(F.count("*").alias("cnt"), F.struct(F.lit(0).alias("late"), F.min("idx").alias("idx"), F.lit(0).alias("pos")).alias("first"))
     if least > 1:
         return _top(known, least, most)
-    few = known.agg((F.count("*") < most // 2).alias("few"))
-    words = files.filter(F.coalesce("instrument", F.lit("")) == "").select("idx", F.posexplode(text.words(text.stem(F.col("name")))).alias("pos", "keyword"))
-    words = words.filter(text.names_instrument(F.col("keyword"))).join(known, "keyword", "left_anti")
-    late = words.groupBy("keyword").agg(F.lit(1).cast("long").alias("cnt"), F.min(F.struct(F.lit(1).alias("late"), "idx", "pos")).alias("first"))
-    late = late.crossJoin(F.broadcast(few)).filter("few").drop("few")  # one row
+    words = files.filter(F.coalesce("instrument", F.lit("")) == "").select(*own, "idx", F.posexplode(text.words(text.stem(F.col("name")))).alias("pos", "keyword"))
+    words = words.filter(text.names_instrument(F.col("keyword"))).join(known, [*own, "keyword"], "left_anti")
+    late = words.groupBy(*own, "keyword").agg(F.lit(1).cast("long").alias("cnt"), F.min(F.struct(F.lit(1).alias("late"), "idx", "pos")).alias("first"))
+    if own:
+        enough = known.groupBy(*own).agg(F.count("*").alias("_n")).filter(F.col("_n") >= most // 2)
+        late = late.join(enough.select(*own), own, "left_anti")
+    else:
+        few = known.agg((F.count("*") < most // 2).alias("few"))
+        late = late.crossJoin(F.broadcast(few)).filter("few").drop("few")  # one row
     return _top(known.unionByName(late), least, most)
 
 
@@ -107,11 +116,12 @@ def chosen(name: Column, instrument: Column, keywords: list[str]) -> Column:
 
 
 def keyword_by_table(files: DataFrame, keywords: DataFrame) -> DataFrame:
-    """idx and the first keyword (word, ord) in each file's stem; the keyword list is small by contract (a form's choices)."""
+    """idx (and path) and the first keyword (word, ord) in each file's stem; the keyword list is small by contract (a form's choices)."""
+    own = _chart(files)
     listed = keywords.agg(F.sort_array(F.collect_list(F.struct("ord", "word"))).alias("listed"))
-    met = files.select("idx", F.lower(text.stem(F.col("name"))).alias("stem")).crossJoin(F.broadcast(listed))
+    met = files.select(*own, "idx", F.lower(text.stem(F.col("name"))).alias("stem")).crossJoin(F.broadcast(listed))
     hit = F.get(F.filter("listed", lambda k: F.col("stem").contains(F.lower(k["word"]))), 0)["word"]
-    return met.select("idx", hit.alias("keyword")).filter(F.col("keyword").isNotNull())
+    return met.select(*own, "idx", hit.alias("keyword")).filter(F.col("keyword").isNotNull())
 
 
 def without(files: DataFrame, removed: DataFrame, key: str = "idx") -> DataFrame:

@@ -140,14 +140,14 @@ def words(stem: str) -> str:
 
 COUNTED = (
     STEMS
-    + f""", split AS (SELECT idx, {words('stem')} AS ws FROM stems),
-found AS (SELECT idx, unnest(ws) AS shown, generate_subscripts(ws, 1) AS pos FROM split),
+    + f""", split AS (SELECT path, idx, {words('stem')} AS ws FROM stems),
+found AS (SELECT path, idx, unnest(ws) AS shown, generate_subscripts(ws, 1) AS pos FROM split),
 counted AS (
-  SELECT lower(shown) AS word, arg_min(shown, idx * 1000 + pos) AS shown, count(*) AS cnt, min(idx * 1000 + pos) AS first FROM found
-  WHERE length(shown) BETWEEN 3 AND 20 AND lower(shown) NOT IN ({', '.join(repr(x) for x in NOT_WORDS.split())}) GROUP BY lower(shown) HAVING count(*) >= 3),
+  SELECT path, lower(shown) AS word, arg_min(shown, idx * 1000 + pos) AS shown, count(*) AS cnt, min(idx * 1000 + pos) AS first FROM found
+  WHERE length(shown) BETWEEN 3 AND 20 AND lower(shown) NOT IN ({', '.join(repr(x) for x in NOT_WORDS.split())}) GROUP BY path, lower(shown) HAVING count(*) >= 3),
 matched AS (
-  SELECT f.idx, c.shown, row_number() OVER (PARTITION BY f.idx ORDER BY c.cnt DESC, c.first) AS rn FROM stems f JOIN counted c ON contains(lower(f.stem), c.word)),
-instruments AS (SELECT f.idx, coalesce(m.shown, '') AS instrument FROM files f LEFT JOIN matched m ON f.idx = m.idx AND m.rn = 1)"""
+  SELECT f.path, f.idx, c.shown, row_number() OVER (PARTITION BY f.path, f.idx ORDER BY c.cnt DESC, c.first) AS rn FROM stems f JOIN counted c ON f.path = c.path AND contains(lower(f.stem), c.word)),
+instruments AS (SELECT f.path, f.idx, coalesce(m.shown, '') AS instrument FROM files f LEFT JOIN matched m ON f.path = m.path AND f.idx = m.idx AND m.rn = 1)"""
 )
 POINTS = """points AS (
   SELECT dayofyear(o_orderdate) / 1000.0::DOUBLE AS threshold, dayofyear(o_orderdate) * 11 - 300 + count(*) % 7 AS file_count FROM orders GROUP BY dayofyear(o_orderdate))"""
@@ -274,17 +274,17 @@ p AS (SELECT a.path, a.idx AS num_a, b.idx AS num_b, greatest(-1, least(1, list_
 SELECT path, num_a, num_b, round(r, 6) AS r, 'correlation' AS how FROM p WHERE r >= 0.3""",
     "filename_tokens": rf"""WITH t AS (SELECT p_partkey, regexp_replace(replace(p_name, ' ', '-') || p_partkey || '_v2.(' || p_brand || ') 99.wav', '\.[^.]*$', '') AS stem FROM part)
 SELECT p_partkey, array_to_string({words('stem')}, '|') AS words FROM t""",
-    "word_counts_having": f"WITH {COUNTED} SELECT word, shown, cnt FROM counted",
-    "prefix_facets_topk": rf"""WITH {STEMS}, p AS (SELECT idx, list_filter(string_split_regex(stem, '[_\- ]'), lambda x: x <> '')[1] AS part FROM stems),
-c AS (SELECT arg_min(part, idx) AS keyword, count(*) AS cnt, min(idx) AS first FROM p WHERE length(part) >= 3 GROUP BY lower(part) HAVING count(*) >= 2)
-SELECT keyword, cnt, TRUE AS is_selected FROM c ORDER BY cnt DESC, first LIMIT 8""",
-    "instrument_best_match": f"WITH {COUNTED} SELECT idx, instrument FROM instruments",
-    "instrument_facets": f"""WITH {COUNTED}, c AS (SELECT instrument AS keyword, count(*) AS cnt, min(idx) AS first FROM instruments WHERE length(instrument) >= 3 GROUP BY 1 HAVING count(*) >= 2)
-SELECT keyword, cnt FROM c ORDER BY cnt DESC, first LIMIT 8""",
+    "word_counts_having": f"WITH {COUNTED} SELECT path, word, shown, cnt FROM counted",
+    "prefix_facets_topk": rf"""WITH {STEMS}, p AS (SELECT path, idx, list_filter(string_split_regex(stem, '[_\- ]'), lambda x: x <> '')[1] AS part FROM stems),
+c AS (SELECT path, arg_min(part, idx) AS keyword, count(*) AS cnt, min(idx) AS first FROM p WHERE length(part) >= 3 GROUP BY path, lower(part) HAVING count(*) >= 2)
+SELECT path, keyword, cnt, TRUE AS is_selected FROM c QUALIFY row_number() OVER (PARTITION BY path ORDER BY cnt DESC, first) <= 8""",
+    "instrument_best_match": f"WITH {COUNTED} SELECT path, idx, instrument FROM instruments",
+    "instrument_facets": f"""WITH {COUNTED}, c AS (SELECT path, instrument AS keyword, count(*) AS cnt, min(idx) AS first FROM instruments WHERE length(instrument) >= 3 GROUP BY ALL HAVING count(*) >= 2)
+SELECT path, keyword, cnt FROM c QUALIFY row_number() OVER (PARTITION BY path ORDER BY cnt DESC, first) <= 8""",
     "text_and_set_filter": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e') AND lower(p_brand) IN ('brand#1', 'brand#23', 'brand#4')",
     "chip_filter": f"""WITH {STEMS}, t AS (SELECT *, CASE WHEN idx % 3 = 0 THEN string_split_regex(name, '[/_]')[2] ELSE '' END AS instrument FROM stems)
 SELECT idx FROM t WHERE CASE WHEN instrument <> '' THEN lower(instrument) IN ('widget', 'gear', 'hot') ELSE contains(lower(stem), 'widget') OR contains(lower(stem), 'gear') OR contains(lower(stem), 'hot') END""",
-    "keyword_first_match": f"WITH {STEMS}, k AS (SELECT idx, {KEYWORD} AS keyword FROM stems) SELECT * FROM k WHERE keyword IS NOT NULL",
+    "keyword_first_match": f"WITH {STEMS}, k AS (SELECT path, idx, {KEYWORD} AS keyword FROM stems) SELECT * FROM k WHERE keyword IS NOT NULL",
     "name_lookup": f"WITH {FILES} SELECT idx, CASE WHEN idx % 2 = 0 THEN 'i' || (idx % 9) ELSE '' END AS instrument FROM files",
     "reduction_stats": f"""WITH {FILES}, {REPLACES}, t AS (SELECT f.path, f.num_int, coalesce(r.replace_to, 0) AS t FROM files f LEFT JOIN replaces r USING (path, num_int) WHERE f.num_int BETWEEN 10 AND 3000)
 SELECT path, count(*) AS total, count(*) FILTER (t = num_int) AS unique_files, count(*) FILTER (t > 0 AND t <> num_int) AS replaced, count(*) FILTER (t <= 0 AND t <> num_int) AS not_processed,

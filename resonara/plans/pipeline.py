@@ -13,8 +13,8 @@ from resonara.operators.ranking import checkpointed
 from resonara.sources import audio, charts, sinks
 
 
-def load_chart(spark: SparkSession, chart: str, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Files of a chart with sounds and instruments, and the names it has no file for."""
+def load_chart(spark: SparkSession, chart: str | list[str], folder: str) -> tuple[DataFrame, DataFrame]:
+    """Files of a chart, or of several, with instruments, and the names that have no file."""
     listing = spark.read.format("binaryFile").load(folder).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "length")
     lines = charts.read(spark, chart).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
     files, missing = charts.file_list(charts.definitions(lines), listing)
@@ -23,7 +23,7 @@ def load_chart(spark: SparkSession, chart: str, folder: str) -> tuple[DataFrame,
 
 def with_sounds(files: DataFrame, sounds: DataFrame) -> DataFrame:
     """Files with what clustering needs; ``sounds`` has path and sound."""
-    made = files.join(sounds.select(F.col("path").alias("name"), "sound"), "name", "left")
+    made = files.join(sounds.select(F.col("path").alias("name"), "sound"), "name", "left")  # a file that several charts define is decoded once
     return made.withColumns({"rms": waves.rms(F.col("sound.samples")), "fingerprint": F.lit("")})
 
 
@@ -71,18 +71,33 @@ def reduce_chart(lines: DataFrame, files: DataFrame, threshold: float, start: in
     return Reduction(rewrite.rewritten(lines, mapping, numbered), counted, rewrite.unused_files(files, stay))
 
 
-def reduce_charts(lines: DataFrame, files: DataFrame, threshold: float, mode: str = "production") -> DataFrame:
+def reduce_charts(lines: DataFrame, files: DataFrame, threshold: float | str, mode: str = "production") -> DataFrame:
     """path, line_no and line of any number of charts, whole, in one plan; each as ``reduce_chart`` gives it.
 
-    Files meet inside their chart only; the last identifier of the space isn't processed.
+    Files meet inside their chart only, within its processing range.  A
+    threshold given as a name is a column of ``files``.
     """
-    first, last = 1, ids.PROCESSED_TO
-    found = cluster.assign(blocking.blocked(files, first, last), threshold, mode)
+    bounds = blocking.processing_range(files, 1, 0)
+    inside = files.join(bounds, "path").filter("num_int between start_point and end_point").drop("start_point", "end_point")
+    found = cluster.assign(blocking.blocked(inside), threshold, mode)
     replaces = checkpointed(found.groupBy("path", "num_int").agg(F.min("replace_to").alias("replace_to")))
+    first, last = 1, ids.PROCESSED_TO
     numbered = checkpointed(rewrite.renumbered(rewrite.kept(files, replaces, first, last)))
     return rewrite.rewritten(lines, rewrite.final_map(files, replaces, numbered, first, last), numbered)
 
 
+def run_charts(spark: SparkSession, paths: str | list[str], folder: str, out: str, threshold: float | None = None) -> list[str]:
+    """Load charts and their sounds, reduce each (at its own best base-36 threshold if none is given) and write them below ``out``."""
+    files, _ = load_chart(spark, paths, folder)
+    sounds = audio.load(spark, folder).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
+    ready = checkpointed(with_sounds(files, sounds))
+    if threshold is None:
+        best = find_optimum(ready)[1].select("path", F.col("base36.threshold").alias("threshold"))
+        ready = ready.join(best, "path", "left").fillna({"threshold": sweep.NO_THRESHOLD})
+    lines = charts.read(spark, paths).withColumn("path", F.regexp_replace("path", "^file:(//)?", ""))
+    return sinks.write_charts(reduce_charts(lines, ready, "threshold" if threshold is None else threshold), out)
+
+
 def run(spark: SparkSession, chart: str, folder: str, out: str, threshold: float | None = None, delete: bool = False) -> Reduction:
     """Load a chart and its sounds, reduce it (at its best base-36 threshold if none is given) and write it."""
     files, _ = load_chart(spark, chart, folder)

@@ -275,7 +275,7 @@ def filename_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_counts_having(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.word_counts(tables.files(spark, sf_dir)).select("word", "shown", "cnt")
+    return facets.word_counts(tables.files(spark, sf_dir)).select("path", "word", "shown", "cnt")
 
 
 def prefix_facets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +283,7 @@ def prefix_facets_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instrument_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facets.detect(tables.files(spark, sf_dir)).select("idx", "instrument")
+    return facets.detect(tables.files(spark, sf_dir)).select("path", "idx", "instrument")
 
 
 def instrument_facets(spark: SparkSession, sf_dir: str) -> DataFrame:

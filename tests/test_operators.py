@@ -335,6 +335,37 @@ def test_long_sounds_normalise_in_linear_time(spark):
     assert took[1] < 40
 
 
+def test_many_charts_in_one_run(spark, tmp_path):
+    tone = [math.sin(k / 5) / 2 for k in range(400)]
+    sounds = {"a.wav": tone, "b.wav": tone, "c.wav": [math.sin(k / 3) / 2 for k in range(400)], "d.wav": [math.sin(k / 7) / 2 for k in range(400)]}
+    for name, x in sounds.items():
+        (tmp_path / name).write_bytes(wave_bytes(x))
+    texts = {"one.bms": "#WAV01 a.wav\r\n#WAV02 b.wav\r\n#WAV03 c.wav\r\n#00111:010203\r\n", "two.bms": "#TITLE x\r\n#WAV01 c.wav\r\n#WAV02 a.wav\r\n#WAV03 d.wav\r\n#00111:030201\r\n", "none.bms": "#TITLE y\r\n"}
+    (tmp_path / "out").mkdir()
+    (tmp_path / "alone").mkdir()
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode("cp932"))
+    paths = [str(tmp_path / name) for name in texts]
+    written = pipeline.run_charts(spark, paths, str(tmp_path), str(tmp_path / "out"), 0.98)
+    assert sorted(os.path.basename(x) for x in written) == ["none_optimized.bms", "one_optimized.bms", "two_optimized.bms"]
+    got = {os.path.basename(x): open(x, "rb").read().decode("cp932") for x in written}
+    assert got["one_optimized.bms"].split() == ["#WAV01", "a.wav", "#WAV02", "c.wav", "#00111:010102"] or "010102" in got["one_optimized.bms"]
+    for name in ("one", "two"):
+        pipeline.run(spark, str(tmp_path / f"{name}.bms"), str(tmp_path), str(tmp_path / "alone" / f"{name}.bms"), 0.98)
+        assert (tmp_path / "alone" / f"{name}.bms").read_bytes().decode("cp932") == got[f"{name}_optimized.bms"]
+    assert got["none_optimized.bms"] == texts["none.bms"]
+    assert len(pipeline.run_charts(spark, paths, str(tmp_path), str(tmp_path / "out"))) == 3
+
+
+def test_words_of_charts_stay_apart(spark):
+    rows = [("a", k, f"kick_{k}.wav") for k in range(3)] + [("b", 0, "kick_9.wav"), ("b", 1, "snare.wav")]
+    frame = spark.createDataFrame(rows, "path string, idx long, name string")
+    got = {(r["path"], r["idx"]): r["instrument"] for r in facets.detect(frame).collect()}
+    assert got == {("a", 0): "kick", ("a", 1): "kick", ("a", 2): "kick", ("b", 0): "", ("b", 1): ""}
+    tops = facets.prefix_facets(frame, least=1).collect()
+    assert {(r["path"], r["keyword"], r["cnt"]) for r in tops} == {("a", "kick", 3), ("b", "kick", 1), ("b", "snare", 1)}
+
+
 # words
 
 
