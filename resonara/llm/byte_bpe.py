@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,9 @@ class Codec:
         self.lengths = np.zeros(max(self.tokens) + 1, np.int64)
         for i, t in self.tokens.items():
             self.lengths[i] = len(t)
+        #: Ids of remembered segments, and of the last call's that are too long to stay.
         self._known: dict[bytes, bytes] = {}
+        self._passing: list[bytes] = []
         self._segmented = pattern in SEGMENTED
 
     def _pieces(self, text: bytes) -> Iterator[list[bytes]]:
@@ -110,19 +113,14 @@ class Codec:
             yield _AFTER_PRINT.split(piece) if strict else _SEGMENT.findall(piece)
             at = end
 
-    def _learn(self, segments: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Ids, as little-endian 32-bit numbers, of what isn't remembered; for segments too long to remember, the only copy."""
-        known = self._known
-        missing = [s for s in segments if s not in known]
-        once: dict[bytes, bytes] = {}
+    def _learn(self, missing: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Segments with their ids as little-endian 32-bit numbers."""
         for k in range(0, len(missing), 2048):
             part = missing[k : k + 2048]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast([s.decode() for s in part], add_special_tokens=False)]
-            packed = np.array([i for ids in coded for i in ids], "<u4").tobytes()
-            at = 0
-            for s, ids in zip(part, coded, strict=True):
-                (known if len(s) <= CACHE_BYTES else once)[s] = packed[at : (at := at + 4 * len(ids))]
-        return once
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(list(map(bytes.decode, part)), add_special_tokens=False)]
+            ends = [4 * n for n in accumulate(map(len, coded))]
+            packed = np.fromiter(chain.from_iterable(coded), "<u4", ends[-1] // 4).tobytes()
+            yield from zip(part, [packed[a:z] for a, z in pairwise([0, *ends])], strict=True)
 
     def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -137,14 +135,20 @@ class Codec:
             else:
                 cut = [[s for piece in self._pieces(t) for s in piece] for t in texts[k:n]]
                 ids = self._ids_of({s for segments in cut for s in segments})
-                yield from (b"".join(map(ids, segments)) for segments in cut)
+                yield from [b"".join(map(ids, segments)) for segments in cut]
             k = n
 
     def _ids_of(self, distinct: set[bytes]):
+        """A function from these segments to their ids, good until the next call."""
         if len(self._known) + len(distinct) > CACHE_ROWS:  # keep what is in use
             self._known = {s: self._known[s] for s in distinct & self._known.keys()}
-        once, known = self._learn(distinct), self._known
-        return (lambda s: known[s] if s in known else once[s]) if once else known.__getitem__
+        known = self._known
+        for s in self._passing:
+            known.pop(s, None)
+        missing = list(distinct.difference(known))
+        known.update(self._learn(missing))
+        self._passing = [s for s in missing if len(s) > CACHE_BYTES]
+        return known.__getitem__
 
     def _ids(self, segments: list[bytes]) -> Iterator[bytes]:
         return map(self._ids_of(set(segments)), segments)
