@@ -58,6 +58,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def split_join(rows: DataFrame, sums: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``sums``, an aggregate by ``keys`` (the first a long).
+
+    An aggregate joined on its own keys stays in their partitioning, and a
+    partition that holds a hot key couldn't be split.  With one more condition,
+    on part of the first key, both sides are dealt anew, and adaptive execution
+    may split and copy what is too large.
+    """
+    taken = [*rows.columns, *sums.columns]
+    other = {k: free_name(f"_{k}", taken) for k in keys}
+    part = lambda c: F.col(c).bitwiseAND(F.lit(63))
+    met = F.lit(True)
+    for k in keys:
+        met = met & (F.col(k) == F.col(other[k]))
+    met = met & (part(keys[0]) == part(other[keys[0]]))
+    return rows.join(sums.withColumnsRenamed(other), met, how).drop(*other.values())
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, with underscores added until no column has it in any case."""
     low = {x.lower() for x in taken}

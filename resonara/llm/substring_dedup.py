@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resonara.llm.common import mixed, small_batches, utf8
+from resonara.llm.common import mixed, small_batches, split_join, utf8
 
 WINDOW = 16
 MIN_BYTES, MAX_BYTES = 12, 128
@@ -114,7 +114,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", leas
     one = chunks(docs, id_column, text).filter("id is not null").select("id", "text_hash", F.explode("chunks").alias("c")).select("id", "text_hash", "c.*")
     known = one.groupBy("d1", "d2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     known = known.filter(F.col("first_id") < F.col("last_id")).drop("last_id")
-    again = one.join(known, ["d1", "d2"]).filter(F.col("id") > F.col("first_id"))
+    again = split_join(one, known, ["d1", "d2"]).filter(F.col("id") > F.col("first_id"))
     found = again.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("place", "first_id"))).alias("chunks"))
     kind = docs.schema[id_column].dataType.simpleString()
 
