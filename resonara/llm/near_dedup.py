@@ -25,8 +25,8 @@ Pairs are dropped before verification only if their sizes rule a link out or
 their one-bit sketches differ in more than SKETCH_BITS of 64 places (a link
 does with probability below 1e-6; ``sketch_bits=None`` drops none so).  What is left is verified on full sets made
 from the texts.  Keys, links and components stay distributed: hot keys have
-map-side sums, joins on them are split by adaptive execution, and no step emits
-all pairs of a group.  Lineage is cut with checkpoints in the shared folder.
+map-side sums, joins with these deal both sides anew so that adaptive execution
+can split hot keys, and no step emits all pairs of a group.  Lineage is cut with checkpoints in the shared folder.
 
 Defined results: texts without words have an empty set, link with nothing and
 are their own component; a null id is never the lowest of a component that has
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resonara.llm.common import WordHashes, checkpointed, free_name, mixed, shingle_set, small_batches, utf8
+from resonara.llm.common import WordHashes, checkpointed, free_name, mixed, shingle_set, small_batches, split_join, utf8
 
 WIDTH = 5
 THRESHOLD = (85, 100)
@@ -130,7 +130,7 @@ def memberships(nodes: DataFrame) -> DataFrame:
     """(key, node) of every table key whose two half keys are both shared with another node."""
     half = nodes.select("node", F.posexplode("keys").alias("pos", "half")).withColumn("half", F.xxhash64("pos", "half"))
     shared = half.groupBy("half").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("half")
-    own = half.join(shared, "half").groupBy("node").agg(
+    own = split_join(half, shared, ["half"]).groupBy("node").agg(
         F.collect_list(F.when(F.col("pos") < HALF_KEYS, F.struct("pos", "half"))).alias("first"),
         F.collect_list(F.when(F.col("pos") >= HALF_KEYS, F.struct("pos", "half"))).alias("second"),
     )
@@ -205,7 +205,7 @@ def components(links: DataFrame) -> DataFrame:
         if not small:
             out = out.union(out.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = out.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        met = out.join(low, "u")
+        met = split_join(out, low, ["u"])
         moved = met.select(F.col("v").alias("a"), F.col("m").alias("b")) if small else met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         own = low.select(F.col("u").alias("a"), F.col("m").alias("b")) if small else None
         return (moved.union(own) if small else moved).filter("a <> b").distinct()
@@ -229,7 +229,7 @@ def _crossing(spread: DataFrame, few: int | None, alike: Column) -> tuple[DataFr
     sums = spread.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "component")).alias("largest"))
     sums = sums.filter(F.col("size") > F.col("largest.c")).select("key", F.col("largest.component").alias("main"), (F.col("size") - F.col("largest.c")).alias("outside"))
     near = sums if few is None else sums.filter(F.col("outside") <= few)
-    a = spread.join(near, "key").filter("component <> main").alias("a")
+    a = split_join(spread, near, ["key"]).filter("component <> main").alias("a")
     b = spread.alias("b")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("a.main")) | (F.col("a.node") < F.col("b.node")))
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & alike)
@@ -261,7 +261,7 @@ def _prefix_buckets(dense: DataFrame, docs: DataFrame, nodes: DataFrame, id_colu
     frequent = one.groupBy("key").agg(F.count("*").alias("df"))
     by_rank = Window.partitionBy("node").orderBy("df", "key")
     prefix = F.col("n") - F.ceil(F.col("n") * part / whole) + 1
-    ranked = one.join(frequent, "key").withColumn("rank", F.row_number().over(by_rank)).filter((F.col("rank") <= prefix) & (F.col("df") > 1))
+    ranked = split_join(one, frequent, ["key"]).withColumn("rank", F.row_number().over(by_rank)).filter((F.col("rank") <= prefix) & (F.col("df") > 1))
     earlier = F.collect_list("key").over(by_rank.rowsBetween(-EARLIER, -1))
     return ranked.select("key", "node", (F.col("n") - F.col("rank")).alias("after"), F.row_number().over(by_rank).alias("nth"), earlier.alias("earlier"))
 
@@ -304,7 +304,7 @@ def _clustered(docs: DataFrame, id_column: str, text: str, width: int, threshold
     rest = found.filter("size > 2 and node <> leader").select("key", "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = checkpointed(rest.join(facts, "node"))
     pairs, many = _crossing(rest, FEW, _alike("a", "b", threshold, sketch_bits))
-    dense = checkpointed(rest.join(many.select("key"), "key", "left_semi").select("node").distinct())
+    dense = checkpointed(split_join(rest, many.select("key"), ["key"], "left_semi").select("node").distinct())
     if not dense.isEmpty():
         by_prefix = _prefix_buckets(dense, docs, nodes, id_column, text, width, threshold)
         spread = checkpointed(by_prefix.join(rest.select("node", "component", "n", "bits").distinct(), "node"))
