@@ -6,6 +6,12 @@ stage returns as Parquet below the shared checkpoint folder and reads it again,
 so a lost executor never reaches back beyond the stage it runs.  Only the last
 stage's files stay.  Checkpoints inside stages go when their tables do, if the
 cluster sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+
+Defined results, as the operators have them: a null or empty text fails the
+quality rules; rows equal in id and text count once, rows of one id with
+different texts stay apart, and a null id is never the one that stands for a
+group with another; other columns may be null or have any name and pass as
+they are; an empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
