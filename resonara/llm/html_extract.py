@@ -2,30 +2,32 @@
 
 Pages are read into blocks: runs of text between block-level tags, each with
 the region it stands in.  Where a page marks its article (``article``,
-``main`` or the like), the blocks inside it are the main text, without the
-navigation, forms, notices, adverts and comments inside.  Where it doesn't,
-markup leaves blocks open, and the text repeated between pages of the host
-decides: token streams of its pages are concatenated, a suffix array over them
-finds runs of at least MIN_REPEAT tokens that occur on several pages, two at
-least and HOST_SHARE of the host's, and blocks that such runs cover by more
-than half go.  Others stay whole, so that
-a phrase that another page happens to have doesn't vanish from a sentence.
+``main`` or the like), the blocks inside it are candidates, without the
+navigation, forms, notices, adverts and comments inside; where it doesn't, the
+blocks that markup leaves open are.  Then, on all pages, the text repeated
+between pages of the host decides: token streams of its pages are concatenated,
+a suffix array over them finds runs of at least MIN_REPEAT tokens that occur on
+several pages, and candidates that such runs cover by more than half go.
+Others stay whole, so that a phrase that another page happens to have doesn't
+vanish from a sentence.  Marked and open pages of a host are compared apart.
+Among open pages a repeat stands on two at least and on HOST_SHARE of the
+host's.  Articles quote the same lines (see README for figures), so inside
+marked ones a repeat has to stand on MARKED_PAGES at least and on more than
+MARKED_SHARE of the host's: a notice or a line of links that the site puts into
+its articles.
 
 Pages that are copies or near copies of each other (see ``near_dedup``) are one
 page here, so an article doesn't vanish because another page has it too.  A
 page of which nothing would be left keeps its blocks: all it says stands
-elsewhere, so repeats can't tell its article from the rest.
-
-Removal of repeats isn't applied inside marked articles: copies of an article
-on one host are repeats of each other, and articles quote the same lines (see
-README for figures).  A form is left out, but one that holds the article, or
-most of an unmarked page's text, is the page.
+elsewhere, so repeats can't tell its article from the rest.  A form is left
+out, but one that holds the article, or most of an unmarked page's text, is the
+page.
 
 Hosts are cut into groups of at most HOST_PAGES pages by hash of the page, so
-that no suffix array grows with the corpus.  Repeats meet across the groups of
-a host as windows of MIN_REPEAT tokens: the pages of a window (copies are one)
-are counted by host, and each page gets back those that stand on enough.  A
-run is repeated exactly if its windows are.
+that no suffix array grows with the corpus.  A run of MIN_REPEAT tokens (a
+window) that stands on T pages of a host of G groups stands on T / G pages of
+one group at least; windows that do in some group are counted again over the
+whole host (copies are one), so none is missed and none kept in error.
 
 Defined results: null or empty html gives empty text; unclosed and misplaced
 tags end where the enclosing block does; undecodable references stay; pages
@@ -40,19 +42,20 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resonara.llm import near_dedup
-from resonara.llm.common import checkpointed, small_batches, split_join, utf8, window_hashes
+from resonara.llm.common import checkpointed, small_batches, utf8, window_hashes
 
 MIN_REPEAT = 5
 HOST_PAGES = 256
-#: Share of a host's pages, copies counted once, on which a repeat has to stand.
+#: Share of a host's open pages, copies counted once, on which a repeat has to stand.
 HOST_SHARE = 0.02
+#: The pages, and the share of the host's that more have to have it, from which a repeat inside marked articles isn't theirs.
+MARKED_PAGES, MARKED_SHARE = 20, 0.5
 
 # HTML elements by what they mean here.
 BLOCKS = frozenset(
@@ -230,38 +233,51 @@ def common_prefixes(stream: np.ndarray, order: np.ndarray, most: int) -> np.ndar
     return shared
 
 
-def repeated(pages: list[list[int]], least: int = MIN_REPEAT, like: list[int] | None = None, least_pages: int = 2) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a run of at least ``least`` tokens, each ``least`` of which stand on ``least_pages`` pages.
-
-    Equal pages, and pages with an equal number in ``like``, are one.
-    """
+def _repeats(pages: list[list[int]], least: int, like: list[int] | None, least_pages: int) -> tuple[np.ndarray, np.ndarray, list[int], list[int]]:
+    """Streams of the distinct pages as one, where in it runs of ``least`` tokens of enough pages begin, the ends of its pages, and each page's number in it."""
     distinct: dict[tuple, int] = {}
-    marks = []
+    marks, numbers = [], []
     for k, p in enumerate(pages):
         if distinct.setdefault(tuple(p), len(distinct)) == len(marks):
             marks.append(len(marks) if like is None else like[k])
-    own = list(distinct)
+        numbers.append(distinct[tuple(p)])
     # A separator of its own ends each page, so that no run crosses pages.
-    parts = [np.array([*p, 0], np.int64) for p in own]
+    parts = [np.array([*p, 0], np.int64) for p in distinct]
     for k, p in enumerate(parts):
         p[-1] = -1 - k
     stream = np.concatenate(parts) if parts else np.empty(0, np.int64)
     page = np.repeat(np.unique(marks, return_inverse=True)[1].astype(np.int64), [len(p) for p in parts])
     order = suffix_array(stream)
     shared = common_prefixes(stream, order, least)
-    covered = np.zeros(len(stream) + 1, np.int64)
     # Neighbours in order that share a long enough prefix form a group; it counts if it has suffixes of enough pages.
     group = np.cumsum(shared < least)
+    starts = order
     if len(order):
         pairs = np.unique(group * np.int64(len(parts)) + page[order]) // len(parts)
-        enough = np.bincount(pairs, minlength=group[-1] + 1) >= least_pages
-        starts = order[enough[group]]
-        np.add.at(covered, starts, 1)
-        np.add.at(covered, starts + least, -1)
+        starts = order[(np.bincount(pairs, minlength=group[-1] + 1) >= least_pages)[group]]
+    return stream, starts, np.cumsum([len(p) for p in parts]).tolist(), numbers
+
+
+def repeated(pages: list[list[int]], least: int = MIN_REPEAT, like: list[int] | None = None, least_pages: int = 2) -> list[np.ndarray]:
+    """For each page's tokens, which lie in a run of at least ``least`` tokens, each ``least`` of which stand on ``least_pages`` pages.
+
+    Equal pages, and pages with an equal number in ``like``, are one.
+    """
+    stream, starts, ends, numbers = _repeats(pages, least, like, least_pages)
+    covered = np.zeros(len(stream) + 1, np.int64)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + least, -1)
     inside = np.cumsum(covered[:-1]) > 0
-    ends = np.cumsum([len(p) for p in parts])
-    by_page = [inside[e - len(p) : e - 1] for p, e in zip(parts, ends, strict=True)]
-    return [by_page[distinct[tuple(p)]] for p in pages]
+    return [inside[ends[k] - len(p) - 1 : ends[k] - 1] for k, p in zip(numbers, pages, strict=True)]
+
+
+def repeated_windows(pages: list[list[int]], least: int = MIN_REPEAT, like: list[int] | None = None, least_pages: int = 2) -> np.ndarray:
+    """Hashes of the runs of ``least`` tokens that stand on ``least_pages`` of the pages, counted as in ``repeated``."""
+    stream, starts, ends, _ = _repeats(pages, least, like, least_pages)
+    whole = np.ones(len(stream) + 1, bool)
+    for end in ends:  # a run that holds a page's separator is of one page alone
+        whole[max(0, end - least) : end] = False
+    return np.unique(windows_of(stream, least)[starts[whole[starts]]]) if len(stream) >= least else np.empty(0, np.int64)
 
 
 def stream_of(page: list[str]) -> list[int]:
@@ -274,90 +290,134 @@ def digest_of(stream: list[int]) -> int:
     return xxhash.xxh3_64_intdigest(np.array(stream, np.int64).tobytes()) - (1 << 63)
 
 
-def windows_of(stream: list[int], least: int) -> np.ndarray:
+def windows_of(stream: list[int] | np.ndarray, least: int) -> np.ndarray:
     """A hash, as a long, of the ``least`` tokens that begin at each place."""
-    return window_hashes(np.array(stream, np.uint64), least).view(np.int64)
+    return window_hashes(np.array(stream, np.int64).view(np.uint64), least).view(np.int64)
+
+
+def _without(blocks: list[list[str]], inside: np.ndarray) -> list[str]:
+    """The blocks but those of whose tokens more than half are ``inside``; all of them if none would stay."""
+    at, kept = 0, []
+    for b in blocks:
+        hits = int(inside[at : at + len(b)].sum())
+        at += len(b)
+        if 2 * hits <= len(b) and b:
+            kept.append(" ".join(b))
+    return kept or [" ".join(b) for b in blocks]
 
 
-def without_repeats(pages: list[list[str]], least: int = MIN_REPEAT, across: list[list[int]] | None = None, like: list[int] | None = None, least_pages: int = 2) -> list[list[str]]:
+def without_repeats(pages: list[list[str]], least: int = MIN_REPEAT, like: list[int] | None = None, least_pages: int = 2) -> list[list[str]]:
     """The blocks of each page but those of whose tokens more than half lie in repeated runs; all of them if none would stay.
 
-    ``across`` has the windows of each page that enough pages have, in this
-    group or another; ``like`` numbers the pages, near copies alike.
+    ``like`` numbers the pages, near copies alike.
     """
-    split = [[b.split() for b in page] for page in pages]
-    streams = [stream_of(page) for page in pages]
-    out = []
-    for k, (page, inside) in enumerate(zip(split, repeated(streams, least, like, least_pages), strict=True)):
-        if across is not None and len(across[k]):
-            for at in np.flatnonzero(np.isin(windows_of(streams[k], least), np.asarray(across[k], np.int64))):
-                inside[at : at + least] = True
-        at, kept = 0, []
-        for b in page:
-            hits = int(inside[at : at + len(b)].sum())
-            at += len(b)
-            if 2 * hits <= len(b) and b:
-                kept.append(" ".join(b))
-        out.append(kept or [" ".join(b) for b in page])
-    return out
+    found = repeated([stream_of(page) for page in pages], least, like, least_pages)
+    return [_without([b.split() for b in page], inside) for page, inside in zip(pages, found, strict=True)]
 
 
-def read_page(page: str) -> tuple[str | None, list[str]]:
-    """The text of a page whose markup settles it, else None; and its open blocks if it doesn't."""
+def without_windows(text: str, windows: np.ndarray, least: int = MIN_REPEAT) -> str:
+    """A page's text without the blocks of whose tokens more than half lie in ``windows``."""
+    page = text.split("\n\n")
+    stream = stream_of(page)
+    hits = np.flatnonzero(np.isin(windows_of(stream, least), windows))
+    if not len(hits):
+        return text
+    inside = np.zeros(len(stream), bool)
+    for k in range(least):
+        inside[hits + k] = True
+    return "\n\n".join(_without([b.split() for b in page], inside))
+
+
+def candidates(page: str) -> tuple[bool, list[str]]:
+    """Whether a page marks its article, and the blocks that markup leaves to choose from: the article's, or the open ones."""
     found = blocks(page)
     by_region = {k: [t for region, t in found if region == k] for k in (OPEN_REGION, ARTICLE_REGION, FORM_REGION)}
     if by_region[ARTICLE_REGION]:
-        return "\n\n".join(by_region[ARTICLE_REGION]), []
+        return True, by_region[ARTICLE_REGION]
     size = {k: sum(len(t.split()) for t in texts) for k, texts in by_region.items()}
-    left = [t for _, t in found] if size[FORM_REGION] > size[OPEN_REGION] else by_region[OPEN_REGION]
+    return False, [t for _, t in found] if size[FORM_REGION] > size[OPEN_REGION] else by_region[OPEN_REGION]
+
+
+def read_page(page: str) -> tuple[str | None, list[str]]:
+    """One page without its host: the candidates of a page that marks its article as text, else None; and the open blocks if it doesn't."""
+    marked, left = candidates(page)
+    if marked:
+        return "\n\n".join(left), []
     return (None, left) if left else ("", [])
 
 
-def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page: str = "html", least: int = MIN_REPEAT, host_pages: int = HOST_PAGES, host_share: float = HOST_SHARE) -> DataFrame:
+def _met(rows: DataFrame, listed: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows``, which hold texts, joined with ``listed``, which is sent to them unless it is long."""
+    listed = checkpointed(listed)
+    return rows.join(F.broadcast(listed) if listed.count() <= near_dedup.BROADCAST_ROWS else listed, keys, how)
+
+
+def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page: str = "html", least: int = MIN_REPEAT, host_pages: int = HOST_PAGES, host_share: float = HOST_SHARE, marked_pages: int = MARKED_PAGES, marked_share: float = MARKED_SHARE) -> DataFrame:
     """id, url and main text of every page."""
     small_batches(pages.sparkSession)
-    pages = pages.select(id_column, url, page)
+    pages = pages.select(F.col(id_column).alias("id"), F.col(url).alias("url"), F.col(page).alias("html"))
     kinds = [pages.schema[k].dataType.simpleString() for k in range(2)]
-    schema = f"`{id_column}` {kinds[0]}, `{url}` {kinds[1]}, text string, host string, open_blocks array<string>, page long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [read_page(b.decode("utf-8", "replace")) for b in utf8(batch.column(2))]
-            hosts = [host_of(u) if t is None else None for u, (t, _) in zip(batch.column(1).to_pylist(), rows, strict=True)]
-            digests = [digest_of(stream_of(o)) if t is None else None for t, o in rows]
-            cells = [pa.array([t for t, _ in rows], pa.string()), pa.array(hosts, pa.string()), pa.array([o for _, o in rows], pa.list_(pa.string())), pa.array(digests, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], [id_column, url, "text", "host", "open_blocks", "page"])
-
-    found = pages.mapInArrow(read, schema)
-    # Settled pages are read again, which costs less than storing all texts; the blocks of open pages, needed several times, are stored.
-    settled = found.filter(F.col("text").isNotNull()).select(id_column, url, "text")
-    left = checkpointed(found.filter(F.col("text").isNull()).select(id_column, url, "host", "open_blocks", "page"))
+            rows = [candidates(b.decode("utf-8", "replace")) for b in utf8(batch.column(2))]
+            hosts = [host_of(u) for u in batch.column(1).to_pylist()]
+            digests = [digest_of(stream_of(left)) for _, left in rows]
+            cells = [pa.array(hosts, pa.string()), pa.array([m for m, _ in rows], pa.bool_()), pa.array(["\n\n".join(left) for _, left in rows], pa.string()), pa.array(digests, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["id", "url", "host", "marked", "text", "page"])
+
+    found = checkpointed(pages.mapInArrow(read, f"id {kinds[0]}, url {kinds[1]}, host string, marked boolean, text string, page long"))
+    result = lambda rows: rows.select(F.col("id").alias(id_column), F.col("url").alias(url), "text")
+    left = found.filter("text <> ''")
     if left.isEmpty():
-        return settled
-    texts = left.groupBy("page").agg(F.min(F.array_join("open_blocks", " ")).alias("open_text"))
-    copies = near_dedup.cluster(texts, "page", "open_text").select("page", F.col("component_id").alias("like"))
-    placed = left.join(copies, "page")
-    least_pages = F.greatest(F.lit(2), F.ceil(F.count_distinct("like") * host_share)).cast("int")
-    sizes = placed.groupBy("host").agg(F.ceil(F.count("*") / host_pages).alias("groups"), least_pages.alias("least_pages"))
-    grouped = checkpointed(placed.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64(id_column, "open_blocks"), F.col("groups"))))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return result(found)
+    # A page is alike itself; only the others are listed.
+    copies = near_dedup.cluster(left.select("page", "text"), "page", "text").select("page", F.col("component_id").alias("like")).filter("page <> like").distinct()
+    placed = _met(left, copies, ["page"], "left").withColumn("like", F.coalesce("like", "page"))
+    n_pages = F.count_distinct("like")
+    open_least = F.greatest(F.lit(2), F.ceil(n_pages * host_share))
+    marked_least = F.greatest(F.lit(marked_pages), F.floor(n_pages * marked_share) + 1)
+    least_pages = F.when(F.col("marked"), marked_least).otherwise(open_least).cast("int")
+    sizes = placed.groupBy("host", "marked").agg(F.ceil(F.count("*") / host_pages).alias("groups"), n_pages.alias("n_pages"), least_pages.alias("least_pages"))
+    # On fewer pages than a repeat has to stand on there is none.
+    sizes = sizes.filter("n_pages >= least_pages").drop("n_pages")
+    grouped = _met(placed, sizes, ["host", "marked"]).withColumn("part", F.pmod(F.xxhash64("id", "text"), F.col("groups")))
+
+    def by_group(group: pa.Table) -> pa.Table:
+        first = group.slice(0, 1).to_pylist()[0]
+        streams = [stream_of([t]) for t in group["text"].to_pylist()]
+        own = repeated_windows(streams, least, group["like"].to_pylist(), -(-first["least_pages"] // first["groups"]))
+        kinds = {"host": pa.string(), "marked": pa.bool_(), "groups": pa.int64(), "least_pages": pa.int32()}
+        return pa.table({**{k: pa.array([first[k]] * len(own), kind) for k, kind in kinds.items()}, "window": pa.array(own, pa.int64())})
+
+    grouped = grouped.select("host", "marked", "part", "groups", "least_pages", "like", "text").groupBy("host", "marked", "part")
+    near = checkpointed(grouped.applyInArrow(by_group, "host string, marked boolean, groups long, least_pages int, window long").distinct())
+    shared = near.filter("groups = 1").select("host", "marked", "window")
+    several = near.filter("groups > 1")
+    if not several.isEmpty():
+        of_host = several.groupBy("host", "marked", "least_pages").agg(F.collect_list("window").alias("windows"))
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = []
+                for text, windows in zip(batch.column(4).to_pylist(), batch.column(5), strict=True):
+                    mine = np.unique(windows_of(stream_of([text]), least))
+                    own.append(mine[np.isin(mine, windows.values.to_numpy())])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.list_(pa.int64()))], ["host", "marked", "least_pages", "like", "windows"])
+
+        asked = _met(placed.select("host", "marked", "like", "text"), of_host, ["host", "marked"]).select("host", "marked", "least_pages", "like", "text", "windows")
+        of_page = asked.mapInArrow(held, "host string, marked boolean, least_pages int, like long, windows array<long>")
+        of_page = of_page.select("host", "marked", "least_pages", "like", F.explode("windows").alias("window")).distinct()
+        counted = of_page.groupBy("host", "marked", "least_pages", "window").agg(F.count("*").alias("n_pages"))
+        shared = shared.union(counted.filter("n_pages >= least_pages").select("host", "marked", "window"))
+    shared = checkpointed(shared.groupBy("host", "marked").agg(F.collect_list("window").alias("windows")))
+    if shared.isEmpty():
+        return result(found)
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(windows_of(stream_of(x), least)) for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.list_(pa.int64()))], ["host", "page", "like", "least_pages", "windows"])
-
-    # Only hosts of several groups need this; a window counts once for a page and its copies.
-    large = grouped.filter("groups > 1").dropDuplicates(["host", "page"]).select("host", "page", "like", "least_pages", "open_blocks")
-    of_page = large.mapInArrow(windows, "host string, page long, like long, least_pages int, windows array<long>").select("host", "page", "like", "least_pages", F.explode("windows").alias("window"))
-    counted = of_page.select("host", "window", "like", "least_pages").distinct().groupBy("host", "window", "least_pages").agg(F.count("*").alias("n_pages"))
-    shared = counted.filter("n_pages >= least_pages").select("host", "window")
-    across = split_join(of_page.select("host", "page", "window"), shared, ["window", "host"]).groupBy("host", "page").agg(F.collect_set("window").alias("across"))
-    met = grouped.join(across, ["host", "page"], "left")
-
-    def by_host(group: pd.DataFrame) -> pd.DataFrame:
-        others = [[] if x is None else list(x) for x in group["across"]]
-        kept = without_repeats([list(x) for x in group["open_blocks"]], least, others, group["like"].tolist(), int(group["least_pages"].iloc[0]))
-        return pd.DataFrame({id_column: group[id_column], url: group[url], "text": ["\n\n".join(x) for x in kept]})
-
-    opened = met.groupBy("host", "part").applyInPandas(by_host, f"`{id_column}` {kinds[0]}, `{url}` {kinds[1]}, text string")
-    return settled.unionByName(opened)
+            texts = [t if w.values is None else without_windows(t, w.values.to_numpy(), least) for t, w in zip(batch.column(2).to_pylist(), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+    whole = _met(found, shared, ["host", "marked"], "left").select("id", "url", "text", "windows")
+    return result(whole.mapInArrow(cleaned, f"id {kinds[0]}, url {kinds[1]}, text string"))

@@ -146,3 +146,34 @@ def test_very_long_page(spark):
     text = " ".join(words(200_000, 5))
     pages = spark.createDataFrame([(1, "http://a/", f"<article><p>{text}</p></article>"), (2, "http://a/", f"<p>{text}</p>"), (3, "http://a/", "<p>short</p>")], "page_id long, url string, html string")
     assert {r[0]: r[2] for r in html_extract.extract(pages).collect()} == {1: text, 2: text, 3: "short"}
+
+
+def test_marked_articles_lose_what_the_site_puts_into_them(spark):
+    notice, quoted = "Read more stories like this in our daily letter", "a line that a third of the articles quote"
+    rows, expected = [], {}
+    for k in range(60):
+        own = [" ".join(words(25, 10 * k + j, 100000)) for j in range(2)] + [quoted] * (k % 3 == 0)
+        rows.append((k, "http://a.example/", f"<nav>menu</nav><article><p>{own[0]}</p><p>{notice}</p>{''.join(f'<p>{t}</p>' for t in own[1:])}</article>"))
+        expected[k] = "\n\n".join(own)
+    # Copies and near copies of one article are one page, which keeps what it says; nor does a page vanish.
+    for k in range(100, 180):
+        rows.append((k, "http://a.example/", rows[1][2].replace("<nav>menu</nav>", "") if k % 2 else rows[1][2].replace(expected[1][-8:], f"{expected[1][-8:]} x{k}")))
+        expected[k] = expected[1] if k % 2 else expected[1] + f" x{k}"
+    rows.append((200, "http://a.example/", f"<article><p>{notice}</p></article>"))
+    expected[200] = notice
+    # Too few pages to tell.
+    rows += [(300 + k, "http://b.example/", f"<article><p>{notice}</p><p>own{k}</p></article>") for k in range(19)]
+    expected |= {300 + k: f"{notice}\n\nown{k}" for k in range(19)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (256, 40, 7):
+        assert {r[0]: r[2] for r in html_extract.extract(pages, host_pages=size).collect()} == expected
+
+
+def test_windows_of_groups_meet_exactly():
+    tokens = [[*range(100 * k, 100 * k + 9), *([7, 8, 9, 10, 11, 12] if k % 2 else [])] for k in range(1, 9)]
+    marks = [1, 2, 3, 4, 5, 6, 7, 8]
+    assert len(html_extract.repeated_windows(tokens, 5, marks, 4)) == 2
+    assert not len(html_extract.repeated_windows(tokens, 5, marks, 5))
+    assert not len(html_extract.repeated_windows(tokens, 5, [2, 1, 2, 3, 2, 5, 2, 7], 2))
+    assert not len(html_extract.repeated_windows([[1, 2], [], [1, 2]], 5))
+    assert len(html_extract.repeated_windows(tokens, 5, marks, 1)) == 5 * 4 + 11 * 4 - 2 * 3
