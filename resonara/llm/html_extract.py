@@ -12,9 +12,9 @@ Others stay whole, so that a phrase that another page happens to have doesn't
 vanish from a sentence.  Marked and open pages of a host are compared apart.
 Among open pages a repeat stands on two at least and on HOST_SHARE of the
 host's.  Articles quote the same lines (see README for figures), so inside
-marked ones a repeat has to stand on MARKED_PAGES at least and on more than
-MARKED_SHARE of the host's: a notice or a line of links that the site puts into
-its articles.
+marked ones a repeat has to stand on more than MARKED_SHARE of the host's
+pages, and on MARKED_PAGES that aren't near copies: a notice or a line of links
+that the site puts into its articles.
 
 Pages that are copies or near copies of each other (see ``near_dedup``) are one
 page here, so an article doesn't vanish because another page has it too.  A
@@ -23,11 +23,12 @@ elsewhere, so repeats can't tell its article from the rest.  A form is left
 out, but one that holds the article, or most of an unmarked page's text, is the
 page.
 
-Hosts are cut into groups of at most HOST_PAGES pages by hash of the page, so
+Hosts are cut into groups of about HOST_PAGES pages by hash of the page, so
 that no suffix array grows with the corpus.  A run of MIN_REPEAT tokens (a
-window) that stands on T pages of a host of G groups stands on T / G pages of
-one group at least; windows that do in some group are counted again over the
-whole host (copies are one), so none is missed and none kept in error.
+window) that stands on a share of a host's pages stands on that share of one
+group's at least; windows that do in some group are counted again over the
+whole host, so none is missed and none goes in error.  Near copies are looked
+for among open pages, and among marked pages that hold such a window.
 
 Defined results: null or empty html gives empty text; unclosed and misplaced
 tags end where the enclosing block does; undecodable references stay; pages
@@ -48,13 +49,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resonara.llm import near_dedup
-from resonara.llm.common import checkpointed, small_batches, utf8, window_hashes
+from resonara.llm.common import VOCABULARY_ROWS, checkpointed, small_batches, utf8, window_hashes
 
 MIN_REPEAT = 5
 HOST_PAGES = 256
 #: Share of a host's open pages, copies counted once, on which a repeat has to stand.
 HOST_SHARE = 0.02
-#: The pages, and the share of the host's that more have to have it, from which a repeat inside marked articles isn't theirs.
+#: Pages that aren't near copies, and share of the host's pages to be exceeded, on which a repeat inside marked articles has to stand.
 MARKED_PAGES, MARKED_SHARE = 20, 0.5
 
 # HTML elements by what they mean here.
@@ -199,13 +200,13 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].rsplit("@", 1)[-1].lower()
 
 
-def suffix_array(stream: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of an integer stream in order, by doubling of ranked prefixes."""
+def suffix_array(stream: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Starts of the suffixes of an integer stream in order, by doubling of ranked prefixes; in order of their first ``most`` tokens at least."""
     n = len(stream)
     rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
     order = np.argsort(rank, kind="stable")
     step = 1
-    while step < n and len(rank) and rank.max() < n - 1:
+    while step < (n if most is None else min(n, most)) and len(rank) and rank.max() < n - 1:
         second = np.zeros(n, np.int64)
         second[: n - step] = rank[step:] + 1
         key = rank * (n + 1) + second
@@ -247,7 +248,7 @@ def _repeats(pages: list[list[int]], least: int, like: list[int] | None, least_p
         p[-1] = -1 - k
     stream = np.concatenate(parts) if parts else np.empty(0, np.int64)
     page = np.repeat(np.unique(marks, return_inverse=True)[1].astype(np.int64), [len(p) for p in parts])
-    order = suffix_array(stream)
+    order = suffix_array(stream, least)
     shared = common_prefixes(stream, order, least)
     # Neighbours in order that share a long enough prefix form a group; it counts if it has suffixes of enough pages.
     group = np.cumsum(shared < least)
@@ -277,7 +278,9 @@ def repeated_windows(pages: list[list[int]], least: int = MIN_REPEAT, like: list
     whole = np.ones(len(stream) + 1, bool)
     for end in ends:  # a run that holds a page's separator is of one page alone
         whole[max(0, end - least) : end] = False
-    return np.unique(windows_of(stream, least)[starts[whole[starts]]]) if len(stream) >= least else np.empty(0, np.int64)
+    if len(stream) < least:
+        return np.empty(0, np.int64)
+    return np.unique(windows_of(stream, least)[starts[whole[starts]]])
 
 
 def stream_of(page: list[str]) -> list[int]:
@@ -352,6 +355,96 @@ def _met(rows: DataFrame, listed: DataFrame, keys: list[str], how: str = "inner"
     return rows.join(F.broadcast(listed) if listed.count() <= near_dedup.BROADCAST_ROWS else listed, keys, how)
 
 
+def _groups(rows: DataFrame, least: int, wanted) -> DataFrame:
+    """host, groups, pages (distinct ones of a group) and windows of each group (host, part) of ``rows``.
+
+    Windows are those that stand on ``wanted(pages, first row)`` of the group's pages at least; ``like`` numbers these.
+    """
+
+    def by_group(group: pa.Table) -> pa.Table:
+        first = group.slice(0, 1).to_pylist()[0]
+        like = group["like"].to_pylist()
+        number = len(set(like))
+        own = repeated_windows([stream_of([t]) for t in group["text"].to_pylist()], least, like, max(1, wanted(number, first)))
+        return pa.table({"host": pa.array([first["host"]], pa.string()), "groups": pa.array([first["groups"]], pa.int64()), "pages": pa.array([number], pa.int64()), "windows": pa.array([own], pa.list_(pa.int64()))})
+
+    return rows.groupBy("host", "part").applyInArrow(by_group, "host string, groups long, pages long, windows array<long>")
+
+
+def _holders(rows: DataFrame, of_host: DataFrame, least: int) -> DataFrame:
+    """``rows`` (host, page, text) that hold windows of their host's (host, windows), with those that they hold."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for text, windows in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                mine = np.unique(windows_of(stream_of([text]), least))
+                own.append(mine[np.isin(mine, windows.values.to_numpy())])
+            cells = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.list_(pa.int64()))], ["host", "page", "text", "windows"])
+            yield cells.filter(pa.array([len(x) > 0 for x in own], pa.bool_()))
+
+    met = _met(rows.select("host", "page", "text"), of_host, ["host"]).select("host", "page", "text", "windows")
+    return met.mapInArrow(held, "host string, page long, text string, windows array<long>")
+
+
+def _likes(texts: DataFrame) -> DataFrame:
+    """page and like, the lowest of its near copies, of the pages (page, text) that aren't that themselves."""
+    return near_dedup.cluster(texts, "page", "text").select("page", F.col("component_id").alias("like")).filter("page <> like").distinct()
+
+
+def _open_windows(left: DataFrame, least: int, host_pages: int, host_share: float) -> DataFrame:
+    """host and window of the repeats of open pages (id, host, page, text)."""
+    copies = checkpointed(_likes(left.select("page", "text")))
+    placed = _met(left, copies, ["page"], "left").withColumn("like", F.coalesce("like", "page"))
+    n_pages = F.count_distinct("like")
+    least_pages = F.greatest(F.lit(2), F.ceil(n_pages * host_share)).cast("int")
+    sizes = checkpointed(placed.groupBy("host").agg(F.ceil(F.count("*") / host_pages).alias("groups"), n_pages.alias("n_pages"), least_pages.alias("least_pages")).filter("n_pages >= least_pages").drop("n_pages"))
+    # Near copies may lie in several groups, so a group's part is that of the number of groups.
+    grouped = _met(placed, sizes, ["host"]).withColumn("part", F.pmod(F.xxhash64("id", "text"), F.col("groups")))
+    near = checkpointed(_groups(grouped.select("host", "part", "groups", "least_pages", "like", "text"), least, lambda _, first: -(-first["least_pages"] // first["groups"])))
+    several = near.filter("groups > 1").select("host", F.explode("windows").alias("window")).distinct().groupBy("host").agg(F.collect_list("window").alias("windows"))
+    of_page = _met(_holders(left, several, least).select("host", "page", F.explode("windows").alias("window")), copies, ["page"], "left")
+    counted = of_page.select("host", "window", F.coalesce("like", "page").alias("like")).distinct().groupBy("host", "window").agg(F.count("*").alias("n_pages"))
+    enough = _met(counted, sizes, ["host"]).filter("n_pages >= least_pages").select("host", "window")
+    return near.filter("groups = 1").select("host", F.explode("windows").alias("window")).union(enough)
+
+
+def _marked_windows(left: DataFrame, hosts: DataFrame, least: int, host_pages: int, marked_pages: int, marked_share: float) -> DataFrame:
+    """host and window of the repeats inside the articles of marked pages (id, host, page, text); ``hosts`` has the host of every page."""
+    sizes = hosts.groupBy("host").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") >= marked_pages)
+    sizes = sizes.select("host", F.ceil(F.col("n_rows") / host_pages).alias("groups"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            new = []
+            for key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new.append(key not in seen)
+                if len(seen) >= VOCABULARY_ROWS:
+                    seen.clear()
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    # Equal pages share a group, so that the groups' numbers add up; a task sends each but once.
+    distinct = left.select("host", "page", "text").mapInArrow(once, "host string, page long, text string")
+    grouped = _met(distinct, sizes, ["host"]).select("host", F.pmod(F.xxhash64("page"), F.col("groups")).alias("part"), "groups", F.col("page").alias("like"), "text")
+    near = checkpointed(_groups(grouped, least, lambda pages, _: int(pages * marked_share) + 1))
+    totals = near.groupBy("host").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= marked_pages)
+    some = checkpointed(near.select("host", F.explode("windows").alias("window")).distinct().join(totals.select("host"), "host").groupBy("host").agg(F.collect_list("window").alias("windows")))
+    none = some.select("host", F.explode("windows").alias("window"))
+    if some.isEmpty():
+        return none
+    holders = checkpointed(_holders(left, some, least))
+    of_page = holders.select("host", "page", F.explode("windows").alias("window")).distinct()
+    enough = of_page.groupBy("host", "window").agg(F.count("*").alias("n_pages")).join(totals, "host").filter(F.col("n_pages") > F.floor(F.col("pages") * marked_share))
+    enough = checkpointed(enough.filter(F.col("n_pages") >= marked_pages).select("host", "window"))
+    if enough.isEmpty():
+        return none.filter(F.lit(False))
+    likes = _met(of_page.join(enough, ["host", "window"], "left_semi"), _likes(holders.select("page", "text")), ["page"], "left")
+    classes = likes.groupBy("host", "window").agg(F.count_distinct(F.coalesce("like", "page")).alias("n_pages"))
+    return classes.filter(F.col("n_pages") >= marked_pages).select("host", "window")
+
+
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page: str = "html", least: int = MIN_REPEAT, host_pages: int = HOST_PAGES, host_share: float = HOST_SHARE, marked_pages: int = MARKED_PAGES, marked_share: float = MARKED_SHARE) -> DataFrame:
     """id, url and main text of every page."""
     small_batches(pages.sparkSession)
@@ -361,63 +454,27 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [candidates(b.decode("utf-8", "replace")) for b in utf8(batch.column(2))]
-            hosts = [host_of(u) for u in batch.column(1).to_pylist()]
-            digests = [digest_of(stream_of(left)) for _, left in rows]
-            cells = [pa.array(hosts, pa.string()), pa.array([m for m, _ in rows], pa.bool_()), pa.array(["\n\n".join(left) for _, left in rows], pa.string()), pa.array(digests, pa.int64())]
+            digests = [xxhash.xxh3_64_intdigest(" ".join(left)) - (1 << 63) for _, left in rows]
+            cells = [pa.array([host_of(u) for u in batch.column(1).to_pylist()], pa.string()), pa.array([m for m, _ in rows], pa.bool_()), pa.array(["\n\n".join(left) for _, left in rows], pa.string()), pa.array(digests, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["id", "url", "host", "marked", "text", "page"])
 
-    found = checkpointed(pages.mapInArrow(read, f"id {kinds[0]}, url {kinds[1]}, host string, marked boolean, text string, page long"))
-    result = lambda rows: rows.select(F.col("id").alias(id_column), F.col("url").alias(url), "text")
-    left = found.filter("text <> ''")
-    if left.isEmpty():
-        return result(found)
-    # A page is alike itself; only the others are listed.
-    copies = near_dedup.cluster(left.select("page", "text"), "page", "text").select("page", F.col("component_id").alias("like")).filter("page <> like").distinct()
-    placed = _met(left, copies, ["page"], "left").withColumn("like", F.coalesce("like", "page"))
-    n_pages = F.count_distinct("like")
-    open_least = F.greatest(F.lit(2), F.ceil(n_pages * host_share))
-    marked_least = F.greatest(F.lit(marked_pages), F.floor(n_pages * marked_share) + 1)
-    least_pages = F.when(F.col("marked"), marked_least).otherwise(open_least).cast("int")
-    sizes = placed.groupBy("host", "marked").agg(F.ceil(F.count("*") / host_pages).alias("groups"), n_pages.alias("n_pages"), least_pages.alias("least_pages"))
-    # On fewer pages than a repeat has to stand on there is none.
-    sizes = sizes.filter("n_pages >= least_pages").drop("n_pages")
-    grouped = _met(placed, sizes, ["host", "marked"]).withColumn("part", F.pmod(F.xxhash64("id", "text"), F.col("groups")))
-
-    def by_group(group: pa.Table) -> pa.Table:
-        first = group.slice(0, 1).to_pylist()[0]
-        streams = [stream_of([t]) for t in group["text"].to_pylist()]
-        own = repeated_windows(streams, least, group["like"].to_pylist(), -(-first["least_pages"] // first["groups"]))
-        kinds = {"host": pa.string(), "marked": pa.bool_(), "groups": pa.int64(), "least_pages": pa.int32()}
-        return pa.table({**{k: pa.array([first[k]] * len(own), kind) for k, kind in kinds.items()}, "window": pa.array(own, pa.int64())})
-
-    grouped = grouped.select("host", "marked", "part", "groups", "least_pages", "like", "text").groupBy("host", "marked", "part")
-    near = checkpointed(grouped.applyInArrow(by_group, "host string, marked boolean, groups long, least_pages int, window long").distinct())
-    shared = near.filter("groups = 1").select("host", "marked", "window")
-    several = near.filter("groups > 1")
-    if not several.isEmpty():
-        of_host = several.groupBy("host", "marked", "least_pages").agg(F.collect_list("window").alias("windows"))
-
-        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = []
-                for text, windows in zip(batch.column(4).to_pylist(), batch.column(5), strict=True):
-                    mine = np.unique(windows_of(stream_of([text]), least))
-                    own.append(mine[np.isin(mine, windows.values.to_numpy())])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.list_(pa.int64()))], ["host", "marked", "least_pages", "like", "windows"])
-
-        asked = _met(placed.select("host", "marked", "like", "text"), of_host, ["host", "marked"]).select("host", "marked", "least_pages", "like", "text", "windows")
-        of_page = asked.mapInArrow(held, "host string, marked boolean, least_pages int, like long, windows array<long>")
-        of_page = of_page.select("host", "marked", "least_pages", "like", F.explode("windows").alias("window")).distinct()
-        counted = of_page.groupBy("host", "marked", "least_pages", "window").agg(F.count("*").alias("n_pages"))
-        shared = shared.union(counted.filter("n_pages >= least_pages").select("host", "marked", "window"))
+    def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([host_of(u) for u in batch.column(0).to_pylist()], pa.string())], ["host"])
+
+    # Marked pages are read again, which costs less than storing all texts; open ones, needed several times, are stored.
+    found = pages.mapInArrow(read, f"id {kinds[0]}, url {kinds[1]}, host string, marked boolean, text string, page long")
+    opened = checkpointed(found.filter("not marked and text <> ''").drop("marked"))
+    shared = _marked_windows(found.filter("marked"), pages.select("url").mapInArrow(hosts, "host string"), least, host_pages, marked_pages, marked_share).withColumn("marked", F.lit(True))
+    if not opened.isEmpty():
+        shared = shared.union(_open_windows(opened, least, host_pages, host_share).withColumn("marked", F.lit(False)))
     shared = checkpointed(shared.groupBy("host", "marked").agg(F.collect_list("window").alias("windows")))
-    if shared.isEmpty():
-        return result(found)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t if w.values is None else without_windows(t, w.values.to_numpy(), least) for t, w in zip(batch.column(2).to_pylist(), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    whole = _met(found, shared, ["host", "marked"], "left").select("id", "url", "text", "windows")
-    return result(whole.mapInArrow(cleaned, f"id {kinds[0]}, url {kinds[1]}, text string"))
+    if not shared.isEmpty():
+        found = _met(found, shared, ["host", "marked"], "left").select("id", "url", "text", "windows").mapInArrow(cleaned, f"id {kinds[0]}, url {kinds[1]}, text string")
+    return found.select(F.col("id").alias(id_column), F.col("url").alias(url), "text")
