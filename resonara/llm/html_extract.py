@@ -399,7 +399,7 @@ def _open_windows(left: DataFrame, least: int, host_pages: int, host_share: floa
     n_pages = F.count_distinct("like")
     least_pages = F.greatest(F.lit(2), F.ceil(n_pages * host_share)).cast("int")
     sizes = checkpointed(placed.groupBy("host").agg(F.ceil(F.count("*") / host_pages).alias("groups"), n_pages.alias("n_pages"), least_pages.alias("least_pages")).filter("n_pages >= least_pages").drop("n_pages"))
-    # Near copies may lie in several groups, so a group's part is that of the number of groups.
+    # Near copies may lie in several groups, so of T pages one group needs T divided by the number of groups.
     grouped = _met(placed, sizes, ["host"]).withColumn("part", F.pmod(F.xxhash64("id", "text"), F.col("groups")))
     near = checkpointed(_groups(grouped.select("host", "part", "groups", "least_pages", "like", "text"), least, lambda _, first: -(-first["least_pages"] // first["groups"])))
     several = near.filter("groups > 1").select("host", F.explode("windows").alias("window")).distinct().groupBy("host").agg(F.collect_list("window").alias("windows"))
